@@ -54,6 +54,16 @@ ORACLES["features_many_stations"] = _with(
     _features("readings"),
 )
 
+_VECTOR = [*MEASURES, "pm25_lag1", "pm25_lag3", "pm25_mean3"]
+ORACLES["vector_assembly"] = _with(READINGS_SQL) + f""",
+shifted AS (
+  SELECT *, lag(pm25, 1) OVER w AS pm25_lag1, lag(pm25, 3) OVER w AS pm25_lag3,
+    avg(pm25) OVER (PARTITION BY location_id ORDER BY "timestamp" ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS pm25_mean3
+  FROM readings WINDOW w AS (PARTITION BY location_id ORDER BY "timestamp"))
+SELECT location_id, "timestamp", {", ".join(f"round({c}, 9) AS v_{c}" for c in _VECTOR)},
+  hour("timestamp")::DOUBLE AS v_hour, round({DAY_FRACTION}, 9) AS v_day_of_week, {CODE} AS v_location_code
+FROM shifted WHERE pm25_lag3 IS NOT NULL"""
+
 ORACLES["time_aware_lags"] = _with(READINGS_SQL, HOURLY_SQL) + """
 SELECT h.location_id, h."timestamp", round(h.pm25, 6) AS pm25, round(l1.pm25, 6) AS pm25_lag1,
   round(l3.pm25, 6) AS pm25_lag3,
@@ -221,6 +231,12 @@ SELECT f.location_id, f.location_name, f."timestamp", round(f.pm25, 6) AS pm25,
   round(a.pm25, 6) AS actual_pm25, round(a.pm25 - f.predicted_pm25, 6) AS error
 FROM forecasts f JOIN hourly a ON a.location_id = f.location_id AND a."timestamp" = f.forecast_for"""
 
+ORACLES["find_forecast"] = _with(READINGS_SQL, _FANOUT.format(source="readings")) + f"""
+SELECT {_FORECAST_LIST} FROM forecasts WHERE location_id = 'click' AND horizon_hours = 12
+  AND "timestamp" = (SELECT min("timestamp") FROM readings WHERE location_id = 'click')"""
+ORACLES["station_filter"] = _with(READINGS_SQL) + f"""
+SELECT {READING_LIST} FROM readings WHERE location_id = 'purchase'"""
+
 _LATEST = """latest AS (
   SELECT *, lag(pm25) OVER w AS before25, lag(pm10) OVER w AS before10,
     row_number() OVER (PARTITION BY location_id ORDER BY "timestamp" DESC) AS n

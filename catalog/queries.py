@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,11 @@ from catalog.tables import BOUNDS, CONFIG, SMALL_CHUNKS, dimension, events, pres
 from sensorcast.config import HORIZONS, MEASURES, SplitConfig, label_name
 from sensorcast.functions import bands, calendar
 from sensorcast.operators import clean, metrics, profile, series
-from sensorcast.plans import features, reports, training
+from sensorcast.plans import features, reports, storage, training
 from sensorcast.schema import PAYLOAD_FIELDS
 from sensorcast.sources import readers, streams, writers
 from sensorcast.staging import scratch_path
-from sensorcast.streaming.forecast import forecast_stream
+from sensorcast.streaming.forecast import feature_stream, score_stream
 from sensorcast.streaming.ingest import ingest_readings
 
 QUERIES = {}
@@ -254,6 +256,11 @@ def station_counts(spark, sf_dir):
     return readings(spark, sf_dir).groupBy("location_id").agg(F.count("*").alias("rows"))
 
 
+@query
+def storage_comparison(spark, sf_dir):
+    return storage.compare_formats(readings(spark, sf_dir), "pm25")
+
+
 # Forecast quality
 
 
@@ -332,6 +339,19 @@ def forecast_lookup(spark, sf_dir):
     return present(reports.forecast_lookup(newest, _forecasts_but_view(spark, sf_dir), 6))
 
 
+@query
+def find_forecast(spark, sf_dir):
+    """The forecast of the first click reading of the table, 12 hours ahead."""
+    rows = readings(spark, sf_dir)
+    first = rows.filter(F.col("location_id") == "click").agg(F.min("timestamp").alias("t")).scalar()
+    return present(reports.find_forecast(training.persistence_forecasts(rows, HORIZONS), "click", first, 12))
+
+
+@query
+def station_filter(spark, sf_dir):
+    return present(readings(spark, sf_dir).filter(F.col("location_id") == "purchase"))
+
+
 @query
 def station_overview(spark, sf_dir):
     return present(reports.station_overview(readings(spark, sf_dir), dimension(spark)))
@@ -388,6 +408,17 @@ def alerts(spark, sf_dir):
 # Models
 
 
+@query
+def vector_assembly(spark, sf_dir):
+    """The model input vector, taken apart again."""
+    rows = features.complete(features.build_features(readings(spark, sf_dir), CONFIG), CONFIG)
+    vector = VectorAssembler(inputCols=CONFIG.features, outputCol="features").transform(rows)
+    parts = vector.select("location_id", "timestamp", vector_to_array("features").alias("v"))
+    return present(
+        parts.select("location_id", "timestamp", *[F.col("v")[i].alias(f"v_{f}") for i, f in enumerate(CONFIG.features)]), 9
+    )
+
+
 @query
 def rf_one_hour(spark, sf_dir):
     return training.one_hour_model(readings(spark, sf_dir), CONFIG)[1]
@@ -471,11 +502,13 @@ def stream_forecast(spark, sf_dir):
     """Land the hourly series, then forecast every landed reading with models trained on it."""
     config = replace(CONFIG, step="hours")
     source = hourly(spark, sf_dir).drop("readings").withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
-    landed, out, state = (scratch_path(spark, n) for n in ("landed", "forecasts", "forecast-state"))
+    landed, rows, out = (scratch_path(spark, n) for n in ("landed", "feature-rows", "forecasts"))
     source.withColumn("reading_date", F.to_date("timestamp")).write.partitionBy("reading_date").parquet(landed)
     table = training.training_table(source, config, [1, 6])
     models = training.train_horizons(table, config, [1, 6])
     stream = streams.reading_stream(spark, landed)
     history = lambda session: readers.read_landed(session, landed)
-    _finish([forecast_stream(stream, history, models, out, state, "run-1", config, trigger=ONCE)])
+    state = scratch_path(spark, "forecast-state")
+    _finish([feature_stream(stream, history, rows, f"{state}/features", "run-1", config, trigger=ONCE)])
+    _finish([score_stream(spark, rows, models, out, f"{state}/scores", config, trigger=ONCE)])
     return spark.read.parquet(out)

@@ -7,6 +7,9 @@ chunk also receives copies of the few neighbouring rows its windows reach into (
 copies are dropped after the window, so the result equals the unsplit one.
 
 Stations below the limit keep a single chunk, -1, and need no copies.
+
+Rows that share station and timestamp cannot be told apart by time and stay together: remove
+repeats with ``keep_last`` first.
 """
 
 from __future__ import annotations
@@ -19,50 +22,74 @@ from sensorcast.config import STATION, TIME, Chunking
 CHUNK = "_chunk"
 HALO = "_halo"
 _WHOLE = -1
+# Chunk number = coarse cell * _FINE + part of the cell, so that numbers grow with time.
+_FINE = 1_000_000
 
 
 def _micros() -> Column:
     return F.unix_micros(F.col(TIME))
 
 
-def long_stations(df: DataFrame, chunking: Chunking, min_width: int = 0) -> DataFrame:
-    """Stations that have to be split: (station, first instant, last chunk, chunk width in µs).
+def _unit(df: DataFrame, chunking: Chunking) -> Column:
+    """Rows per chunk: the configured number, or more if the table is so large that this would give
+    more than ``max_chunks`` chunks. The total needs no columns, so a Parquet scan reads footers."""
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return F.greatest(F.lit(chunking.rows_per_chunk), F.ceil(total / F.lit(chunking.max_chunks)))
+
 
-    One pass over two columns with map-side aggregation. At most ``max_chunks`` stations can
-    exceed total / max_chunks rows, which bounds this table whatever the input size.
+def _oversized(df: DataFrame, keys: list[str], unit: Column, names: tuple[str, str, str], min_width: int = 0) -> DataFrame:
+    """Groups of ``keys`` with more rows than one chunk: first instant, width and number of the last
+    of the equal time slices to cut each one into. ``names`` are the columns to call these.
+
+    One pass over keys and time with map-side aggregation. At most total / unit groups can exceed
+    the unit, hence at most ``max_chunks``: this table stays small whatever the input size.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    unit = F.greatest(F.lit(chunking.rows_per_chunk), F.ceil(total / F.lit(chunking.max_chunks)))
-    spans = df.groupBy(STATION).agg(
-        F.count(F.lit(1)).alias("n"), F.min(_micros()).alias("_lo"), F.max(_micros()).alias("_hi")
+    low, width, last = names
+    spans = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(_micros()).alias(low), F.max(_micros()).alias("_hi")
     )
-    chunks = F.ceil(F.col("n") / unit)
-    even = F.ceil((F.col("_hi") - F.col("_lo") + 1) / chunks)
+    even = F.ceil((F.col("_hi") - F.col(low) + 1) / F.ceil(F.col("_n") / unit))
     return (
-        spans.filter(F.col("n") > unit)
-        .select(STATION, "_lo", "_hi", F.greatest(even, F.lit(max(min_width, 1))).alias("_width"))
-        .select(STATION, "_lo", "_width", F.expr("(_hi - _lo) div _width").alias("_last"))
+        spans.filter(F.col("_n") > unit)
+        .select(*keys, low, "_hi", F.greatest(even, F.lit(max(min_width, 1))).alias(width))
+        .select(*keys, low, width, F.expr(f"(_hi - {low}) div {width}").alias(last))
     )
 
 
-def _unsplit(df: DataFrame) -> DataFrame:
-    return df.withColumn(CHUNK, F.lit(_WHOLE).cast("long"))
+def _slice(low: str, width: str) -> Column:
+    return F.expr(f"(unix_micros({TIME}) - {low}) div {width}")
 
 
-def _place(df: DataFrame, longs: DataFrame) -> DataFrame:
-    """Add the chunk number and keep the chunk geometry for the caller to drop."""
-    placed = df.join(F.broadcast(longs), STATION, "left")
-    return placed.withColumn(
-        CHUNK, F.coalesce(F.expr(f"(unix_micros({TIME}) - _lo) div _width"), F.lit(_WHOLE).cast("long"))
-    )
+class _Cuts:
+    """Where the long stations of a table are cut, in two steps. Equal slices of a station's time
+    span first; slices that still hold too many rows, because the readings come in bursts, are then
+    cut again. Both tables are of bounded size (see ``_oversized``) and therefore broadcast."""
+
+    def __init__(self, df: DataFrame, chunking: Chunking):
+        unit = _unit(df, chunking)
+        narrow = df.select(STATION, TIME)
+        self.stations = _oversized(narrow, [STATION], unit, ("_lo", "_width", "_last"))
+        cells = narrow.join(F.broadcast(self.stations), STATION).withColumn("_cell", _slice("_lo", "_width"))
+        self.bursts = _oversized(cells, [STATION, "_cell"], unit, ("_lo2", "_width2", "_last2"))
+
+    def place(self, df: DataFrame, long_only: bool = False) -> DataFrame:
+        """Add the chunk number; ``long_only`` keeps just the stations that are split."""
+        coarse = df.join(
+            F.broadcast(self.stations), STATION, "inner" if long_only else "left"
+        ).withColumn("_cell", _slice("_lo", "_width"))
+        fine = coarse.join(F.broadcast(self.bursts), [STATION, "_cell"], "left")
+        number = F.col("_cell") * F.lit(_FINE) + F.coalesce(_slice("_lo2", "_width2"), F.lit(0))
+        return fine.withColumn(CHUNK, F.coalesce(number, F.lit(_WHOLE).cast("long"))).select(*df.columns, CHUNK)
+
+
+def _unsplit(df: DataFrame) -> DataFrame:
+    return df.withColumn(CHUNK, F.lit(_WHOLE).cast("long"))
 
 
 def with_chunks(df: DataFrame, chunking: Chunking | None) -> DataFrame:
     """Add the chunk number only, for functions that need no neighbours. ``None`` leaves every
     station whole, which suits series known to be short, such as a micro-batch with its history."""
-    if chunking is None:
-        return _unsplit(df)
-    return _place(df, long_stations(df, chunking)).drop("_lo", "_width", "_last")
+    return _unsplit(df) if chunking is None else _Cuts(df, chunking).place(df)
 
 
 def chunk_window() -> Window:
@@ -98,14 +125,13 @@ def with_row_halo(
     """
     if chunking is None:
         return _unsplit(df).withColumn(HALO, F.lit(False))
-    longs = long_stations(df, chunking)
-    out = _place(df, longs).drop("_lo", "_width", "_last").withColumn(HALO, F.lit(False))
+    cuts = _Cuts(df, chunking)
+    out = cuts.place(df).withColumn(HALO, F.lit(False))
     narrow = df.select(STATION, TIME, *[v for v in values if v not in (STATION, TIME)])
-    split = _place(narrow, longs).filter(F.col(CHUNK) >= 0).drop("_lo", "_width", "_last")
     for size, backward in ((before, True), (after, False)):
         if size > 0:
-            copies = _edge_copies(split, size, backward).withColumn(HALO, F.lit(True))
-            out = out.unionByName(copies, allowMissingColumns=True)
+            copies = _edge_copies(cuts.place(narrow, long_only=True), size, backward)
+            out = out.unionByName(copies.withColumn(HALO, F.lit(True)), allowMissingColumns=True)
     return out
 
 
@@ -117,16 +143,19 @@ def with_time_halo(df: DataFrame, before: int, after: int, chunking: Chunking |
     """
     if chunking is None:
         return _unsplit(df).withColumn(HALO, F.lit(False))
-    placed = _place(df, long_stations(df, chunking, min_width=max(before, after)))
+    geometry = ("_lo", "_width", "_last")
+    longs = _oversized(df, [STATION], _unit(df, chunking), geometry, min_width=max(before, after))
+    placed = df.join(F.broadcast(longs), STATION, "left")
+    own = F.coalesce(_slice("_lo", "_width"), F.lit(_WHOLE).cast("long"))
     at = _micros() - F.col("_lo")
     first = F.greatest(F.lit(0).cast("long"), F.floor((at - F.lit(after)) / F.col("_width")))
     last = F.least(F.col("_last"), F.floor((at + F.lit(before)) / F.col("_width")))
-    targets = F.when(F.col(CHUNK) < 0, F.array(F.col(CHUNK))).otherwise(F.sequence(first, last))
+    targets = F.when(F.col("_own") < 0, F.array("_own")).otherwise(F.sequence(first, last))
     return (
-        placed.withColumn("_to", F.explode(targets))
-        .withColumn(HALO, F.col("_to") != F.col(CHUNK))
-        .withColumn(CHUNK, F.col("_to"))
-        .drop("_to", "_lo", "_width", "_last")
+        placed.withColumn("_own", own)
+        .withColumn(CHUNK, F.explode(targets))
+        .withColumn(HALO, F.col(CHUNK) != F.col("_own"))
+        .drop("_own", *geometry)
     )
 
 
@@ -138,7 +167,8 @@ def with_series_rank(df: DataFrame, chunking: Chunking | None) -> DataFrame:
     """Add ``series_rank`` (1 for a station's oldest row) and ``series_rows`` (its row count).
 
     Within a chunk both come from the window; for split stations the rows of earlier chunks are
-    added from a table of chunk sizes, which the chunking bounds.
+    added from a table of chunk sizes, which the chunking bounds. A chunk column already present is
+    used, and so is its partitioning.
     """
     chunked = df if CHUNK in df.columns else with_chunks(df, chunking)
     local = chunked.withColumns(

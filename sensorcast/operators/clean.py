@@ -6,12 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorcast.config import MEASURES, STATION, TIME
 from sensorcast.functions import casts
 from sensorcast.schema import RAW_READING_SCHEMA, READING_SCHEMA
 
 REJECT = "reject_reason"
+_BROKEN = "_broken"
 # Separator-only columns at the end of the sensor files.
 BLANK_COLUMNS = ("", "_c15", "_c16", "_c17", "_c18", "_c19")
 
@@ -35,17 +37,20 @@ def decode_messages(messages: DataFrame, source_zone: str | None = None) -> Data
     All fields are first read as text, so a field of the wrong type costs that field only.
     """
     text = F.col("value").cast("string")
-    parsed = messages.withColumn("_text", text).withColumn("_record", F.from_json("_text", RAW_READING_SCHEMA))
+    schema = T.StructType([*RAW_READING_SCHEMA.fields, T.StructField(_BROKEN, T.StringType())])
+    record = F.from_json("_text", schema, {"columnNameOfCorruptRecord": _BROKEN})
     others = [c for c in messages.columns if c != "value" and c not in READING_SCHEMA.names]
-    raw = parsed.select("_text", *others, "_record.*")
+    # A generator rather than a projection: filters on the fields stay above it, so that the text is
+    # parsed once and not again in every filter.
+    raw = messages.withColumn("_text", text).select("_text", *others, F.inline(F.array(record)))
     typed = type_readings(raw.withColumn("_time_text", F.col(TIME)), source_zone)
     reason = (
-        F.when(F.try_parse_json("_text").isNull(), F.lit("not json"))
+        F.when(F.col("_text").isNull() | F.col(_BROKEN).isNotNull(), F.lit("not json"))
         .when(F.col(STATION).isNull(), F.lit("no station"))
         .when(F.col("_time_text").isNull(), F.lit("no time"))
         .when(F.col(TIME).isNull(), F.lit("unreadable time"))
     )
-    return typed.withColumn(REJECT, reason).drop("_time_text").withColumnRenamed("_text", "value")
+    return typed.withColumn(REJECT, reason).drop("_time_text", _BROKEN).withColumnRenamed("_text", "value")
 
 
 def accepted(decoded: DataFrame) -> DataFrame:

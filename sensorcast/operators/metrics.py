@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorcast.functions.bands import rating
 
 
+def error_aggregates(actual: Column, forecast: Column) -> dict[str, Column]:
+    """MAE, RMSE, R² and MAPE as aggregate expressions. Rows lacking either side are left out."""
+    error = actual - forecast
+    known = F.when(error.isNotNull(), actual)
+    mse = F.avg(error * error)
+    return {
+        "mae": F.avg(F.abs(error)),
+        "rmse": F.sqrt(mse),
+        "r2": F.lit(1.0) - F.try_divide(mse, F.var_pop(known)),
+        "mape": F.avg(F.abs(error / F.nullif(known, F.lit(0.0)))),
+    }
+
+
 def regression_metrics(df: DataFrame, actual: Column, forecast: Column, by: Sequence[str] = ()) -> DataFrame:
     """MAE, RMSE, R² and MAPE over rows where both sides are known, and how many those are."""
-    error = F.col("_actual") - F.col("_forecast")
     pairs = df.select(*by, actual.alias("_actual"), forecast.alias("_forecast")).dropna()
-    mse = F.avg(error * error)
+    errors = error_aggregates(F.col("_actual"), F.col("_forecast"))
     return pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(F.abs(error)).alias("mae"),
-        F.sqrt(mse).alias("rmse"),
-        (F.lit(1.0) - F.try_divide(mse, F.var_pop("_actual"))).alias("r2"),
-        F.avg(F.abs(error / F.nullif("_actual", F.lit(0.0)))).alias("mape"),
+        F.count(F.lit(1)).alias("rows"), *[e.alias(name) for name, e in errors.items()]
     )
 
 
@@ -61,7 +69,9 @@ def band_scores(confused: DataFrame) -> DataFrame:
         F.sum("forecast").alias("forecast_rows"),
         F.sum("hits").alias("hits"),
     )
-    accuracy = confused.agg((F.sum(hit) / F.sum("rows")).alias("accuracy")).scalar()
+    # One row per band is left here, so a window over all of them is small.
+    everything = Window.partitionBy()
+    accuracy = F.sum("hits").over(everything) / F.sum("actual_rows").over(everything)
     precision = F.try_divide("hits", "forecast_rows")
     recall = F.try_divide("hits", "actual_rows")
     f1 = F.try_divide(F.lit(2) * F.col("hits"), F.col("actual_rows") + F.col("forecast_rows"))

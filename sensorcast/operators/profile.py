@@ -15,29 +15,19 @@ from sensorcast.operators.clean import Bounds, outside
 def profile(df: DataFrame, measures: Sequence[str] = MEASURES, bounds: Bounds | None = None) -> DataFrame:
     """One row: rows, stations, repeated keys, time range, nulls and out-of-range values.
 
-    Rows are first folded to one per (station, instant), with map-side aggregation; the distinct
-    counts then need no expansion of the input.
+    Only the key columns are shuffled, to find repeats; all other facts fold into one row per task.
     """
     facts = {f"{m}_null": F.count_if(F.col(m).isNull() | F.isnan(m)) for m in measures}
     facts |= {f"{m}_out": F.count_if(outside(F.col(m), *b)) for m, b in (bounds or {}).items()}
-    per_key = df.groupBy(STATION, TIME).agg(
-        F.count(F.lit(1)).alias("rows"), *[e.alias(n) for n, e in facts.items()]
-    )
-    per_station = per_key.groupBy(STATION).agg(
-        F.sum("rows").alias("rows"),
-        F.sum(F.col("rows") - 1).alias("repeated"),
+    keys = df.groupBy(STATION, TIME).agg(F.count(F.lit(1)).alias("copies"))
+    stations = df.groupBy(STATION).agg(F.lit(1).alias("one")).agg(F.count(STATION).alias("n"))
+    repeated = keys.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n"))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
         F.min(TIME).alias("first_time"),
         F.max(TIME).alias("last_time"),
-        *[F.sum(n).alias(n) for n in facts],
-    )
-    return per_station.agg(
-        F.sum("rows").alias("rows"),
-        F.count(STATION).alias("stations"),
-        F.sum("repeated").alias("repeated_keys"),
-        F.min("first_time").alias("first_time"),
-        F.max("last_time").alias("last_time"),
-        *[F.sum(n).alias(n) for n in facts],
-    )
+        *[e.alias(n) for n, e in facts.items()],
+    ).withColumns({"stations": stations.scalar(), "repeated_keys": repeated.scalar()})
 
 
 def cadence(df: DataFrame, chunking: Chunking | None = Chunking()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorcast.config import DISPLAY_ZONE, STATION, TIME
@@ -43,6 +43,13 @@ def forecast_lookup(newest: DataFrame, forecasts: DataFrame, horizon: int) -> Da
     )
 
 
+def find_forecast(forecasts: DataFrame, station: str, instant: Column, horizon: int) -> DataFrame:
+    """The forecast made at ``instant`` for one station and horizon. All three tests reach the scan."""
+    return forecasts.filter(
+        (F.col(STATION) == station) & (F.col(TIME) == instant) & (F.col("horizon_hours") == horizon)
+    )
+
+
 def forecast_vs_actual(forecasts: DataFrame, readings: DataFrame) -> DataFrame:
     """Forecasts whose time has come, with the value measured then and the error."""
     measured = readings.select(STATION, F.col(TIME).alias("forecast_for"), F.col("pm25").alias("actual_pm25"))

@@ -41,6 +41,12 @@ def boosted(iterations: int = 20, depth: int = 5, seed: int = 42) -> Estimator:
     return lambda label: GBTRegressor(labelCol=label, featuresCol=VECTOR, maxIter=iterations, maxDepth=depth, seed=seed)
 
 
+def _together(job: Callable, items: Sequence, parallelism: int) -> list:
+    """Run one Spark job per item, a few at a time; results in the order of the items."""
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(job, items, chunksize=1)
+
+
 def pipeline(features: Sequence[str], estimator) -> Pipeline:
     assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR, handleInvalid="error")
     return Pipeline(stages=[assembler, estimator])
@@ -51,9 +57,16 @@ def training_table(readings: DataFrame, config: FeatureConfig, horizons: Sequenc
     number of fits. Each fit then reads the features and its own label only."""
     featured = complete(build_features(readings, config, horizons, keep_chunks=True), config)
     keep = [STATION, TIME, *config.features, *[label_name(h) for h in horizons], chunks.CHUNK]
-    rows = stage(featured.select(*dict.fromkeys(keep)), "features")
-    ranked = chunks.with_series_rank(rows, config.chunking).drop(chunks.CHUNK)
-    return stage(ranked, "training")
+    rows = featured.select(*dict.fromkeys(keep))
+    return stage(chunks.with_series_rank(rows, config.chunking).drop(chunks.CHUNK), "training")
+
+
+def next_step_table(readings: DataFrame, config: FeatureConfig, split: SplitConfig) -> DataFrame:
+    """Complete feature rows with the next-step label and the part of the split they belong to."""
+    label = label_name(1)
+    featured = complete(build_features(readings, config, [1], keep_chunks=True), config, [label])
+    rows = featured.select(STATION, TIME, *config.features, label, chunks.CHUNK)
+    return stage(chronological_split(rows, split, config.chunking), "next-step")
 
 
 def in_training(horizon: int, split: SplitConfig) -> Column:
@@ -84,8 +97,7 @@ def train_horizons(
         rows = table.filter(in_training(horizon, split)).select(*config.features, label)
         return horizon, pipeline(config.features, estimator(label)).fit(rows)
 
-    with ThreadPool(max(1, min(parallelism, len(horizons)))) as pool:
-        return dict(pool.imap_unordered(fit, horizons))
+    return dict(_together(fit, horizons, parallelism))
 
 
 def one_hour_model(
@@ -97,17 +109,14 @@ def one_hour_model(
     """Next-step model and its hold-out metrics, one row: mae, rmse, r2, mape, rows, test_rows,
     locations."""
     label = label_name(1)
-    featured = complete(build_features(readings, config, [1], keep_chunks=True), config, [label])
-    keep = [STATION, TIME, *config.features, label, chunks.CHUNK]
-    rows = stage(featured.select(*keep), "one-hour")
-    parts = stage(chronological_split(rows, split, config.chunking), "one-hour-split")
+    parts = next_step_table(readings, config, split)
     model = pipeline(config.features, estimator(label)).fit(parts.filter("part = 'train'"))
     scored = model.transform(parts.filter("part = 'test'"))
     quality = metrics.regression_metrics(scored, F.col(label), F.col("prediction"))
-    size = parts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    stations = parts.agg(F.count_distinct(STATION).alias("n")).scalar()
+    counts = F.struct(F.count(F.lit(1)).alias("rows"), F.count_distinct(STATION).alias("locations"))
+    size = parts.agg(counts.alias("size")).scalar()
     return model, quality.withColumnRenamed("rows", "test_rows").withColumns(
-        {"rows": size, "locations": stations}
+        {"rows": size["rows"], "locations": size["locations"]}
     )
 
 
@@ -120,12 +129,7 @@ def best_by_validation(
     """Fit several kinds of model for the next step, keep the one with the lowest validation RMSE.
     Also returns every candidate's validation and test metrics."""
     label = label_name(1)
-    featured = complete(build_features(readings, config, [1], keep_chunks=True), config, [label])
-    keep = [STATION, TIME, *config.features, label, chunks.CHUNK]
-    parts = stage(
-        chronological_split(stage(featured.select(*keep), "candidates"), split, config.chunking),
-        "candidates-split",
-    )
+    parts = next_step_table(readings, config, split)
     train, later = parts.filter("part = 'train'"), parts.filter("part IN ('validation', 'test')")
     models = {}
     for name, estimator in candidates.items():
@@ -152,19 +156,14 @@ def per_station_models(
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """A model of its own for each listed station, and hold-out metrics by station."""
     label = label_name(1)
-    chosen = readings.filter(F.col(STATION).isin(list(stations)))
-    featured = complete(build_features(chosen, config, [1], keep_chunks=True), config, [label])
-    keep = [STATION, TIME, *config.features, label, chunks.CHUNK]
-    rows = chronological_split(stage(featured.select(*keep), "stations"), split, config.chunking)
-    path_parts = stage(rows, "stations-split")
+    parts = next_step_table(readings.filter(F.col(STATION).isin(list(stations))), config, split)
 
     def fit(station: str) -> tuple[str, PipelineModel]:
-        own = path_parts.filter((F.col(STATION) == station) & (F.col("part") == "train"))
+        own = parts.filter((F.col(STATION) == station) & (F.col("part") == "train"))
         return station, pipeline(config.features, estimator(label)).fit(own)
 
-    with ThreadPool(max(1, min(parallelism, len(stations)))) as pool:
-        models = dict(pool.imap_unordered(fit, stations))
-    tests = path_parts.filter("part = 'test'")
+    models = dict(_together(fit, stations, parallelism))
+    tests = parts.filter("part = 'test'")
     scored = None
     for station in stations:
         own = models[station].transform(tests.filter(F.col(STATION) == station))
@@ -176,25 +175,31 @@ def per_station_models(
 # Storing
 
 
-def save_models(spark: SparkSession, models: Mapping[int, PipelineModel], root: str) -> DataFrame:
+def save_models(spark: SparkSession, models: Mapping[int, PipelineModel], root: str, parallelism: int = 4) -> DataFrame:
     """Write each model to ``<root>/h<n>`` and a manifest beside them; returns the manifest."""
-    rows = []
-    for horizon, model in sorted(models.items()):
+
+    def save(horizon: int) -> tuple[int, str, list[str]]:
         path = f"{root}/h{horizon}"
-        model.write().overwrite().save(path)
-        rows.append((horizon, path, model.stages[0].getInputCols()))
+        models[horizon].write().overwrite().save(path)
+        return horizon, path, models[horizon].stages[0].getInputCols()
+
+    rows = _together(save, sorted(models), parallelism)
     manifest = spark.createDataFrame(rows, "horizon_hours int, path string, features array<string>")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
     return manifest
 
 
-def load_models(spark: SparkSession, root: str, horizons: Sequence[int] | None = None) -> dict[int, PipelineModel]:
+def load_models(
+    spark: SparkSession, root: str, horizons: Sequence[int] | None = None, parallelism: int = 4
+) -> dict[int, PipelineModel]:
     """Models listed in the manifest below ``root``, or those of the given horizons."""
     manifest = spark.read.parquet(f"{root}/manifest")
     if horizons is not None:
         manifest = manifest.filter(F.col("horizon_hours").isin(list(horizons)))
     # One row per horizon, as many as save_models was given.
-    return {row["horizon_hours"]: PipelineModel.load(row["path"]) for row in manifest.collect()}
+    rows = manifest.orderBy("horizon_hours").collect()
+    models = _together(lambda row: PipelineModel.load(row["path"]), rows, parallelism)
+    return {row["horizon_hours"]: model for row, model in zip(rows, models)}
 
 
 def load_or_train(spark: SparkSession, root: str, train: Callable[[], Mapping[int, PipelineModel]]) -> dict[int, PipelineModel]:
@@ -252,11 +257,16 @@ def persistence_forecasts(readings: DataFrame, horizons: Sequence[int], target:
 
 
 def holdout_metrics(
-    table: DataFrame, models: Mapping[int, PipelineModel], split: SplitConfig = SplitConfig()
+    table: DataFrame,
+    models: Mapping[int, PipelineModel],
+    split: SplitConfig = SplitConfig(),
+    target: str = "pm25",
 ) -> DataFrame:
     """MAE, RMSE, R², MAPE and rating by horizon on the test rows, next to the persistence forecast.
     All horizons are scored in one pass over the table."""
-    scored = score_horizons(table, models)
+    # The furthest horizon's test rows start earliest; no horizon needs rows before them.
+    earliest = (F.col("series_rows") - F.lit(max(models))) * F.lit(split.train + split.validation)
+    scored = score_horizons(table.filter(F.col("series_rank") > earliest), models)
     rows = [
         F.struct(
             F.lit(h).alias("horizon_hours"),
@@ -265,8 +275,12 @@ def holdout_metrics(
         )
         for h in sorted(models)
     ]
-    long = scored.select("pm25", F.inline(F.array(*rows)))
-    model = metrics.regression_metrics(long, F.col("actual"), F.col("predicted"), ["horizon_hours"])
-    naive = metrics.regression_metrics(long, F.col("actual"), F.col("pm25"), ["horizon_hours"])
-    baseline = naive.select("horizon_hours", F.col("rmse").alias("persistence_rmse"))
-    return metrics.with_rating(model).join(baseline, "horizon_hours")
+    long = scored.select(target, F.inline(F.array(*rows))).filter(F.col("actual").isNotNull())
+    model = metrics.error_aggregates(F.col("actual"), F.col("predicted"))
+    same = metrics.error_aggregates(F.col("actual"), F.col(target))
+    table = long.groupBy("horizon_hours").agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        *[e.alias(name) for name, e in model.items()],
+        same["rmse"].alias("persistence_rmse"),
+    )
+    return metrics.with_rating(table)

@@ -15,8 +15,9 @@ from sensorcast.schema import GEOJSON_SCHEMA, LANDED_SCHEMA, PAYLOAD_FIELDS, PAY
 
 
 def read_readings_csv(spark: SparkSession, path: str, source_zone: str | None = None) -> DataFrame:
-    """Comma-separated readings with a header line. Columns are matched by position."""
-    raw = spark.read.schema(RAW_READING_SCHEMA).csv(path, header=True)
+    """Comma-separated readings. The header line of each file must name the columns of the schema,
+    in that order; a file with others is an error, not a shift of its values."""
+    raw = spark.read.schema(RAW_READING_SCHEMA).csv(path, header=True, enforceSchema=False)
     return type_readings(raw, source_zone)
 
 

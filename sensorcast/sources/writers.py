@@ -17,6 +17,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def batch_path(path: str, run_id: str, batch_id: int) -> str:
+    return f"{path}/run_id={run_id}/batch_id={batch_id}"
+
+
 def write_batch(df: DataFrame, path: str, run_id: str, batch_id: int) -> None:
     """Add a micro-batch to the table at ``path``. A replayed batch replaces its own earlier output
     and nothing else, so the table holds each batch once."""

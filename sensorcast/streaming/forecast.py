@@ -1,21 +1,29 @@
-"""Forecasting new readings as they land."""
+"""Forecasting new readings as they land, in two streaming jobs.
+
+The first turns each micro-batch of readings into feature rows, for which it needs the recent
+history of the stations concerned. The second scores feature rows with every model. Only the first
+has to build a new plan per micro-batch; the second is planned once, so the models are shipped to
+the executors once and not with every batch.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sensorcast.config import STATION, TIME, FeatureConfig
 from sensorcast.operators.clean import keep_last
 from sensorcast.plans.features import build_features, complete
 from sensorcast.plans.training import forecasts_long, score_horizons
-from sensorcast.schema import DATE
-from sensorcast.sources.writers import write_batch
+from sensorcast.schema import DATE, READING_SCHEMA
+from sensorcast.sources.writers import batch_path, write_batch
 
 History = Callable[[SparkSession], DataFrame]
 
@@ -39,48 +47,53 @@ def bounded_history(history: DataFrame, keys: DataFrame, lookback_hours: int) ->
     return near.withColumn("_slot", slot).join(needed, [STATION, "_slot"], "left_semi").drop("_slot")
 
 
-def forecast_keys(
-    history: DataFrame,
-    keys: DataFrame,
-    models: Mapping[int, PipelineModel],
-    config: FeatureConfig,
-    lookback_hours: int | None,
-) -> DataFrame:
-    """Forecasts of every horizon for the readings named by ``keys`` (station, instant)."""
+def features_of(history: DataFrame, keys: DataFrame, config: FeatureConfig, lookback_hours: int | None) -> DataFrame:
+    """Complete feature rows of the readings named by ``keys`` (station, instant)."""
     if lookback_hours is None:
         near = history.join(keys.select(STATION).distinct(), STATION, "left_semi")
     else:
+        # A slice of a few hours per station needs no splitting.
+        config = replace(config, chunking=None)
         near = bounded_history(history, keys, lookback_hours)
     unique = keep_last(near, config.measures)
     featured = complete(build_features(unique, config), config)
-    wanted = featured.join(keys, [STATION, TIME], "left_semi")
-    return forecasts_long(score_horizons(wanted, models), list(models), config.target)
+    return featured.join(keys, [STATION, TIME], "left_semi").select(feature_schema(config).names)
 
 
-def forecast_batch(
-    batch: DataFrame,
-    batch_id: int,
-    history: History,
-    models: Mapping[int, PipelineModel],
-    path: str,
-    run_id: str,
-    config: FeatureConfig,
-    lookback_hours: int | None,
+def feature_schema(config: FeatureConfig) -> T.StructType:
+    keys = [f for f in READING_SCHEMA if f.name in (STATION, "location_name", TIME)]
+    return T.StructType(keys + [T.StructField(name, T.DoubleType()) for name in config.features])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("run_id string").parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def feature_batch(
+    batch: DataFrame, batch_id: int, history: History, path: str, run_id: str, config: FeatureConfig, lookback_hours: int | None
 ) -> None:
-    """Score one micro-batch and write its forecasts; running it again changes nothing."""
+    """Write the feature rows of one micro-batch. A replayed batch that was already written is left
+    alone: its folder appears as a whole or not at all, and readers may have seen it."""
+    spark = batch.sparkSession
+    if _exists(spark, batch_path(path, run_id, batch_id)):
+        return
     keys = batch.select(STATION, TIME).dropna().dropDuplicates().persist()
     try:
         if not keys.isEmpty():
-            forecasts = forecast_keys(history(batch.sparkSession), keys, models, config, lookback_hours)
-            write_batch(forecasts, path, run_id, batch_id)
+            write_batch(features_of(history(spark), keys, config, lookback_hours), path, run_id, batch_id)
     finally:
         keys.unpersist()
 
 
-def forecast_stream(
+def feature_stream(
     readings: DataFrame,
     history: History,
-    models: Mapping[int, PipelineModel],
     path: str,
     checkpoint: str,
     run_id: str,
@@ -88,8 +101,7 @@ def forecast_stream(
     lookback_hours: int | None = 24,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Forecast every landed reading for every horizon in ``models``; pass one model for the
-    one-hour job.
+    """Write the features of every landed reading to ``path``.
 
     ``run_id`` belongs to the checkpoint: batch numbers restart with a new one. Features counted in
     hours need a lookback of their longest reach. Features counted in rows need one that covers the
@@ -97,12 +109,27 @@ def forecast_stream(
     """
     if config.step == "hours" and lookback_hours is not None and lookback_hours < config.reach:
         raise ValueError(f"lookback of {lookback_hours} h is shorter than the features' {config.reach} h")
-    if lookback_hours is not None:
-        # A slice of a few hours per station needs no splitting.
-        config = replace(config, chunking=None)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        forecast_batch(batch, batch_id, history, models, path, run_id, config, lookback_hours)
+        feature_batch(batch, batch_id, history, path, run_id, config, lookback_hours)
 
     writer = readings.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def score_stream(
+    spark: SparkSession,
+    features_path: str,
+    models: Mapping[int, PipelineModel],
+    path: str,
+    checkpoint: str,
+    config: FeatureConfig = FeatureConfig(step="hours"),
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Forecast every feature row for every horizon in ``models``; pass one model for the one-hour
+    job. Each row lands in ``path`` once."""
+    rows = spark.readStream.schema(feature_schema(config)).parquet(features_path)
+    forecasts = forecasts_long(score_horizons(rows, models), list(models), config.target)
+    writer = forecasts.writeStream.format("parquet").outputMode("append")
+    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
