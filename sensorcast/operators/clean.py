@@ -45,7 +45,7 @@ def decode_messages(messages: DataFrame, source_zone: str | None = None) -> Data
     raw = messages.withColumn("_text", text).select("_text", *others, F.inline(F.array(record)))
     typed = type_readings(raw.withColumn("_time_text", F.col(TIME)), source_zone)
     reason = (
-        F.when(F.col("_text").isNull() | F.col(_BROKEN).isNotNull(), F.lit("not json"))
+        F.when((F.coalesce(F.trim("_text"), F.lit("")) == "") | F.col(_BROKEN).isNotNull(), F.lit("not json"))
         .when(F.col(STATION).isNull(), F.lit("no station"))
         .when(F.col("_time_text").isNull(), F.lit("no time"))
         .when(F.col(TIME).isNull(), F.lit("unreadable time"))

@@ -40,9 +40,12 @@ def read_sensor_csv(spark: SparkSession, path: str, measures: Sequence[str]) ->
 
 
 def flatten_payload(df: DataFrame, payload: Column, keep: Sequence[str], source_zone: str | None = None) -> DataFrame:
-    """JSON answers of the weather service, whose measures are parallel arrays, to one row per hour."""
+    """JSON answers of the weather service, whose measures are parallel arrays, to one row per hour.
+    A measure without an array is null in every row; an unreadable answer has no rows."""
     hourly = F.from_json(payload, PAYLOAD_SCHEMA)["hourly"]
-    arrays = [hourly["time"].alias("time"), *[hourly[f].alias(f) for f in PAYLOAD_FIELDS]]
+    # Zipping with a null array would lose all rows, with an empty one it fills up with nulls.
+    none = F.array().cast("array<double>")
+    arrays = [hourly["time"].alias("time"), *[F.coalesce(hourly[f], none).alias(f) for f in PAYLOAD_FIELDS]]
     rows = df.select(*keep, *arrays).select(*keep, F.inline(F.arrays_zip("time", *PAYLOAD_FIELDS)))
     return rows.select(
         *keep,

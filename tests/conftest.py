@@ -53,11 +53,11 @@ def make_readings(spark):
     return make
 
 
-def rows_of(df, *order):
+def rows_of(df):
     """Rows as sorted tuples, timestamps as text."""
     from pyspark.sql import functions as F
 
     shown = df.select(
-        *[F.col(f.name).cast("string") if f.dataType.typeName() in ("timestamp", "date") else F.col(f.name) for f in df.schema]
+        *[F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() in ("timestamp", "date") else F.col(f"`{f.name}`") for f in df.schema]
     )
     return sorted((tuple(r) for r in shown.collect()), key=lambda r: tuple((x is None, str(x)) for x in r))
