@@ -1 +1,2 @@
-"""DataFrame to DataFrame steps. None of them starts a job or touches session settings."""
+"""DataFrame to DataFrame steps. They are lazy, except that windows over stations first measure which
+stations are too long for one task."""

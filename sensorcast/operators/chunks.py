@@ -14,6 +14,8 @@ repeats with ``keep_last`` first.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,56 +32,73 @@ def _micros() -> Column:
     return F.unix_micros(F.col(TIME))
 
 
-def _unit(df: DataFrame, chunking: Chunking) -> Column:
-    """Rows per chunk: the configured number, or more if the table is so large that this would give
-    more than ``max_chunks`` chunks. The total needs no columns, so a Parquet scan reads footers."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return F.greatest(F.lit(chunking.rows_per_chunk), F.ceil(total / F.lit(chunking.max_chunks)))
+def _slice(low: str, width: str) -> Column:
+    return F.expr(f"(unix_micros({TIME}) - {low}) div {width}")
 
 
-def _oversized(df: DataFrame, keys: list[str], unit: Column, names: tuple[str, str, str], min_width: int = 0) -> DataFrame:
-    """Groups of ``keys`` with more rows than one chunk: first instant, width and number of the last
-    of the equal time slices to cut each one into. ``names`` are the columns to call these.
+def _oversized(df: DataFrame, keys: list[str], chunking: Chunking, min_width: int = 0) -> DataFrame:
+    """Groups of ``keys`` with more rows than one chunk: first instant, width of the equal time
+    slices to cut each one into, and number of the last slice.
 
-    One pass over keys and time with map-side aggregation. At most total / unit groups can exceed
-    the unit, hence at most ``max_chunks``: this table stays small whatever the input size.
+    One pass over keys and time with map-side aggregation. The unit grows with the table, so at most
+    ``max_chunks`` groups can exceed it: this table stays small whatever the input size.
     """
-    low, width, last = names
+    # The total needs no columns, so a Parquet scan reads footers only.
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    unit = F.greatest(F.lit(chunking.rows_per_chunk), F.ceil(total / F.lit(chunking.max_chunks)))
     spans = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(_micros()).alias(low), F.max(_micros()).alias("_hi")
+        F.count(F.lit(1)).alias("n"), F.min(_micros()).alias("low"), F.max(_micros()).alias("high")
     )
-    even = F.ceil((F.col("_hi") - F.col(low) + 1) / F.ceil(F.col("_n") / unit))
+    even = F.ceil((F.col("high") - F.col("low") + 1) / F.ceil(F.col("n") / unit))
     return (
-        spans.filter(F.col("_n") > unit)
-        .select(*keys, low, "_hi", F.greatest(even, F.lit(max(min_width, 1))).alias(width))
-        .select(*keys, low, width, F.expr(f"(_hi - {low}) div {width}").alias(last))
+        spans.filter((F.col("n") > unit) & (F.col("high") > F.col("low")))
+        .select(*keys, "low", "high", F.greatest(even, F.lit(max(min_width, 1))).alias("width"))
+        .select(*keys, "low", "width", F.expr("(high - low) div width").alias("last"))
     )
 
 
-def _slice(low: str, width: str) -> Column:
-    return F.expr(f"(unix_micros({TIME}) - {low}) div {width}")
-
-
-class _Cuts:
+@dataclass(frozen=True)
+class Cuts:
     """Where the long stations of a table are cut, in two steps. Equal slices of a station's time
     span first; slices that still hold too many rows, because the readings come in bursts, are then
-    cut again. Both tables are of bounded size (see ``_oversized``) and therefore broadcast."""
+    cut again. Any cuts give the same results; these make the chunks even."""
 
-    def __init__(self, df: DataFrame, chunking: Chunking):
-        unit = _unit(df, chunking)
-        narrow = df.select(STATION, TIME)
-        self.stations = _oversized(narrow, [STATION], unit, ("_lo", "_width", "_last"))
-        cells = narrow.join(F.broadcast(self.stations), STATION).withColumn("_cell", _slice("_lo", "_width"))
-        self.bursts = _oversized(cells, [STATION, "_cell"], unit, ("_lo2", "_width2", "_last2"))
+    stations: DataFrame
+    bursts: DataFrame | None
 
     def place(self, df: DataFrame, long_only: bool = False) -> DataFrame:
         """Add the chunk number; ``long_only`` keeps just the stations that are split."""
-        coarse = df.join(
-            F.broadcast(self.stations), STATION, "inner" if long_only else "left"
-        ).withColumn("_cell", _slice("_lo", "_width"))
-        fine = coarse.join(F.broadcast(self.bursts), [STATION, "_cell"], "left")
-        number = F.col("_cell") * F.lit(_FINE) + F.coalesce(_slice("_lo2", "_width2"), F.lit(0))
-        return fine.withColumn(CHUNK, F.coalesce(number, F.lit(_WHOLE).cast("long"))).select(*df.columns, CHUNK)
+        kind = "inner" if long_only else "left"
+        placed = df.join(F.broadcast(self.stations), STATION, kind).withColumn("_cell", _slice("_low", "_width"))
+        part = F.lit(0)
+        if self.bursts is not None:
+            placed = placed.join(F.broadcast(self.bursts), [STATION, "_cell"], "left")
+            part = F.coalesce(_slice("_low2", "_width2"), F.lit(0))
+        number = F.col("_cell") * F.lit(_FINE) + part
+        return placed.withColumn(CHUNK, F.coalesce(number, F.lit(_WHOLE).cast("long"))).select(*df.columns, CHUNK)
+
+
+def _held(df: DataFrame, suffix: str = "") -> DataFrame | None:
+    """The rows of a table of cuts as local data, or None if there are none. Their number is bounded
+    (see ``_oversized``), and holding them keeps the pass that found them out of the later plan."""
+    rows = df.collect()
+    if not rows:
+        return None
+    names = {n: f"_{n}{suffix}" for n in ("low", "width", "last")}
+    return df.sparkSession.createDataFrame(rows, df.schema).withColumnsRenamed(names)
+
+
+def measure_cuts(df: DataFrame, chunking: Chunking, min_width: int = 0) -> Cuts | None:
+    """Look for long stations, and for bursts in those; None if no station needs to be split. This
+    runs a job over the station and time columns, the only one that chunking starts."""
+    narrow = df.select(STATION, TIME)
+    stations = _held(_oversized(narrow, [STATION], chunking, min_width))
+    if stations is None:
+        return None
+    if min_width:
+        return Cuts(stations, None)
+    cells = narrow.join(F.broadcast(stations), STATION).withColumn("_cell", _slice("_low", "_width"))
+    return Cuts(stations, _held(_oversized(cells, [STATION, "_cell"], chunking), suffix="2"))
 
 
 def _unsplit(df: DataFrame) -> DataFrame:
@@ -89,7 +108,8 @@ def _unsplit(df: DataFrame) -> DataFrame:
 def with_chunks(df: DataFrame, chunking: Chunking | None) -> DataFrame:
     """Add the chunk number only, for functions that need no neighbours. ``None`` leaves every
     station whole, which suits series known to be short, such as a micro-batch with its history."""
-    return _unsplit(df) if chunking is None else _Cuts(df, chunking).place(df)
+    cuts = measure_cuts(df, chunking) if chunking else None
+    return cuts.place(df) if cuts else _unsplit(df)
 
 
 def chunk_window() -> Window:
@@ -123,9 +143,9 @@ def with_row_halo(
 
     ``values`` are the columns the windows read; copies carry no others.
     """
-    if chunking is None:
+    cuts = measure_cuts(df, chunking) if chunking else None
+    if cuts is None:
         return _unsplit(df).withColumn(HALO, F.lit(False))
-    cuts = _Cuts(df, chunking)
     out = cuts.place(df).withColumn(HALO, F.lit(False))
     narrow = df.select(STATION, TIME, *[v for v in values if v not in (STATION, TIME)])
     for size, backward in ((before, True), (after, False)):
@@ -141,13 +161,12 @@ def with_time_halo(df: DataFrame, before: int, after: int, chunking: Chunking |
     Chunks are at least as wide as the longer reach, so a row is copied into at most one chunk on
     either side, and all copies are made in place, without another pass.
     """
-    if chunking is None:
+    cuts = measure_cuts(df, chunking, min_width=max(before, after, 1)) if chunking else None
+    if cuts is None:
         return _unsplit(df).withColumn(HALO, F.lit(False))
-    geometry = ("_lo", "_width", "_last")
-    longs = _oversized(df, [STATION], _unit(df, chunking), geometry, min_width=max(before, after))
-    placed = df.join(F.broadcast(longs), STATION, "left")
-    own = F.coalesce(_slice("_lo", "_width"), F.lit(_WHOLE).cast("long"))
-    at = _micros() - F.col("_lo")
+    placed = df.join(F.broadcast(cuts.stations), STATION, "left")
+    own = F.coalesce(_slice("_low", "_width"), F.lit(_WHOLE).cast("long"))
+    at = _micros() - F.col("_low")
     first = F.greatest(F.lit(0).cast("long"), F.floor((at - F.lit(after)) / F.col("_width")))
     last = F.least(F.col("_last"), F.floor((at + F.lit(before)) / F.col("_width")))
     targets = F.when(F.col("_own") < 0, F.array("_own")).otherwise(F.sequence(first, last))
@@ -155,7 +174,7 @@ def with_time_halo(df: DataFrame, before: int, after: int, chunking: Chunking |
         placed.withColumn("_own", own)
         .withColumn(CHUNK, F.explode(targets))
         .withColumn(HALO, F.col(CHUNK) != F.col("_own"))
-        .drop("_own", *geometry)
+        .drop("_own", "_low", "_width", "_last")
     )
 
 
@@ -177,8 +196,6 @@ def with_series_rank(df: DataFrame, chunking: Chunking | None) -> DataFrame:
             "_rows": F.count(F.lit(1)).over(Window.partitionBy(STATION, CHUNK)),
         }
     )
-    if chunking is None:
-        return local.withColumnsRenamed({"_rank": "series_rank", "_rows": "series_rows"})
     along = Window.partitionBy(STATION).orderBy(CHUNK)
     sizes = (
         chunked.filter(F.col(CHUNK) >= 0)
