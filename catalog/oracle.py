@@ -307,3 +307,19 @@ ORACLES["alerts"] = _with(READINGS_SQL) + f"""
 SELECT event_id, location_id, "timestamp", round(aqi, 6) AS aqi,
   (CASE WHEN aqi <= 100 THEN 4 ELSE 5 END)::INTEGER AS alert_level, {_case("aqi", bands.AQI_BANDS)} AS alert_label
 FROM readings WHERE aqi > 80"""
+
+_LAGGED = """lagged AS (
+  SELECT h.*, l1.pm25 AS pm25_lag1, l3.pm25 AS pm25_lag3,
+    (SELECT avg(p.pm25) FROM hourly p WHERE p.location_id = h.location_id
+       AND p."timestamp" BETWEEN h."timestamp" - INTERVAL 3 HOUR AND h."timestamp" - INTERVAL 1 HOUR) AS pm25_mean3
+  FROM hourly h
+  JOIN hourly l1 ON l1.location_id = h.location_id AND l1."timestamp" = h."timestamp" - INTERVAL 1 HOUR
+  JOIN hourly l3 ON l3.location_id = h.location_id AND l3."timestamp" = h."timestamp" - INTERVAL 3 HOUR)"""
+ORACLES["stream_features"] = _with(READINGS_SQL, HOURLY_SQL, _LAGGED) + f"""
+SELECT location_id, location_name, "timestamp", {_rounded(_VECTOR, 9)},
+  hour("timestamp")::DOUBLE AS hour, round({DAY_FRACTION}, 9) AS day_of_week, {CODE} AS location_code
+FROM lagged"""
+
+ORACLES["stream_alerts"] = _with(READINGS_SQL, HOURLY_SQL) + f"""
+SELECT location_id, "timestamp", round(aqi, 6) AS aqi, {_case("aqi", bands.AQI_BANDS)} AS alert_label
+FROM hourly WHERE aqi > 60"""

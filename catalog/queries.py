@@ -17,7 +17,7 @@ from sensorcast.plans import features, reports, storage, training
 from sensorcast.schema import PAYLOAD_FIELDS
 from sensorcast.sources import readers, streams, writers
 from sensorcast.staging import scratch_path
-from sensorcast.streaming.forecast import feature_stream, score_stream
+from sensorcast.streaming.forecast import feature_schema, feature_stream, score_stream
 from sensorcast.streaming.ingest import ingest_readings
 
 QUERIES = {}
@@ -497,18 +497,47 @@ def stream_rejects(spark, sf_dir):
     return rejects.unionByName(landed_rows)
 
 
+def _landed_hours(spark, sf_dir) -> str:
+    """The hourly series as a stream would have landed it; returns its folder."""
+    landed = scratch_path(spark, "landed")
+    source = hourly(spark, sf_dir).drop("readings").withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
+    source.withColumn("reading_date", F.to_date("timestamp")).write.partitionBy("reading_date").parquet(landed)
+    return landed
+
+
+def _feature_rows(spark, landed: str, config) -> str:
+    """Run the feature stream over everything landed; returns the folder of its output."""
+    rows, state = scratch_path(spark, "feature-rows"), scratch_path(spark, "feature-state")
+    history = lambda session: readers.read_landed(session, landed)
+    stream = streams.reading_stream(spark, landed)
+    _finish([feature_stream(stream, history, rows, state, "run-1", config, trigger=ONCE)])
+    return rows
+
+
+@query
+def stream_features(spark, sf_dir):
+    config = replace(CONFIG, step="hours")
+    rows = _feature_rows(spark, _landed_hours(spark, sf_dir), config)
+    table = spark.read.schema(feature_schema(config)).parquet(rows)
+    return present(table.drop("run_id", "batch_id"), 9)
+
+
 @query
 def stream_forecast(spark, sf_dir):
     """Land the hourly series, then forecast every landed reading with models trained on it."""
     config = replace(CONFIG, step="hours")
-    source = hourly(spark, sf_dir).drop("readings").withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
-    landed, rows, out = (scratch_path(spark, n) for n in ("landed", "feature-rows", "forecasts"))
-    source.withColumn("reading_date", F.to_date("timestamp")).write.partitionBy("reading_date").parquet(landed)
-    table = training.training_table(source, config, [1, 6])
+    landed = _landed_hours(spark, sf_dir)
+    table = training.training_table(readers.read_landed(spark, landed), config, [1, 6])
     models = training.train_horizons(table, config, [1, 6])
-    stream = streams.reading_stream(spark, landed)
-    history = lambda session: readers.read_landed(session, landed)
-    state = scratch_path(spark, "forecast-state")
-    _finish([feature_stream(stream, history, rows, f"{state}/features", "run-1", config, trigger=ONCE)])
-    _finish([score_stream(spark, rows, models, out, f"{state}/scores", config, trigger=ONCE)])
+    rows, out = _feature_rows(spark, landed, config), scratch_path(spark, "forecasts")
+    _finish([score_stream(spark, rows, models, out, scratch_path(spark, "score-state"), config, trigger=ONCE)])
     return spark.read.parquet(out)
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    landed, out = _landed_hours(spark, sf_dir), scratch_path(spark, "alerts")
+    found = reports.alerts(streams.reading_stream(spark, landed), "aqi", 3).select("location_id", "timestamp", "aqi", "alert_label")
+    sink = found.writeStream.format("parquet").option("path", out).trigger(**ONCE)
+    _finish([sink.option("checkpointLocation", scratch_path(spark, "alert-state")).start()])
+    return present(spark.read.schema(found.schema).parquet(out))
