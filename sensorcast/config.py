@@ -33,7 +33,7 @@ class Chunking:
     """
 
     rows_per_chunk: int = 1_000_000
-    max_chunks: int = 20_000
+    max_chunks: int = 100_000
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from sensorcast.config import STATION, TIME, FeatureConfig, ForestConfig, SplitC
 from sensorcast.functions.calendar import hours_later
 from sensorcast.operators import chunks, metrics
 from sensorcast.plans.features import build_features, chronological_split, complete
-from sensorcast.staging import stage
+from sensorcast.staging import path_exists, stage
 
 Estimator = Callable[[str], object]
 VECTOR = "features"
@@ -204,11 +204,8 @@ def load_models(
 
 def load_or_train(spark: SparkSession, root: str, train: Callable[[], Mapping[int, PipelineModel]]) -> dict[int, PipelineModel]:
     """Stored models, or new ones from ``train``, which are stored first."""
-    try:
+    if path_exists(spark, f"{root}/manifest"):
         return load_models(spark, root)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
     models = dict(train())
     save_models(spark, models, root)
     return models

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorcast.config import STATION
 
 
-def write_table(df: DataFrame, path: str) -> None:
+RUN_COLUMNS = (T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType()))
+
+
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the table at ``path``."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _CONF = "spark.checkpoint.dir"
 
@@ -28,6 +30,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever storage it names."""
+    try:
+        spark.read.schema("value string").text(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def ensure_table(spark: SparkSession, path: str, schema: StructType, partitions: list[str]) -> None:
+    """Make ``path`` an empty table if there is nothing yet, so that a stream can start reading it
+    before the first rows arrive."""
+    if not path_exists(spark, path):
+        spark.createDataFrame([], schema).write.mode("append").partitionBy(*partitions).parquet(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage is cut, losing an
     executor costs nothing upstream, and each later pass reads only the columns it needs."""

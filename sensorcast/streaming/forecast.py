@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,8 @@ from sensorcast.operators.clean import keep_last
 from sensorcast.plans.features import build_features, complete
 from sensorcast.plans.training import forecasts_long, score_horizons
 from sensorcast.schema import DATE, READING_SCHEMA
-from sensorcast.sources.writers import batch_path, write_batch
+from sensorcast.sources.writers import RUN_COLUMNS, batch_path, write_batch
+from sensorcast.staging import ensure_table, path_exists
 
 History = Callable[[SparkSession], DataFrame]
 
@@ -52,8 +52,6 @@ def features_of(history: DataFrame, keys: DataFrame, config: FeatureConfig, look
     if lookback_hours is None:
         near = history.join(keys.select(STATION).distinct(), STATION, "left_semi")
     else:
-        # A slice of a few hours per station needs no splitting.
-        config = replace(config, chunking=None)
         near = bounded_history(history, keys, lookback_hours)
     unique = keep_last(near, config.measures)
     featured = complete(build_features(unique, config), config)
@@ -65,27 +63,21 @@ def feature_schema(config: FeatureConfig) -> T.StructType:
     return T.StructType(keys + [T.StructField(name, T.DoubleType()) for name in config.features])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema("run_id string").parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
-
-
 def feature_batch(
     batch: DataFrame, batch_id: int, history: History, path: str, run_id: str, config: FeatureConfig, lookback_hours: int | None
 ) -> None:
     """Write the feature rows of one micro-batch. A replayed batch that was already written is left
     alone: its folder appears as a whole or not at all, and readers may have seen it."""
     spark = batch.sparkSession
-    if _exists(spark, batch_path(path, run_id, batch_id)):
+    if path_exists(spark, batch_path(path, run_id, batch_id)):
         return
     keys = batch.select(STATION, TIME).dropna().dropDuplicates().persist()
     try:
-        if not keys.isEmpty():
+        size = keys.count()
+        if lookback_hours is not None and config.chunking and size <= config.chunking.rows_per_chunk:
+            # A few hours of a few readings: only a backlog can hold stations worth splitting.
+            config = replace(config, chunking=None)
+        if size > 0:
             write_batch(features_of(history(spark), keys, config, lookback_hours), path, run_id, batch_id)
     finally:
         keys.unpersist()
@@ -128,7 +120,10 @@ def score_stream(
 ) -> StreamingQuery:
     """Forecast every feature row for every horizon in ``models``; pass one model for the one-hour
     job. Each row lands in ``path`` once."""
-    rows = spark.readStream.schema(feature_schema(config)).parquet(features_path)
+    schema = feature_schema(config)
+    numbered = T.StructType([*schema.fields, *RUN_COLUMNS])
+    ensure_table(spark, features_path, numbered, [f.name for f in RUN_COLUMNS])
+    rows = spark.readStream.schema(numbered).parquet(features_path).select(schema.names)
     forecasts = forecasts_long(score_horizons(rows, models), list(models), config.target)
     writer = forecasts.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)

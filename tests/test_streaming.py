@@ -5,7 +5,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from sensorcast.config import FeatureConfig, ForestConfig
+from sensorcast.config import Chunking, FeatureConfig, ForestConfig
 from sensorcast.functions.bands import AQI_BANDS
 from sensorcast.plans import reports, training
 from sensorcast.plans.features import build_features, complete
@@ -92,9 +92,11 @@ def test_rejects_are_kept(spark, source, tmp_path):
     assert sorted(r.reject_reason for r in bad.collect()) == ["not json", "unreadable time"]
 
 
-@pytest.mark.parametrize("step, lookback", [("hours", 3), ("hours", 24), ("rows", 24), ("rows", None)])
-def test_stream_forecasts_equal_batch_forecasts(spark, source, models, tmp_path, step, lookback):
-    config = replace(HOURS, step=step)
+@pytest.mark.parametrize(
+    "step, lookback, per_chunk", [("hours", 3, 1000), ("hours", 24, 10), ("rows", 24, 1000), ("rows", None, 10)]
+)
+def test_stream_forecasts_equal_batch_forecasts(spark, source, models, tmp_path, step, lookback, per_chunk):
+    config = replace(HOURS, step=step, chunking=Chunking(per_chunk))
     cut = F.col("timestamp") < F.lit("2024-01-02 12:00:00").cast("timestamp")
     land(source.filter(cut), str(tmp_path / "landed"))
     run_forecasts(spark, tmp_path, models, lookback=lookback, config=config)
@@ -132,6 +134,37 @@ def test_one_model_gives_one_horizon(spark, source, models, tmp_path):
     assert rows_of(got.select("horizon_hours").distinct()) == [(1,)]
 
 
+def test_streams_start_before_anything_landed(spark, source, models, tmp_path):
+    landed, rows, out = (str(tmp_path / n) for n in ("landed", "rows", "forecasts"))
+    history = lambda s: readers.read_landed(s, landed)
+    first = forecast.feature_stream(streams.reading_stream(spark, landed), history, rows, str(tmp_path / "s1"), "run")
+    second = forecast.score_stream(spark, rows, models, out, str(tmp_path / "s2"))
+    first.processAllAvailable()
+    second.processAllAvailable()
+    land(source, landed)
+    first.processAllAvailable()
+    second.processAllAvailable()
+    first.stop()
+    second.stop()
+    expected = complete(build_features(source, HOURS), HOURS).count() * 2
+    assert spark.read.parquet(out).count() == expected > 0
+
+
+def test_ingest_feeds_the_feature_stream(spark, source, models, tmp_path):
+    """From messages to forecasts through the folder the ingest job owns."""
+    put(source, tmp_path / "in")
+    ingest(spark, tmp_path, dedupe_within="10 days")
+    landed, rows = str(tmp_path / "out"), str(tmp_path / "rows")
+    history = lambda s: readers.read_landed(s, landed)
+    stream = streams.reading_stream(spark, landed)
+    finish(forecast.feature_stream(stream, history, rows, str(tmp_path / "s1"), "run", HOURS, 24, ONCE))
+    finish(forecast.score_stream(spark, rows, models, str(tmp_path / "f"), str(tmp_path / "s2"), HOURS, ONCE))
+    batch = training.forecasts_long(
+        training.score_horizons(complete(build_features(source, HOURS), HOURS), models), [1, 6]
+    )
+    assert rows_of(spark.read.parquet(str(tmp_path / "f"))) == rows_of(batch)
+
+
 def test_empty_batch_writes_nothing(spark, source, tmp_path):
     history = lambda s: source
     forecast.feature_batch(source.filter("false"), 0, history, str(tmp_path / "rows"), "run", HOURS, 24)
