@@ -64,6 +64,26 @@ SELECT location_id, "timestamp", {", ".join(f"round({c}, 9) AS v_{c}" for c in _
   hour("timestamp")::DOUBLE AS v_hour, round({DAY_FRACTION}, 9) AS v_day_of_week, {CODE} AS v_location_code
 FROM shifted WHERE pm25_lag3 IS NOT NULL"""
 
+_FLAGS = ", ".join(
+    f"(target_h{h} IS NOT NULL AND series_rank {test} (series_rows - {h}) * 0.8::DOUBLE) AS {name}_h{h}"
+    for name, test in (("train", "<="), ("test", ">"))
+    for h in (1, 6, 24)
+)
+ORACLES["training_rows"] = _with(READINGS_SQL) + f""",
+shifted AS (
+  SELECT *, lag(pm25, 3) OVER w AS pm25_lag3,
+    avg(pm25) OVER (PARTITION BY location_id ORDER BY "timestamp" ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS pm25_mean3,
+    lead(pm25, 1) OVER w AS target_h1, lead(pm25, 6) OVER w AS target_h6, lead(pm25, 24) OVER w AS target_h24
+  FROM readings WINDOW w AS (PARTITION BY location_id ORDER BY "timestamp")),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY "timestamp") AS series_rank,
+    count(*) OVER (PARTITION BY location_id) AS series_rows
+  FROM shifted WHERE pm25_lag3 IS NOT NULL)
+SELECT location_id, "timestamp", {_rounded(["pm25_mean3", "target_h1", "target_h6", "target_h24"])},
+  series_rank, series_rows, {_FLAGS}
+FROM ranked"""
+ORACLES["training_rows_split_stations"] = ORACLES["training_rows"]
+
 ORACLES["time_aware_lags"] = _with(READINGS_SQL, HOURLY_SQL) + """
 SELECT h.location_id, h."timestamp", round(h.pm25, 6) AS pm25, round(l1.pm25, 6) AS pm25_lag1,
   round(l3.pm25, 6) AS pm25_lag3,
@@ -158,6 +178,11 @@ SELECT event_id,
             CASE WHEN co < 5 THEN 'co' END) AS out_of_range
 FROM readings"""
 
+ORACLES["outlier_bounds"] = _with(READINGS_SQL) + "\nUNION ALL\n".join(
+    f" SELECT '{m}' AS measure, round(quantile_disc({m}, 0.01), 6) AS low, round(quantile_disc({m}, 0.99), 6) AS high FROM readings"
+    for m in MEASURES
+)
+
 ORACLES["dedupe_last"] = _with(READINGS_SQL) + f"""
 SELECT location_id, location_name, latitude, longitude, "timestamp", round(pm25 + 1, 6) AS pm25,
   {_rounded(MEASURES[1:])}, 2::INTEGER AS ingest_seq

@@ -419,6 +419,26 @@ def vector_assembly(spark, sf_dir):
     )
 
 
+def _training_rows(spark, sf_dir, config):
+    """Everything that decides which rows each horizon's model learns from and is tested on."""
+    table = training.training_table(readings(spark, sf_dir), config, MODEL_HORIZONS)
+    split = SplitConfig()
+    flags = [training.in_training(h, split).alias(f"train_h{h}") for h in MODEL_HORIZONS]
+    flags += [training.in_test(h, split).alias(f"test_h{h}") for h in MODEL_HORIZONS]
+    labels = [label_name(h) for h in MODEL_HORIZONS]
+    return present(table.select("location_id", "timestamp", "pm25_mean3", *labels, "series_rank", "series_rows", *flags))
+
+
+@query
+def training_rows(spark, sf_dir):
+    return _training_rows(spark, sf_dir, CONFIG)
+
+
+@query
+def training_rows_split_stations(spark, sf_dir):
+    return _training_rows(spark, sf_dir, replace(CONFIG, chunking=SMALL_CHUNKS))
+
+
 @query
 def rf_one_hour(spark, sf_dir):
     return training.one_hour_model(readings(spark, sf_dir), CONFIG)[1]

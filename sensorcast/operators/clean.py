@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sensorcast.config import MEASURES, STATION, TIME
 from sensorcast.functions import casts
+from sensorcast.operators.quantiles import quantiles
 from sensorcast.schema import RAW_READING_SCHEMA, READING_SCHEMA
 
 REJECT = "reject_reason"
@@ -119,8 +120,8 @@ def flag_out_of_range(df: DataFrame, bounds: Bounds) -> DataFrame:
     return df.withColumn("out_of_range", F.concat_ws(",", *names))
 
 
-def quantile_bounds(df: DataFrame, measures: Sequence[str], low: float, high: float, accuracy: int = 10000) -> DataFrame:
-    """Outlier bounds per measure from approximate quantiles, in one pass with mergeable sketches."""
-    sketches = [F.percentile_approx(m, [low, high], accuracy).alias(m) for m in measures]
-    rows = [F.struct(F.lit(m).alias("measure"), F.col(m)[0].alias("low"), F.col(m)[1].alias("high")) for m in measures]
-    return df.agg(*sketches).select(F.inline(F.array(*rows)))
+def quantile_bounds(df: DataFrame, measures: Sequence[str], low: float, high: float) -> DataFrame:
+    """Outlier bounds per measure: its values at two quantiles."""
+    found = quantiles(df, measures, [low, high])
+    at = lambda p: F.max(F.when(F.col("probability") == p, F.col("value")))
+    return found.groupBy("measure").agg(at(low).alias("low"), at(high).alias("high"))

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from conftest import rows_of
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sensorcast.functions import bands, casts
 from sensorcast.operators import clean, metrics, profile
+from sensorcast.operators.quantiles import quantiles
 
 
 def test_decode_sorts_out_bad_messages(spark):
@@ -69,8 +72,27 @@ def test_ranges(spark):
 
 def test_quantile_bounds(spark):
     df = spark.range(1, 1001).select(F.col("id").cast("double").alias("pm25"))
-    row = clean.quantile_bounds(df, ["pm25"], 0.1, 0.9).first()
-    assert (row.measure, row.low, row.high) == ("pm25", pytest.approx(100, abs=2), pytest.approx(900, abs=2))
+    assert rows_of(clean.quantile_bounds(df, ["pm25"], 0.1, 0.9)) == [("pm25", 100.0, 900.0)]
+
+
+@pytest.mark.parametrize("cells, few", [(4096, 1_000_000), (2, 1), (7, 20)])
+def test_quantiles_against_sorting(spark, cells, few):
+    rnd = random.Random(cells)
+    columns = {
+        "even": [rnd.uniform(-5, 5) for _ in range(500)],
+        "outlier": [rnd.random() for _ in range(499)] + [1e12],
+        "heavy": [3.0] * 400 + [rnd.random() * 9 for _ in range(100)],
+        "same": [7.0] * 500,
+        "holes": [None if i % 3 else (float("nan") if i % 2 else float(i)) for i in range(500)],
+        "empty": [None] * 500,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    probabilities = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    expected = []
+    for name, values in columns.items():
+        known = sorted(v for v in values if v is not None and v == v)
+        expected += [(name, p, known[max(1, math.ceil(p * len(known))) - 1]) for p in probabilities if known]
+    assert rows_of(quantiles(df, list(columns), probabilities, cells, few)) == sorted(expected, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
 def test_band_bounds_are_inclusive(spark):
