@@ -85,11 +85,11 @@ FROM ranked"""
 ORACLES["training_rows_split_stations"] = ORACLES["training_rows"]
 
 ORACLES["time_aware_lags"] = _with(READINGS_SQL, HOURLY_SQL) + """
-SELECT h.location_id, h."timestamp", round(h.pm25, 6) AS pm25, round(l1.pm25, 6) AS pm25_lag1,
-  round(l3.pm25, 6) AS pm25_lag3,
-  (SELECT round(avg(p.pm25), 6) FROM hourly p WHERE p.location_id = h.location_id
+SELECT h.location_id, h."timestamp", round(h.pm25, 9) AS pm25, round(l1.pm25, 9) AS pm25_lag1,
+  round(l3.pm25, 9) AS pm25_lag3,
+  (SELECT round(avg(p.pm25), 9) FROM hourly p WHERE p.location_id = h.location_id
      AND p."timestamp" BETWEEN h."timestamp" - INTERVAL 3 HOUR AND h."timestamp" - INTERVAL 1 HOUR) AS pm25_mean3,
-  round(t1.pm25, 6) AS target_h1, round(t24.pm25, 6) AS target_h24
+  round(t1.pm25, 9) AS target_h1, round(t24.pm25, 9) AS target_h24
 FROM hourly h
 LEFT JOIN hourly l1 ON l1.location_id = h.location_id AND l1."timestamp" = h."timestamp" - INTERVAL 1 HOUR
 LEFT JOIN hourly l3 ON l3.location_id = h.location_id AND l3."timestamp" = h."timestamp" - INTERVAL 3 HOUR
@@ -140,7 +140,7 @@ SELECT location_id, "timestamp", round(pm25, 6) AS pm25, series_rank, series_row
 FROM ranked"""
 
 ORACLES["hourly_resample"] = _with(READINGS_SQL, HOURLY_SQL) + f"""
-SELECT location_id, location_name, "timestamp", {ROUNDED_MEASURES}, readings FROM hourly"""
+SELECT location_id, location_name, "timestamp", {_rounded(MEASURES, 9)}, readings FROM hourly"""
 
 ORACLES["sensor_clean"] = """
 SELECT event_id, date_trunc('second', ts) AS "timestamp",
@@ -167,7 +167,7 @@ FROM events GROUP BY 1"""
 ORACLES["stream_rejects"] = ORACLES["message_quarantine"]
 
 ORACLES["payload_flatten"] = _with(READINGS_SQL, HOURLY_SQL) + f"""
-SELECT location_id, "timestamp", {ROUNDED_MEASURES} FROM hourly"""
+SELECT location_id, "timestamp", {_rounded(MEASURES, 9)} FROM hourly"""
 
 ORACLES["range_check"] = _with(READINGS_SQL) + """
 SELECT event_id,
@@ -251,9 +251,9 @@ ORACLES["forecast_fanout"] = _with(READINGS_SQL, _FANOUT.format(source="readings
 SELECT {_FORECAST_LIST} FROM forecasts"""
 
 ORACLES["forecast_vs_actual"] = _with(READINGS_SQL, HOURLY_SQL, _FANOUT.format(source="hourly")) + """
-SELECT f.location_id, f.location_name, f."timestamp", round(f.pm25, 6) AS pm25, round(f.aqi, 6) AS aqi,
-  round(f.predicted_pm25, 6) AS predicted_pm25, f.horizon_hours, f.forecast_for,
-  round(a.pm25, 6) AS actual_pm25, round(a.pm25 - f.predicted_pm25, 6) AS error
+SELECT f.location_id, f.location_name, f."timestamp", round(f.pm25, 9) AS pm25, round(f.aqi, 9) AS aqi,
+  round(f.predicted_pm25, 9) AS predicted_pm25, f.horizon_hours, f.forecast_for,
+  round(a.pm25, 9) AS actual_pm25, round(a.pm25 - f.predicted_pm25, 9) AS error
 FROM forecasts f JOIN hourly a ON a.location_id = f.location_id AND a."timestamp" = f.forecast_for"""
 
 ORACLES["find_forecast"] = _with(READINGS_SQL, _FANOUT.format(source="readings")) + f"""
@@ -346,5 +346,5 @@ SELECT location_id, location_name, "timestamp", {_rounded(_VECTOR, 9)},
 FROM lagged"""
 
 ORACLES["stream_alerts"] = _with(READINGS_SQL, HOURLY_SQL) + f"""
-SELECT location_id, "timestamp", round(aqi, 6) AS aqi, {_case("aqi", bands.AQI_BANDS)} AS alert_label
+SELECT location_id, "timestamp", round(aqi, 9) AS aqi, {_case("aqi", bands.AQI_BANDS)} AS alert_label
 FROM hourly WHERE aqi > 60"""

@@ -28,8 +28,8 @@ class Chunking:
     """How long series are split so that no station has to fit into one task.
 
     A station with more rows than ``rows_per_chunk`` is processed as several time chunks. The unit
-    grows with the table (total rows / ``max_chunks``), so there are never more than about
-    2 * ``max_chunks`` chunks and the table describing them is small enough to broadcast.
+    grows with the table (total rows / ``max_chunks``), so at most ``max_chunks`` stations are split,
+    into a few times as many chunks, and the tables describing them are small enough to broadcast.
     """
 
     rows_per_chunk: int = 1_000_000
