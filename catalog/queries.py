@@ -14,7 +14,7 @@ from sensorcast.config import HORIZONS, MEASURES, SplitConfig, label_name
 from sensorcast.functions import bands, calendar
 from sensorcast.operators import clean, metrics, profile, series
 from sensorcast.plans import features, reports, storage, training
-from sensorcast.schema import PAYLOAD_FIELDS
+from sensorcast.schema import FORECAST_SCHEMA, PAYLOAD_FIELDS
 from sensorcast.sources import readers, streams, writers
 from sensorcast.staging import scratch_path
 from sensorcast.streaming.forecast import feature_schema, feature_stream, score_stream
@@ -481,7 +481,7 @@ def rf_multi_horizon(spark, sf_dir):
     training.save_models(spark, training.train_horizons(table, CONFIG, MODEL_HORIZONS), root)
     models = training.load_models(spark, root)
     rows = features.complete(features.build_features(source, CONFIG), CONFIG)
-    return training.forecasts_long(training.score_horizons(rows, models), MODEL_HORIZONS)
+    return present(training.forecasts_long(training.score_horizons(rows, models), MODEL_HORIZONS))
 
 
 @query
@@ -502,11 +502,11 @@ def _finish(queries):
 @query
 def stream_ingest(spark, sf_dir):
     """Every reading twice as messages; each lands once."""
-    inbox, landed, state = (scratch_path(spark, n) for n in ("inbox", "landed", "ingest-state"))
+    inbox, landed, bad, state = (scratch_path(spark, n) for n in ("inbox", "landed", "rejects", "ingest-state"))
     messages = writers.to_messages(readings(spark, sf_dir)).select("value")
     messages.unionByName(messages).write.text(inbox)
     source = streams.message_stream(spark, "json", inbox)
-    _finish(ingest_readings(source, landed, state, dedupe_within="40 days", trigger=ONCE))
+    _finish(ingest_readings(source, landed, bad, state, dedupe_within="40 days", trigger=ONCE))
     return present(readers.read_landed(spark, landed).drop("reading_date"))
 
 
@@ -515,7 +515,7 @@ def stream_rejects(spark, sf_dir):
     inbox, landed, bad, state = (scratch_path(spark, n) for n in ("inbox", "landed", "rejects", "ingest-state"))
     _damaged_messages(spark, sf_dir).write.text(inbox)
     source = streams.message_stream(spark, "json", inbox)
-    _finish(ingest_readings(source, landed, state, rejects_path=bad, trigger=ONCE))
+    _finish(ingest_readings(source, landed, bad, state, trigger=ONCE))
     rejects = spark.read.parquet(bad).groupBy(F.col(clean.REJECT).alias("outcome")).agg(F.count("*").alias("messages"))
     landed_rows = readers.read_landed(spark, landed).agg(F.lit("accepted").alias("outcome"), F.count("*").alias("messages"))
     return rejects.unionByName(landed_rows)
@@ -555,7 +555,7 @@ def stream_forecast(spark, sf_dir):
     models = training.train_horizons(table, config, [1, 6])
     rows, out = _feature_rows(spark, landed, config), scratch_path(spark, "forecasts")
     _finish([score_stream(spark, rows, models, out, scratch_path(spark, "score-state"), config, trigger=ONCE)])
-    return spark.read.parquet(out)
+    return present(spark.read.schema(FORECAST_SCHEMA).parquet(out))
 
 
 @query

@@ -61,7 +61,7 @@ def ingest(spark, args):
     source = streams.message_stream(spark, args.source, args.path, **options)
     _wait(
         ingest_readings(
-            source, args.landed, args.state, args.rejects, args.dedupe_within, _trigger(args), args.zone
+            source, args.landed, args.rejects, args.state, args.dedupe_within, _trigger(args), args.zone
         )
     )
 
@@ -119,12 +119,11 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--horizons", nargs="+", type=int)
     one.add_argument("--parallelism", type=int, default=4)
 
-    one = job(ingest, "landed", "state")
+    one = job(ingest, "landed", "rejects", "state")
     streaming_options(one)
     one.add_argument("--source", choices=("kafka", "json"), default="kafka")
     one.add_argument("--path", help="folder of text files, for --source json")
     one.add_argument("--option", action="append", default=[], help="name=value for the source")
-    one.add_argument("--rejects")
     one.add_argument("--dedupe-within")
     one.add_argument("--zone", help="time zone of timestamps without offset")
 

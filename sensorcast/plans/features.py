@@ -21,8 +21,10 @@ def with_shifts(
     """Add lags, rolling means of the steps before the row, and one label per horizon.
 
     All of them share one partitioning and one sort, whatever their number. ``measures`` defaults to
-    the target; labels are made for the target only. Leaves the chunk column in place.
+    the target; labels are made for the target only. Rows without station or time have no place in a
+    series and are left out. Leaves the chunk column in place.
     """
+    readings = readings.filter(F.col(STATION).isNotNull() & F.col(TIME).isNotNull())
     measures = list(measures or [config.target])
     ahead = max(horizons, default=0)
     shifts = {}

@@ -16,8 +16,8 @@ EVERY = {"processingTime": "5 seconds"}
 def ingest_readings(
     messages: DataFrame,
     path: str,
+    rejects_path: str,
     checkpoint: str,
-    rejects_path: str | None = None,
     dedupe_within: str | None = None,
     trigger: dict | None = None,
     source_zone: str | None = None,
@@ -35,10 +35,10 @@ def ingest_readings(
     if dedupe_within is not None:
         good = good.withWatermark(TIME, dedupe_within).dropDuplicatesWithinWatermark([STATION, TIME])
     landed = good.select(*READING_SCHEMA.names, F.to_date(TIME).alias(DATE))
-    queries = [_append(landed, path, f"{checkpoint}/readings", trigger, DATE)]
-    if rejects_path is not None:
-        queries.append(_append(rejected(decoded), rejects_path, f"{checkpoint}/rejects", trigger))
-    return queries
+    return [
+        _append(landed, path, f"{checkpoint}/readings", trigger, DATE),
+        _append(rejected(decoded), rejects_path, f"{checkpoint}/rejects", trigger),
+    ]
 
 
 def _append(df: DataFrame, path: str, checkpoint: str, trigger: dict, *partitions: str) -> StreamingQuery:

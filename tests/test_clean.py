@@ -57,6 +57,11 @@ def test_sensor_rows(spark):
     ]
 
 
+def test_null_sentinel(spark):
+    df = spark.createDataFrame([(-200.0, 1.0), (2.0, -200.0), (None, 3.0)], "a double, b double")
+    assert rows_of(clean.null_sentinel(df, ["a"])) == [(2.0, -200.0), (None, 1.0), (None, 3.0)]
+
+
 def test_keep_last(spark):
     rows = [("a", "t1", 1, 5.0), ("a", "t1", 3, 7.0), ("a", "t1", 2, 6.0), ("b", "t1", 1, 8.0)]
     df = spark.createDataFrame(rows, "location_id string, timestamp string, seq int, pm25 double")

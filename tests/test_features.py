@@ -63,6 +63,13 @@ def test_features_ignore_the_future(make_readings, config):
     assert rows_of(build_features(one, config).filter(until)) == rows_of(build_features(other, config).filter(until))
 
 
+def test_rows_without_time_or_station_are_left_out(make_readings):
+    df = make_readings({"a": [(h, float(h)) for h in range(6)]})
+    stray = df.limit(2).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    nameless = df.limit(2).withColumn("location_id", F.lit(None).cast("string"))
+    assert rows_of(build_features(df.unionByName(stray).unionByName(nameless), CONFIG)) == rows_of(build_features(df, CONFIG))
+
+
 def test_null_and_nan_measures_are_not_complete(spark, make_readings):
     df = make_readings({"a": [(h, 1.0) for h in range(6)]})
     hour = F.hour("timestamp")

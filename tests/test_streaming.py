@@ -28,7 +28,8 @@ def put(df, folder):
 
 def ingest(spark, tmp_path, **options):
     source = streams.message_stream(spark, "json", str(tmp_path / "in"))
-    finish(*ingest_readings(source, str(tmp_path / "out"), str(tmp_path / "state"), trigger=ONCE, **options))
+    out, bad, state = (str(tmp_path / n) for n in ("out", "bad", "state"))
+    finish(*ingest_readings(source, out, bad, state, trigger=ONCE, **options))
     return readers.read_landed(spark, str(tmp_path / "out"))
 
 
@@ -86,7 +87,7 @@ def test_late_readings(spark, make_readings, tmp_path):
 def test_rejects_are_kept(spark, source, tmp_path):
     put(source, tmp_path / "in")
     (tmp_path / "in" / "bad.txt").write_text("oops\n" + json.dumps({"location_id": "a", "timestamp": "soon"}) + "\n")
-    landed = ingest(spark, tmp_path, rejects_path=str(tmp_path / "bad"))
+    landed = ingest(spark, tmp_path)
     assert landed.count() == source.count()
     bad = spark.read.parquet(str(tmp_path / "bad"))
     assert sorted(r.reject_reason for r in bad.collect()) == ["not json", "unreadable time"]
