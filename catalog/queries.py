@@ -561,7 +561,8 @@ def stream_forecast(spark, sf_dir):
 @query
 def stream_alerts(spark, sf_dir):
     landed, out = _landed_hours(spark, sf_dir), scratch_path(spark, "alerts")
-    found = reports.alerts(streams.reading_stream(spark, landed), "aqi", 3).select("location_id", "timestamp", "aqi", "alert_label")
+    found = reports.alerts(streams.reading_stream(spark, landed), "aqi", 3)
+    found = found.select("location_id", "timestamp", "aqi", "alert_label")
     sink = found.writeStream.format("parquet").option("path", out).trigger(**ONCE)
     _finish([sink.option("checkpointLocation", scratch_path(spark, "alert-state")).start()])
     return present(spark.read.schema(found.schema).parquet(out), HOURLY_DIGITS)

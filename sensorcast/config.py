@@ -35,13 +35,18 @@ class Chunking:
     rows_per_chunk: int = 1_000_000
     max_chunks: int = 100_000
 
+    def __post_init__(self):
+        if not (self.rows_per_chunk > 0 and 0 < self.max_chunks <= 500_000):
+            raise ValueError("rows_per_chunk must be positive and max_chunks at most 500,000")
+
 
 @dataclass(frozen=True)
 class FeatureConfig:
     """Which lags, rolling means and labels to derive, and in what unit.
 
     ``step="rows"`` counts readings, ``step="hours"`` looks up exact time offsets and so is immune
-    to gaps in the series.
+    to gaps in the series. The latter wants a regular series; ``resample_hourly`` makes one of
+    denser readings.
     """
 
     target: str = "pm25"
@@ -82,6 +87,8 @@ def label_name(horizon: int) -> str:
 class ForestConfig:
     """Random forest settings. The one-hour model uses ``min_instances=2``, the others 1."""
 
+    # What the published models were trained with.
+
     trees: int = 20
     depth: int = 10
     bins: int = 32

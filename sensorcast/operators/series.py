@@ -20,7 +20,8 @@ def latest(df: DataFrame) -> DataFrame:
 
 
 def recent(df: DataFrame, rows: int) -> DataFrame:
-    """The ``rows`` newest rows of each station with their ``recency`` (1 is the newest)."""
+    """The ``rows`` newest rows of each station with their ``recency`` (1 is the newest). Spark drops
+    the others before the shuffle for up to 1000 rows (``windowGroupLimitThreshold``)."""
     newest_first = Window.partitionBy(STATION).orderBy(F.col(TIME).desc())
     return df.withColumn("recency", F.row_number().over(newest_first)).filter(F.col("recency") <= rows)
 
