@@ -37,8 +37,11 @@ def bounded_history(history: DataFrame, keys: DataFrame, lookback_hours: int) ->
     """
     span = lookback_hours * 3600
     lookback = F.make_dt_interval(F.lit(0), F.lit(lookback_hours))
-    limits = keys.agg(F.min(TIME).alias("first"), F.max(TIME).alias("last")).first()
-    first, last = F.lit(limits["first"]) - lookback, F.lit(limits["last"])
+    # As numbers: Python datetimes would pass through the driver's own time zone.
+    at = F.unix_micros(TIME)
+    limits = keys.agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
+    first = F.timestamp_micros(F.lit(limits["first"])) - lookback
+    last = F.timestamp_micros(F.lit(limits["last"]))
     near = history.filter(F.col(TIME).between(first, last))
     if DATE in history.columns:
         near = near.filter(F.col(DATE).between(F.to_date(first), F.to_date(last)))
