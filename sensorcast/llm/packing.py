@@ -34,10 +34,6 @@ SCHEMA = (
 )
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _LOOK_AHEAD = r"\s+(?!\S)|"
-SCHEMA = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
-)
-_ODD_SPACE = re.compile(r"\s |  |[\0\x1c-\x1f\x85]")
 
 
 class Encoder:
