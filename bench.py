@@ -7,6 +7,7 @@ import os
 import sys
 import tempfile
 import time
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession, Window
@@ -111,9 +112,9 @@ def stream_times(spark: SparkSession, source, models) -> dict[str, float]:
 
     land(F.col("n") > 5)
     stream = streams.reading_stream(spark, landed)
-    # Rows as features and one day of history; the landed backlog is the first micro-batch.
+    # Hours as features and one day of history; the landed backlog is the first micro-batch.
     first = forecast.feature_stream(
-        stream, lambda s: readers.read_landed(s, landed), rows, f"{state}/f", "bench", CONFIG, lookback_hours=24
+        stream, lambda s: readers.read_landed(s, landed), rows, f"{state}/f", "bench", replace(CONFIG, step="hours"), lookback_hours=24
     )
     first.processAllAvailable()
     second = forecast.score_stream(spark, rows, models, forecasts, f"{state}/s", CONFIG)

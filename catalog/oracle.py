@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.tables import HOURLY_SQL, READINGS_SQL
-from sensorcast.config import MEASURES
+from sensorcast.config import HORIZONS, MEASURES
 from sensorcast.functions import bands
 
 ORACLES: dict[str, str] = {}
@@ -67,34 +67,36 @@ FROM shifted WHERE pm25_lag3 IS NOT NULL"""
 _FLAGS = ", ".join(
     f"(target_h{h} IS NOT NULL AND series_rank {test} (series_rows - {h}) * 0.8::DOUBLE) AS {name}_h{h}"
     for name, test in (("train", "<="), ("test", ">"))
-    for h in (1, 6, 24)
+    for h in HORIZONS
 )
 ORACLES["training_rows"] = _with(READINGS_SQL) + f""",
 shifted AS (
   SELECT *, lag(pm25, 3) OVER w AS pm25_lag3,
     avg(pm25) OVER (PARTITION BY location_id ORDER BY "timestamp" ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS pm25_mean3,
-    lead(pm25, 1) OVER w AS target_h1, lead(pm25, 6) OVER w AS target_h6, lead(pm25, 24) OVER w AS target_h24
+    {", ".join(f"lead(pm25, {h}) OVER w AS target_h{h}" for h in HORIZONS)}
   FROM readings WINDOW w AS (PARTITION BY location_id ORDER BY "timestamp")),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY "timestamp") AS series_rank,
     count(*) OVER (PARTITION BY location_id) AS series_rows
   FROM shifted WHERE pm25_lag3 IS NOT NULL)
-SELECT location_id, "timestamp", {_rounded(["pm25_mean3", "target_h1", "target_h6", "target_h24"])},
+SELECT location_id, "timestamp", {_rounded(["pm25_mean3", *[f"target_h{h}" for h in HORIZONS]])},
   series_rank, series_rows, {_FLAGS}
 FROM ranked"""
 ORACLES["training_rows_split_stations"] = ORACLES["training_rows"]
 
-ORACLES["time_aware_lags"] = _with(READINGS_SQL, HOURLY_SQL) + """
+ORACLES["time_aware_lags"] = _with(READINGS_SQL, HOURLY_SQL) + f"""
 SELECT h.location_id, h."timestamp", round(h.pm25, 9) AS pm25, round(l1.pm25, 9) AS pm25_lag1,
   round(l3.pm25, 9) AS pm25_lag3,
   (SELECT round(avg(p.pm25), 9) FROM hourly p WHERE p.location_id = h.location_id
      AND p."timestamp" BETWEEN h."timestamp" - INTERVAL 3 HOUR AND h."timestamp" - INTERVAL 1 HOUR) AS pm25_mean3,
-  round(t1.pm25, 9) AS target_h1, round(t24.pm25, 9) AS target_h24
+  {", ".join(f"round(t{h}.pm25, 9) AS target_h{h}" for h in HORIZONS)}
 FROM hourly h
 LEFT JOIN hourly l1 ON l1.location_id = h.location_id AND l1."timestamp" = h."timestamp" - INTERVAL 1 HOUR
 LEFT JOIN hourly l3 ON l3.location_id = h.location_id AND l3."timestamp" = h."timestamp" - INTERVAL 3 HOUR
-LEFT JOIN hourly t1 ON t1.location_id = h.location_id AND t1."timestamp" = h."timestamp" + INTERVAL 1 HOUR
-LEFT JOIN hourly t24 ON t24.location_id = h.location_id AND t24."timestamp" = h."timestamp" + INTERVAL 24 HOUR"""
+""" + "\n".join(
+    f"""LEFT JOIN hourly t{h} ON t{h}.location_id = h.location_id AND t{h}."timestamp" = h."timestamp" + INTERVAL {h} HOUR"""
+    for h in HORIZONS
+)
 ORACLES["time_aware_lags_split_stations"] = ORACLES["time_aware_lags"]
 
 ORACLES["station_encode"] = _with(READINGS_SQL) + f"""

@@ -21,7 +21,6 @@ from sensorcast.streaming.forecast import feature_schema, feature_stream, score_
 from sensorcast.streaming.ingest import ingest_readings
 
 QUERIES = {}
-MODEL_HORIZONS = (1, 6, 24)
 ONCE = {"availableNow": True}
 # Means of two-decimal values over 2^n readings can end in a 5 at the seventh digit, where engines round
 # a half up or down as its binary form happens to fall; at the ninth they do not for n below 8.
@@ -62,10 +61,10 @@ def features_many_stations(spark, sf_dir):
 
 
 def _time_lags(spark, sf_dir, config):
-    rows = features.build_features(hourly(spark, sf_dir), config, [1, 24])
+    rows = features.build_features(hourly(spark, sf_dir), config, HORIZONS)
     return present(
         rows.select(
-            "location_id", "timestamp", "pm25", "pm25_lag1", "pm25_lag3", "pm25_mean3", "target_h1", "target_h24"
+            "location_id", "timestamp", "pm25", "pm25_lag1", "pm25_lag3", "pm25_mean3", *map(label_name, HORIZONS)
         ),
         HOURLY_DIGITS,
     )
@@ -425,11 +424,11 @@ def vector_assembly(spark, sf_dir):
 
 def _training_rows(spark, sf_dir, config):
     """Everything that decides which rows each horizon's model learns from and is tested on."""
-    table = training.training_table(readings(spark, sf_dir), config, MODEL_HORIZONS)
+    table = training.training_table(readings(spark, sf_dir), config, HORIZONS)
     split = SplitConfig()
-    flags = [training.in_training(h, split).alias(f"train_h{h}") for h in MODEL_HORIZONS]
-    flags += [training.in_test(h, split).alias(f"test_h{h}") for h in MODEL_HORIZONS]
-    labels = [label_name(h) for h in MODEL_HORIZONS]
+    flags = [training.in_training(h, split).alias(f"train_h{h}") for h in HORIZONS]
+    flags += [training.in_test(h, split).alias(f"test_h{h}") for h in HORIZONS]
+    labels = [label_name(h) for h in HORIZONS]
     return present(table.select("location_id", "timestamp", "pm25_mean3", *labels, "series_rank", "series_rows", *flags))
 
 
@@ -455,12 +454,12 @@ def linear_one_hour(spark, sf_dir):
 
 @query
 def gbt_one_hour(spark, sf_dir):
-    return training.one_hour_model(readings(spark, sf_dir), CONFIG, training.boosted(iterations=10))[1]
+    return training.one_hour_model(readings(spark, sf_dir), CONFIG, training.boosted())[1]
 
 
 @query
 def best_model(spark, sf_dir):
-    kinds = {"forest": training.forest(), "linear": training.linear()}
+    kinds = {"forest": training.forest(), "linear": training.linear(), "boosted": training.boosted()}
     return training.best_by_validation(readings(spark, sf_dir), kinds, CONFIG)[2]
 
 
@@ -476,18 +475,18 @@ def per_station_models(spark, sf_dir):
 def rf_multi_horizon(spark, sf_dir):
     """Train, store, load and apply a model per horizon."""
     source = readings(spark, sf_dir)
-    table = training.training_table(source, CONFIG, MODEL_HORIZONS)
+    table = training.training_table(source, CONFIG, HORIZONS)
     root = scratch_path(spark, "models")
-    training.save_models(spark, training.train_horizons(table, CONFIG, MODEL_HORIZONS), root)
+    training.save_models(spark, training.train_horizons(table, CONFIG, HORIZONS), root)
     models = training.load_models(spark, root)
     rows = features.complete(features.build_features(source, CONFIG), CONFIG)
-    return present(training.forecasts_long(training.score_horizons(rows, models), MODEL_HORIZONS))
+    return present(training.forecasts_long(training.score_horizons(rows, models), HORIZONS))
 
 
 @query
 def holdout_metrics(spark, sf_dir):
-    table = training.training_table(readings(spark, sf_dir), CONFIG, MODEL_HORIZONS)
-    models = training.train_horizons(table, CONFIG, MODEL_HORIZONS)
+    table = training.training_table(readings(spark, sf_dir), CONFIG, HORIZONS)
+    models = training.train_horizons(table, CONFIG, HORIZONS)
     return training.holdout_metrics(table, models)
 
 
@@ -507,7 +506,7 @@ def stream_ingest(spark, sf_dir):
     messages.unionByName(messages).write.text(inbox)
     source = streams.message_stream(spark, "json", inbox)
     _finish(ingest_readings(source, landed, bad, state, dedupe_within="40 days", trigger=ONCE))
-    return present(readers.read_landed(spark, landed).drop("reading_date"))
+    return present(readers.read_landed(spark, landed).drop("reading_date", "ingested_at"))
 
 
 @query
@@ -551,8 +550,8 @@ def stream_forecast(spark, sf_dir):
     """Land the hourly series, then forecast every landed reading with models trained on it."""
     config = replace(CONFIG, step="hours")
     landed = _landed_hours(spark, sf_dir)
-    table = training.training_table(readers.read_landed(spark, landed), config, [1, 6])
-    models = training.train_horizons(table, config, [1, 6])
+    table = training.training_table(readers.read_landed(spark, landed), config, HORIZONS)
+    models = training.train_horizons(table, config, HORIZONS)
     rows, out = _feature_rows(spark, landed, config), scratch_path(spark, "forecasts")
     _finish([score_stream(spark, rows, models, out, scratch_path(spark, "score-state"), config, trigger=ONCE)])
     return present(spark.read.schema(FORECAST_SCHEMA).parquet(out))

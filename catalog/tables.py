@@ -13,7 +13,7 @@ from sensorcast.config import MEASURES, Chunking, FeatureConfig
 from sensorcast.functions.stations import station_dimension
 
 CODES = (("click", 0.0), ("error", 1.0), ("purchase", 2.0))
-CONFIG = FeatureConfig(station_codes=CODES)
+CONFIG = FeatureConfig(station_codes=CODES, unknown_code=3.0)
 # Small enough that every station is cut into chunks at the scale of the check.
 SMALL_CHUNKS = Chunking(rows_per_chunk=300)
 LATITUDE = {"click": 10.0, "error": 16.0, "purchase": 21.0}

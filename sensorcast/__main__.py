@@ -70,7 +70,7 @@ def features(spark, args):
     """Landed readings to feature rows."""
     source = streams.reading_stream(spark, args.landed)
     history = lambda session: readers.read_landed(session, args.landed)
-    lookback = args.lookback or None
+    lookback = args.lookback or None if args.step == "hours" else None
     _wait([feature_stream(source, history, args.features, args.state, args.run, _config(args), lookback, _trigger(args))])
 
 
@@ -130,7 +130,7 @@ def parser() -> argparse.ArgumentParser:
     one = job(features, "landed", "features", "state", "run")
     streaming_options(one)
     one.add_argument("--step", choices=("rows", "hours"), default="hours")
-    one.add_argument("--lookback", type=int, default=24, help="hours of history; 0 for all")
+    one.add_argument("--lookback", type=int, default=24, help="hours of history for --step hours; 0 for all")
 
     one = job(score, "features", "models", "forecasts", "state")
     streaming_options(one)

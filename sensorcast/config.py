@@ -55,7 +55,8 @@ class FeatureConfig:
     means: tuple[int, ...] = (3,)
     step: str = "rows"
     station_codes: tuple[tuple[str, float], ...] = tuple((s[0], s[4]) for s in STATIONS)
-    unknown_code: float | None = 3.0
+    # A code no listed station has; None leaves the feature null, so such rows are not complete.
+    unknown_code: float | None = -1.0
     chunking: Chunking | None = field(default_factory=Chunking)
 
     def __post_init__(self):

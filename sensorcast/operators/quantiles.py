@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class _Search:
-    """The wanted value is the ``rank``-th smallest of the ``rows`` values in [low, high]."""
+    """The wanted value is the ``rank``-th smallest of the ``rows`` values in [low, high]. ``close``
+    says that all of them have the same sign and binary exponent."""
 
     measure: str
     probability: float
@@ -20,6 +21,7 @@ class _Search:
     rows: int
     low: float
     high: float
+    close: bool = False
 
     def values(self) -> Column:
         """The value where it lies in the interval, null elsewhere."""
@@ -31,16 +33,29 @@ def _long(df: DataFrame, searches: Sequence[_Search]) -> DataFrame:
     """One row per search and value in its interval."""
     columns = [
         F.struct(F.lit(i).alias("search"), s.values().alias("value"), F.lit(s.low).alias("low"),
-                 F.lit(s.high).alias("high"), F.lit(s.rank).cast("long").alias("rank"))
+                 F.lit(s.high).alias("high"), F.lit(s.rank).cast("long").alias("rank"), F.lit(s.close).alias("close"))
         for i, s in enumerate(searches)
     ]
     return df.select(F.inline(F.array(*columns))).filter(F.col("value").isNotNull())
 
 
+def _magnitude(value: Column) -> Column:
+    """A whole number that rises with the value and is equal for values of one sign and exponent."""
+    size = F.abs(value)
+    infinite = size == F.lit(float("inf"))
+    exponent = F.when(infinite, F.lit(3000)).otherwise(F.floor(F.log2(size)).cast("int") + 1500)
+    return F.when(value == 0, F.lit(0)).when(value < 0, -exponent).otherwise(exponent)
+
+
 def _narrow(df: DataFrame, searches: Sequence[_Search], cells: int) -> list[_Search]:
-    """Cut every interval into equal cells, count them, and keep the cell that holds the rank."""
+    """Cut every interval into cells, count them, and keep the cell that holds the rank.
+
+    The first cut is by sign and exponent, so infinite and very distant values cannot spoil it; the
+    others are linear between values less than a factor of two apart, so each leaves one of ``cells``
+    parts of what a double can tell apart: six passes for 4096 cells, whatever the values."""
     share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
-    cell = F.least(F.floor(share * cells), F.lit(cells - 1)).alias("cell")
+    linear = F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")
+    cell = F.when(F.col("close"), linear).otherwise(_magnitude(F.col("value"))).alias("cell")
     # As many rows as there are cells, however large the table.
     counted = _long(df, searches).groupBy("search", "rank", cell).agg(
         F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high")
@@ -50,7 +65,9 @@ def _narrow(df: DataFrame, searches: Sequence[_Search], cells: int) -> list[_Sea
         (F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("rows"))
     )
     return [
-        replace(searches[r["search"]], rank=r["rank"] - r["before"], rows=r["rows"], low=r["low"], high=r["high"])
+        replace(
+            searches[r["search"]], rank=r["rank"] - r["before"], rows=r["rows"], low=r["low"], high=r["high"], close=True
+        )
         for r in held.collect()
     ]
 

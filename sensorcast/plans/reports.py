@@ -10,7 +10,8 @@ from sensorcast.functions.bands import AQI_BANDS, PM25_BANDS, Band, band_guidanc
 from sensorcast.functions.calendar import display_time
 from sensorcast.functions.stations import attach_dimension
 from sensorcast.operators import series
-from sensorcast.operators.clean import drop_incomplete
+from sensorcast.operators.clean import drop_incomplete, keep_last
+from sensorcast.schema import LANDED_AT
 
 RECENT_COLUMNS = (TIME, "pm25", "pm10", "aqi", "co", "no2", "so2", "o3")
 
@@ -32,10 +33,23 @@ def colour_ceiling(overview: DataFrame) -> DataFrame:
     return overview.agg(F.greatest(F.lit(100.0), F.max("aqi")).alias("ceiling"))
 
 
+def last_forecasts(forecasts: DataFrame) -> DataFrame:
+    """One forecast per station, instant and horizon: that of the last run, where runs are told apart
+    by ``run_id`` and ``batch_id``, and always the same one where they are not."""
+    order = [c for c in ("run_id", "batch_id") if c in forecasts.columns]
+    return keep_last(forecasts, [*order, "predicted_pm25"], (STATION, TIME, "horizon_hours"))
+
+
+def last_readings(readings: DataFrame) -> DataFrame:
+    """One reading per station and instant, the one that landed last."""
+    landed = [c for c in (LANDED_AT,) if c in readings.columns]
+    return keep_last(readings, [*landed, "pm25"])
+
+
 def forecast_lookup(newest: DataFrame, forecasts: DataFrame, horizon: int) -> DataFrame:
     """Each station's newest reading with its forecast for one horizon; ``status`` tells whether the
     forecast is there yet."""
-    wanted = forecasts.filter(F.col("horizon_hours") == horizon).select(
+    wanted = last_forecasts(forecasts.filter(F.col("horizon_hours") == horizon)).select(
         STATION, TIME, "predicted_pm25", "forecast_for"
     )
     return newest.join(wanted, [STATION, TIME], "left").withColumn(
@@ -44,16 +58,15 @@ def forecast_lookup(newest: DataFrame, forecasts: DataFrame, horizon: int) -> Da
 
 
 def find_forecast(forecasts: DataFrame, station: str, instant: Column, horizon: int) -> DataFrame:
-    """The forecast made at ``instant`` for one station and horizon. All three tests reach the scan."""
-    return forecasts.filter(
-        (F.col(STATION) == station) & (F.col(TIME) == instant) & (F.col("horizon_hours") == horizon)
-    )
+    """The last forecast made at ``instant`` for one station and horizon. All three tests reach the scan."""
+    asked = (F.col(STATION) == station) & (F.col(TIME) == instant) & (F.col("horizon_hours") == horizon)
+    return last_forecasts(forecasts.filter(asked))
 
 
 def forecast_vs_actual(forecasts: DataFrame, readings: DataFrame) -> DataFrame:
     """Forecasts whose time has come, with the value measured then and the error."""
-    measured = readings.select(STATION, F.col(TIME).alias("forecast_for"), F.col("pm25").alias("actual_pm25"))
-    return forecasts.join(measured, [STATION, "forecast_for"]).withColumn(
+    measured = last_readings(readings).select(STATION, F.col(TIME).alias("forecast_for"), F.col("pm25").alias("actual_pm25"))
+    return last_forecasts(forecasts).join(measured, [STATION, "forecast_for"]).withColumn(
         "error", F.col("actual_pm25") - F.col("predicted_pm25")
     )
 

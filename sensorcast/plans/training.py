@@ -89,8 +89,10 @@ def train_horizons(
     split: SplitConfig = SplitConfig(),
     parallelism: int = 4,
 ) -> dict[int, PipelineModel]:
-    """One model per horizon. Fits run as concurrent Spark jobs, so the cluster is not idle in the
-    small last stages of each."""
+    """One model per horizon; a horizon without training rows gets none. Fits run as concurrent Spark
+    jobs, so the cluster is not idle in the small last stages of each."""
+    counts = table.agg(*[F.count_if(in_training(h, split)).alias(f"h{h}") for h in horizons]).first()
+    horizons = [h for h in horizons if counts[f"h{h}"]]
 
     def fit(horizon: int) -> tuple[int, PipelineModel]:
         label = label_name(horizon)

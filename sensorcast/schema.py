@@ -24,7 +24,11 @@ READING_SCHEMA = T.StructType(
 
 # Readings as a stream lands them: partitioned by date, so that a time range is a list of folders.
 DATE = "reading_date"
-LANDED_SCHEMA = T.StructType([*READING_SCHEMA.fields, T.StructField(DATE, T.DateType())])
+# The time of landing tells which of several versions of a reading came last.
+LANDED_AT = "ingested_at"
+LANDED_SCHEMA = T.StructType(
+    [*READING_SCHEMA.fields, T.StructField(LANDED_AT, T.TimestampType()), T.StructField(DATE, T.DateType())]
+)
 
 # Readings as they arrive in text form. Everything is a string, so that one malformed field cannot
 # turn a whole record into nulls without a trace.

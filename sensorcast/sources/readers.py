@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sensorcast.config import TIME
 from sensorcast.functions.casts import to_instant
-from sensorcast.operators.clean import BLANK_COLUMNS, clean_sensor_rows, type_readings
+from sensorcast.operators.clean import clean_sensor_rows, type_readings
 from sensorcast.schema import GEOJSON_SCHEMA, LANDED_SCHEMA, PAYLOAD_FIELDS, PAYLOAD_SCHEMA, RAW_READING_SCHEMA, READING_SCHEMA
 
 
@@ -32,11 +31,20 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sensor_csv(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:
-    """Semicolon-separated file of one sensor station: Date, Time, the measures, blank columns."""
+    """Semicolon-separated file of one sensor station: Date, Time, the measures, blank columns.
+
+    Columns are found by their names in the header, in any order and case and whatever stands in brackets
+    behind them, as in CO(GT); a missing one is an error. Rows in which all of them are empty are
+    dropped; a row that only lacks its date keeps its measures, without a timestamp."""
     names = ["Date", "Time", *measures]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *BLANK_COLUMNS[1:3]]])
-    raw = spark.read.schema(schema).csv(path, header=True, sep=";", enforceSchema=True)
-    return clean_sensor_rows(raw, measures).filter(F.col("Date").isNotNull())
+    found = spark.read.csv(path, header=True, sep=";", enforceSchema=False)
+    named = {c.partition("(")[0].strip().lower(): c for c in reversed(found.columns)} | {c: c for c in found.columns}
+    at = {n: named.get(n, named.get(n.lower())) for n in names}
+    missing = [n for n, column in at.items() if column is None]
+    if missing:
+        raise ValueError(f"the header of {path} lacks {', '.join(missing)}")
+    raw = found.select(*[F.col(f"`{column}`").alias(n) for n, column in at.items()])
+    return clean_sensor_rows(raw.filter(F.coalesce(*[F.nullif(F.trim(f"`{n}`"), F.lit("")) for n in names]).isNotNull()), measures)
 
 
 def flatten_payload(df: DataFrame, payload: Column, keep: Sequence[str], source_zone: str | None = None) -> DataFrame:

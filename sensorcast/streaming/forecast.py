@@ -9,7 +9,6 @@ the executors once and not with every batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ from sensorcast.config import STATION, TIME, FeatureConfig
 from sensorcast.operators.clean import keep_last
 from sensorcast.plans.features import build_features, complete
 from sensorcast.plans.training import forecasts_long, score_horizons
-from sensorcast.schema import DATE, READING_SCHEMA
+from sensorcast.schema import DATE, LANDED_AT, READING_SCHEMA
 from sensorcast.sources.writers import RUN_COLUMNS, batch_path, write_batch
 from sensorcast.staging import ensure_table, path_exists
 
@@ -56,7 +55,8 @@ def features_of(history: DataFrame, keys: DataFrame, config: FeatureConfig, look
         near = history.join(keys.select(STATION).distinct(), STATION, "left_semi")
     else:
         near = bounded_history(history, keys, lookback_hours)
-    unique = keep_last(near, config.measures)
+    # The reading that landed last; where that is not known, the choice is at least always the same.
+    unique = keep_last(near, [*[c for c in (LANDED_AT,) if c in near.columns], *config.measures])
     featured = complete(build_features(unique, config), config)
     return featured.join(keys, [STATION, TIME], "left_semi").select(feature_schema(config).names)
 
@@ -76,11 +76,7 @@ def feature_batch(
         return
     keys = batch.select(STATION, TIME).dropna().dropDuplicates().persist()
     try:
-        size = keys.count()
-        if lookback_hours is not None and config.chunking and size <= config.chunking.rows_per_chunk:
-            # A few hours of a few readings: only a backlog can hold stations worth splitting.
-            config = replace(config, chunking=None)
-        if size > 0:
+        if not keys.isEmpty():
             write_batch(features_of(history(spark), keys, config, lookback_hours), path, run_id, batch_id)
     finally:
         keys.unpersist()
@@ -99,9 +95,12 @@ def feature_stream(
     """Write the features of every landed reading to ``path``.
 
     ``run_id`` belongs to the checkpoint: batch numbers restart with a new one. Features counted in
-    hours need a lookback of their longest reach. Features counted in rows need one that covers the
-    longest gap, or None, which reads the whole history of the batch's stations.
+    hours need a lookback of their longest reach. Features counted in rows take no lookback: with
+    gaps, no number of hours is sure to hold the rows before a key. They read the whole history of
+    the batch's stations.
     """
+    if config.step == "rows" and lookback_hours is not None:
+        raise ValueError("features counted in rows need lookback_hours=None")
     if config.step == "hours" and lookback_hours is not None and lookback_hours < config.reach:
         raise ValueError(f"lookback of {lookback_hours} h is shorter than the features' {config.reach} h")
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sensorcast.config import STATION, TIME
 from sensorcast.operators.clean import accepted, decode_messages, rejected
-from sensorcast.schema import DATE, READING_SCHEMA
+from sensorcast.schema import DATE, LANDED_AT, READING_SCHEMA
 
 EVERY = {"processingTime": "5 seconds"}
 
@@ -34,7 +34,7 @@ def ingest_readings(
     good = accepted(decoded)
     if dedupe_within is not None:
         good = good.withWatermark(TIME, dedupe_within).dropDuplicatesWithinWatermark([STATION, TIME])
-    landed = good.select(*READING_SCHEMA.names, F.to_date(TIME).alias(DATE))
+    landed = good.select(*READING_SCHEMA.names, F.current_timestamp().alias(LANDED_AT), F.to_date(TIME).alias(DATE))
     return [
         _append(landed, path, f"{checkpoint}/readings", trigger, DATE),
         _append(rejected(decoded), rejects_path, f"{checkpoint}/rejects", trigger),

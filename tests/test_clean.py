@@ -149,3 +149,16 @@ def test_profile_of_repeats_and_gaps(make_readings):
 def test_profile_of_nothing(make_readings, spark):
     row = profile.profile(make_readings({"a": [(0, 1.0)]}).filter("false")).first()
     assert (row.rows, row.stations, row.repeated_keys) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_quantiles_of_extreme_values(spark, few):
+    """Infinite, huge, tiny and repeated values need no more passes than others."""
+    inf = float("inf")
+    values = [inf, inf, -inf, float("nan"), None, 1e300, -1e300, 5e-324, -0.0, 0.0, 1.0, 1.0, 1.0 + 2**-52, 3.0]
+    values += [float(n) for n in range(40)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    kept = sorted(v for v in values if v is not None and v == v)
+    shares = [0.01, 0.05, 0.2, 0.3, 0.5, 0.9, 0.97, 1.0]
+    got = {r["probability"]: r["value"] for r in quantiles(df, ["x"], shares, few=few).collect()}
+    assert got == {p: kept[max(1, math.ceil(p * len(kept))) - 1] for p in shares}

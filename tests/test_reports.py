@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from sensorcast.functions.bands import PM25_BANDS
 from sensorcast.operators import series
 from sensorcast.plans import reports
+from sensorcast.plans import training
 from sensorcast.plans.training import persistence_forecasts
 from sensorcast.schema import FORECAST_SCHEMA
 
@@ -78,3 +79,14 @@ def test_history_is_in_time_order(make_readings):
     df = make_readings({"a": [(3, 1.0), (1, 2.0)]})
     late = df.withColumn("timestamp", F.lit(None).cast("timestamp"))
     assert [r.pm25 for r in reports.clean_history(df.unionByName(late)).collect()] == [2.0, 1.0]
+
+
+def test_repeats_do_not_multiply(spark, make_readings):
+    readings = make_readings({"a": [(0, 1.0), (1, 2.0)]})
+    forecasts = training.persistence_forecasts(readings, [1]).withColumn("run_id", F.lit("run-1"))
+    later = forecasts.withColumns({"run_id": F.lit("run-2"), "predicted_pm25": F.lit(9.0)})
+    both = later.unionByName(forecasts)
+    twice = readings.unionByName(readings)
+    assert [r["error"] for r in reports.forecast_vs_actual(both, twice).collect()] == [2.0 - 9.0]
+    newest = readings.filter("timestamp = timestamp'2024-01-01 01:00:00'")
+    assert [r["predicted_pm25"] for r in reports.forecast_lookup(newest, both, 1).collect()] == [9.0]

@@ -30,7 +30,7 @@ def ingest(spark, tmp_path, **options):
     source = streams.message_stream(spark, "json", str(tmp_path / "in"))
     out, bad, state = (str(tmp_path / n) for n in ("out", "bad", "state"))
     finish(*ingest_readings(source, out, bad, state, trigger=ONCE, **options))
-    return readers.read_landed(spark, str(tmp_path / "out"))
+    return readers.read_landed(spark, str(tmp_path / "out")).drop("ingested_at")
 
 
 def land(df, path):
@@ -94,7 +94,7 @@ def test_rejects_are_kept(spark, source, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "step, lookback, per_chunk", [("hours", 3, 1000), ("hours", 24, 10), ("rows", 24, 1000), ("rows", None, 10)]
+    "step, lookback, per_chunk", [("hours", 3, 1000), ("hours", 24, 10), ("rows", None, 1000), ("rows", None, 10)]
 )
 def test_stream_forecasts_equal_batch_forecasts(spark, source, models, tmp_path, step, lookback, per_chunk):
     config = replace(HOURS, step=step, chunking=Chunking(per_chunk))
@@ -183,6 +183,20 @@ def test_bounded_history_holds_every_dependency(source):
 def test_too_short_lookback_is_refused(source):
     with pytest.raises(ValueError):
         forecast.feature_stream(source, lambda s: source, "x", "y", "run", HOURS, lookback_hours=2)
+    with pytest.raises(ValueError):
+        forecast.feature_stream(source, lambda s: source, "x", "y", "run", replace(HOURS, step="rows"), lookback_hours=24)
+
+
+def test_corrected_reading_counts(spark, source):
+    """Of several versions of a reading features see the one that landed last, not the largest."""
+    hour = "timestamp = timestamp'2024-01-01 02:00:00'"
+    first = source.withColumn("ingested_at", F.lit("2024-02-01").cast("timestamp"))
+    fixed = first.filter(hour).withColumns(
+        {"pm25": F.lit(-5.0), "ingested_at": F.lit("2024-02-02").cast("timestamp")}
+    )
+    keys = source.filter("timestamp = timestamp'2024-01-01 03:00:00'").select("location_id", "timestamp")
+    got = forecast.features_of(first.unionByName(fixed), keys, HOURS, 24).collect()
+    assert got and all(r["pm25_lag1"] == -5.0 for r in got)
 
 
 def test_alerts_on_a_stream(spark, source, tmp_path):
