@@ -92,13 +92,17 @@ def fit_ordinal(
     Cells seen in fewer than ``least`` documents get no weight. Thresholds stay ordered, as their
     gaps are exponentials; grades weigh the inverse root of their frequency."""
     size = 1 << BITS
-    rows = np.repeat(np.arange(len(indices)), [len(i) for i in indices])
-    cells = np.concatenate(indices) if len(indices) else np.empty(0, np.int64)
-    vals = np.concatenate(values) if len(values) else np.empty(0)
+    # Narrow types, as this is held by the driver.
+    rows = np.repeat(np.arange(len(indices), dtype=np.int32), [len(i) for i in indices])
+    cells = np.concatenate(indices).astype(np.int32, copy=False) if len(indices) else np.empty(0, np.int32)
+    vals = np.concatenate(values).astype(np.float32, copy=False) if len(values) else np.empty(0, np.float32)
     seen = np.bincount(cells, minlength=size)
     used = (seen[cells] >= max(least, 0.002 * len(indices))) & (cells > 0)
     rows, cells, vals = rows[used], cells[used], vals[used]
-    names, cells = np.unique(cells, return_inverse=True)
+    names = np.flatnonzero(np.bincount(cells, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[names] = np.arange(len(names))
+    cells = place[cells]
     n, d = len(indices), len(names)
     share = np.bincount(grades, minlength=classes) / max(n, 1)
     importance = 1 / np.sqrt(np.maximum(share, 1e-9))[grades]
@@ -169,8 +173,8 @@ def train(documents: DataFrame, ratings: DataFrame, classes: int = 3, sample: in
     order = np.lexsort((made["vals"], made["cells"], made["grade"])) if len(made) else []
     made = made.iloc[order]
     return fit_ordinal(
-        [np.frombuffer(b, "<i4").astype(np.int64) for b in made["cells"]],
-        [np.frombuffer(b, "<f4").astype(float) for b in made["vals"]],
+        [np.frombuffer(b, "<i4") for b in made["cells"]],
+        [np.frombuffer(b, "<f4") for b in made["vals"]],
         made["grade"].to_numpy(np.int64),
         classes,
     )
