@@ -167,6 +167,14 @@ SELECT CASE WHEN event_id % 13 = 0 THEN 'not json' WHEN event_id % 11 = 0 THEN '
             ELSE 'accepted' END AS outcome, count(*) AS messages
 FROM events GROUP BY 1"""
 ORACLES["stream_rejects"] = ORACLES["message_quarantine"]
+ORACLES["stream_late_readings"] = """
+WITH m AS (
+  SELECT CASE WHEN event_id % 13 = 0 THEN 'not json' WHEN event_id % 11 = 0 THEN 'no station'
+              WHEN event_id % 7 = 0 THEN 'unreadable time' WHEN event_id % 5 = 0 THEN 'no time'
+              ELSE 'accepted' END AS outcome, event_id
+  FROM events)
+SELECT outcome, CAST(sum(CASE WHEN outcome <> 'accepted' AND event_id % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS messages
+FROM m GROUP BY outcome"""
 
 ORACLES["payload_flatten"] = _with(READINGS_SQL, HOURLY_SQL) + f"""
 SELECT location_id, "timestamp", {_rounded(MEASURES, 9)} FROM hourly"""

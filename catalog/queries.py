@@ -14,7 +14,7 @@ from sensorcast.config import HORIZONS, MEASURES, SplitConfig, label_name
 from sensorcast.functions import bands, calendar
 from sensorcast.operators import clean, metrics, profile, series
 from sensorcast.plans import features, reports, storage, training
-from sensorcast.schema import FORECAST_SCHEMA, PAYLOAD_FIELDS
+from sensorcast.schema import FORECAST_SCHEMA, PAYLOAD_FIELDS, READING_SCHEMA
 from sensorcast.sources import readers, streams, writers
 from sensorcast.staging import scratch_path
 from sensorcast.streaming.forecast import feature_schema, feature_stream, score_stream
@@ -185,7 +185,7 @@ def json_roundtrip(spark, sf_dir):
     return present(clean.accepted(clean.decode_messages(messages.select("value"))))
 
 
-def _damaged_messages(spark, sf_dir) -> DataFrame:
+def _damaged_messages(spark, sf_dir, also=()) -> DataFrame:
     """Every reading as a message, some of them damaged in one of four ways."""
     rows = readings(spark, sf_dir, extra=("event_id",))
     n = F.col("event_id")
@@ -198,7 +198,7 @@ def _damaged_messages(spark, sf_dir) -> DataFrame:
         }
     )
     text = F.to_json(F.struct(*[c for c in broken.columns if c != "event_id"]))
-    return broken.select(F.when(n % 13 == 0, F.concat(F.lit("<"), text)).otherwise(text).alias("value"))
+    return broken.select(*also, F.when(n % 13 == 0, F.concat(F.lit("<"), text)).otherwise(text).alias("value"))
 
 
 @query
@@ -501,23 +501,41 @@ def _finish(queries):
 @query
 def stream_ingest(spark, sf_dir):
     """Every reading twice as messages; each lands once."""
-    inbox, landed, bad, state = (scratch_path(spark, n) for n in ("inbox", "landed", "rejects", "ingest-state"))
+    inbox, landed, state = (scratch_path(spark, n) for n in ("inbox", "landed", "ingest-state"))
     messages = writers.to_messages(readings(spark, sf_dir)).select("value")
     messages.unionByName(messages).write.text(inbox)
     source = streams.message_stream(spark, "json", inbox)
-    _finish(ingest_readings(source, landed, bad, state, dedupe_within="40 days", trigger=ONCE))
-    return present(readers.read_landed(spark, landed).drop("reading_date", "ingested_at"))
+    _finish([ingest_readings(source, landed, state, dedupe_within="40 days", trigger=ONCE)])
+    return present(readers.read_landed(spark, landed).select(READING_SCHEMA.names))
+
+
+def _outcomes(spark, landed: str) -> DataFrame:
+    """Messages per reason to reject them, and accepted ones."""
+    rejects = readers.read_rejects(spark, landed).select(F.col(clean.REJECT).alias("outcome"))
+    taken = readers.read_landed(spark, landed).select(F.lit("accepted").alias("outcome"))
+    return rejects.unionByName(taken).groupBy("outcome").agg(F.count("*").alias("messages"))
 
 
 @query
 def stream_rejects(spark, sf_dir):
-    inbox, landed, bad, state = (scratch_path(spark, n) for n in ("inbox", "landed", "rejects", "ingest-state"))
+    inbox, landed, state = (scratch_path(spark, n) for n in ("inbox", "landed", "ingest-state"))
     _damaged_messages(spark, sf_dir).write.text(inbox)
     source = streams.message_stream(spark, "json", inbox)
-    _finish(ingest_readings(source, landed, bad, state, trigger=ONCE))
-    rejects = spark.read.parquet(bad).groupBy(F.col(clean.REJECT).alias("outcome")).agg(F.count("*").alias("messages"))
-    landed_rows = readers.read_landed(spark, landed).agg(F.lit("accepted").alias("outcome"), F.count("*").alias("messages"))
-    return rejects.unionByName(landed_rows)
+    _finish([ingest_readings(source, landed, state, trigger=ONCE)])
+    return _outcomes(spark, landed)
+
+
+@query
+def stream_late_readings(spark, sf_dir):
+    """One half of the messages arrives, then all of them: days late, and the half once more. Readings
+    land once, whatever their age, and every reject is kept."""
+    inbox, landed, state = (scratch_path(spark, n) for n in ("inbox", "landed", "ingest-state"))
+    messages = _damaged_messages(spark, sf_dir, also=("event_id",))
+    for arriving in (messages.filter("event_id % 2 = 0"), messages):
+        arriving.select("value").write.mode("append").text(inbox)
+        source = streams.message_stream(spark, "json", inbox)
+        _finish([ingest_readings(source, landed, state, dedupe_within="2 hours", trigger=ONCE)])
+    return _outcomes(spark, landed)
 
 
 def _landed_hours(spark, sf_dir) -> str:

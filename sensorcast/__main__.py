@@ -59,11 +59,7 @@ def ingest(spark, args):
     """Messages from Kafka, or from a folder of text files, to landed readings."""
     options = dict(o.split("=", 1) for o in args.option)
     source = streams.message_stream(spark, args.source, args.path, **options)
-    _wait(
-        ingest_readings(
-            source, args.landed, args.rejects, args.state, args.dedupe_within, _trigger(args), args.zone
-        )
-    )
+    _wait([ingest_readings(source, args.landed, args.state, args.dedupe_within, _trigger(args), args.zone)])
 
 
 def features(spark, args):
@@ -119,7 +115,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--horizons", nargs="+", type=int)
     one.add_argument("--parallelism", type=int, default=4)
 
-    one = job(ingest, "landed", "rejects", "state")
+    one = job(ingest, "landed", "state")
     streaming_options(one)
     one.add_argument("--source", choices=("kafka", "json"), default="kafka")
     one.add_argument("--path", help="folder of text files, for --source json")

@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 from sensorcast.config import MEASURES, STATION, TIME
 from sensorcast.functions import casts
 from sensorcast.operators.quantiles import quantiles
-from sensorcast.schema import RAW_READING_SCHEMA, READING_SCHEMA
+from sensorcast.schema import RAW_READING_SCHEMA, READING_SCHEMA, REJECT
 
-REJECT = "reject_reason"
 _BROKEN = "_broken"
 # Separator-only columns at the end of the sensor files.
 BLANK_COLUMNS = ("", "_c15", "_c16", "_c17", "_c18", "_c19")

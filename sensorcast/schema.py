@@ -26,8 +26,22 @@ READING_SCHEMA = T.StructType(
 DATE = "reading_date"
 # The time of landing tells which of several versions of a reading came last.
 LANDED_AT = "ingested_at"
+# Within a landing, the offset in the source does.
+SOURCE_OFFSET = "source_offset"
+SOURCE_POSITION = (T.StructField("source_partition", T.IntegerType()), T.StructField(SOURCE_OFFSET, T.LongType()))
 LANDED_SCHEMA = T.StructType(
-    [*READING_SCHEMA.fields, T.StructField(LANDED_AT, T.TimestampType()), T.StructField(DATE, T.DateType())]
+    [
+        *READING_SCHEMA.fields,
+        T.StructField(LANDED_AT, T.TimestampType()),
+        *SOURCE_POSITION,
+        T.StructField(DATE, T.DateType()),
+    ]
+)
+# Rejects lie beside the readings, in a folder per reason; readings have none.
+REJECT = "reject_reason"
+REJECTED_TEXT = "rejected_text"
+LANDED_OR_REJECTED = T.StructType(
+    [*LANDED_SCHEMA.fields[:-1], *[T.StructField(n, T.StringType()) for n in (REJECTED_TEXT, REJECT)], LANDED_SCHEMA[DATE]]
 )
 
 # Readings as they arrive in text form. Everything is a string, so that one malformed field cannot

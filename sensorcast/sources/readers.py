@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 from sensorcast.config import TIME
 from sensorcast.functions.casts import to_instant
 from sensorcast.operators.clean import clean_sensor_rows, type_readings
-from sensorcast.schema import GEOJSON_SCHEMA, LANDED_SCHEMA, PAYLOAD_FIELDS, PAYLOAD_SCHEMA, RAW_READING_SCHEMA, READING_SCHEMA
+from sensorcast.schema import (
+    GEOJSON_SCHEMA,
+    LANDED_AT,
+    LANDED_OR_REJECTED,
+    LANDED_SCHEMA,
+    PAYLOAD_FIELDS,
+    PAYLOAD_SCHEMA,
+    RAW_READING_SCHEMA,
+    READING_SCHEMA,
+    REJECT,
+    REJECTED_TEXT,
+    SOURCE_POSITION,
+)
 
 
 def read_readings_csv(spark: SparkSession, path: str, source_zone: str | None = None) -> DataFrame:
@@ -26,8 +38,19 @@ def read_readings_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Readings landed by ``ingest_readings``. Spark honours the commit log of the stream sink, so
-    files of an unfinished batch are not seen."""
-    return spark.read.schema(LANDED_SCHEMA).parquet(path)
+    files of an unfinished batch are not seen. The reason is a folder, so rejects are not read."""
+    return accepted_rows(spark.read.schema(LANDED_OR_REJECTED).parquet(path))
+
+
+def accepted_rows(landed: DataFrame) -> DataFrame:
+    """The readings among all that ``ingest_readings`` landed, batch or stream."""
+    return landed.filter(F.col(REJECT).isNull()).select(LANDED_SCHEMA.names)
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Messages that ``ingest_readings`` could not take: text, reason, time of landing and position."""
+    bad = spark.read.schema(LANDED_OR_REJECTED).parquet(path).filter(F.col(REJECT).isNotNull())
+    return bad.select(F.col(REJECTED_TEXT).alias("value"), REJECT, LANDED_AT, *[f.name for f in SOURCE_POSITION])
 
 
 def read_sensor_csv(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from sensorcast.config import STATION, TIME, FeatureConfig
 from sensorcast.operators.clean import keep_last
 from sensorcast.plans.features import build_features, complete
 from sensorcast.plans.training import forecasts_long, score_horizons
-from sensorcast.schema import DATE, LANDED_AT, READING_SCHEMA
+from sensorcast.schema import DATE, LANDED_AT, READING_SCHEMA, SOURCE_OFFSET
 from sensorcast.sources.writers import RUN_COLUMNS, batch_path, write_batch
 from sensorcast.staging import ensure_table, path_exists
 
@@ -56,7 +56,7 @@ def features_of(history: DataFrame, keys: DataFrame, config: FeatureConfig, look
     else:
         near = bounded_history(history, keys, lookback_hours)
     # The reading that landed last; where that is not known, the choice is at least always the same.
-    unique = keep_last(near, [*[c for c in (LANDED_AT,) if c in near.columns], *config.measures])
+    unique = keep_last(near, [*[c for c in (LANDED_AT, SOURCE_OFFSET) if c in near.columns], *config.measures])
     featured = complete(build_features(unique, config), config)
     return featured.join(keys, [STATION, TIME], "left_semi").select(feature_schema(config).names)
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sensorcast.config import STATION, TIME
-from sensorcast.operators.clean import accepted, decode_messages, rejected
-from sensorcast.schema import DATE, LANDED_AT, READING_SCHEMA
+from sensorcast.config import TIME
+from sensorcast.operators.clean import decode_messages
+from sensorcast.schema import DATE, LANDED_AT, READING_SCHEMA, REJECT, REJECTED_TEXT, SOURCE_POSITION
 
 EVERY = {"processingTime": "5 seconds"}
 
@@ -16,33 +16,38 @@ EVERY = {"processingTime": "5 seconds"}
 def ingest_readings(
     messages: DataFrame,
     path: str,
-    rejects_path: str,
     checkpoint: str,
     dedupe_within: str | None = None,
     trigger: dict | None = None,
     source_zone: str | None = None,
-) -> list[StreamingQuery]:
-    """Decode messages, append good readings to ``path`` and bad ones to ``rejects_path``.
-
-    Each output is a query of its own with its own offsets, and each row lands exactly once.
-    ``dedupe_within`` also drops repeats of a (station, instant) that arrive within that delay; its
-    state grows with the delay, and readings older than it are dropped as late. Without it every
-    reading lands, and readers use ``keep_last``.
+) -> StreamingQuery:
+    """Decode messages and append all of them to ``path``: readings, and rejects with their text and
+    the reason, in folders of their own. ``read_landed`` and ``read_rejects`` tell them apart.
+
+    It is one query with one set of offsets, so each message lands exactly once as the one or the
+    other. Every row has the time of landing and, from Kafka, its partition and offset.
+    ``dedupe_within`` also drops readings that equal, in all columns, one that arrived up to that
+    delay before. The delay counts from arrival, so no reading is too late to land, however old it
+    is; corrected versions land too, and readers use ``keep_last``. Its state grows with the delay.
     """
-    trigger = trigger or EVERY
     decoded = decode_messages(messages, source_zone)
-    good = accepted(decoded)
-    if dedupe_within is not None:
-        good = good.withWatermark(TIME, dedupe_within).dropDuplicatesWithinWatermark([STATION, TIME])
-    landed = good.select(*READING_SCHEMA.names, F.current_timestamp().alias(LANDED_AT), F.to_date(TIME).alias(DATE))
-    return [
-        _append(landed, path, f"{checkpoint}/readings", trigger, DATE),
-        _append(rejected(decoded), rejects_path, f"{checkpoint}/rejects", trigger),
+    bad = F.col(REJECT).isNotNull()
+    position = [
+        (F.col(own) if own in messages.columns else F.lit(None)).cast(field.dataType).alias(field.name)
+        for own, field in zip(("partition", "offset"), SOURCE_POSITION)
     ]
-
-
-def _append(df: DataFrame, path: str, checkpoint: str, trigger: dict, *partitions: str) -> StreamingQuery:
-    writer = df.writeStream.format("parquet").outputMode("append").trigger(**trigger)
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    return writer.option("path", path).option("checkpointLocation", checkpoint).start()
+    landed = decoded.select(
+        *READING_SCHEMA.names,
+        F.when(bad, F.col("value")).alias(REJECTED_TEXT),
+        *position,
+        F.current_timestamp().alias(LANDED_AT),
+        REJECT,
+        F.to_date(TIME).alias(DATE),
+    )
+    if dedupe_within is not None:
+        # Every reject counts, also one with the text of another.
+        keyed = landed.withColumn("_own", F.when(F.col(REJECT).isNotNull(), F.uuid()))
+        unique = keyed.withWatermark(LANDED_AT, dedupe_within)
+        landed = unique.dropDuplicatesWithinWatermark([*READING_SCHEMA.names, "_own"]).drop("_own")
+    writer = landed.writeStream.format("parquet").outputMode("append").trigger(**(trigger or EVERY))
+    return writer.partitionBy(REJECT, DATE).option("path", path).option("checkpointLocation", checkpoint).start()

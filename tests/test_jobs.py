@@ -17,7 +17,7 @@ def test_from_history_to_report(spark, make_readings, tmp_path):
 
     main(["train", "--history", path("history"), "--models", path("models"), "--horizons", "1", "3"])
     main(["ingest", "--source", "json", "--path", path("inbox"), "--landed", path("landed"), "--state", path("s0"),
-          "--rejects", path("rejects"), "--dedupe-within", "10 days", "--once"])
+          "--dedupe-within", "10 days", "--once"])
     main(["features", "--landed", path("landed"), "--features", path("features"), "--state", path("s1"), "--run", "r", "--once"])
     main(["score", "--features", path("features"), "--models", path("models"), "--forecasts", path("forecasts"),
           "--state", path("s2"), "--once"])

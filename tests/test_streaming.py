@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sensorcast.config import Chunking, FeatureConfig, ForestConfig
 from sensorcast.functions.bands import AQI_BANDS
+from sensorcast.operators.clean import keep_last
 from sensorcast.plans import reports, training
 from sensorcast.plans.features import build_features, complete
+from sensorcast.schema import READING_SCHEMA
 from sensorcast.sources import readers, streams, writers
 from sensorcast.streaming import forecast
 from sensorcast.streaming.ingest import ingest_readings
@@ -28,9 +30,9 @@ def put(df, folder):
 
 def ingest(spark, tmp_path, **options):
     source = streams.message_stream(spark, "json", str(tmp_path / "in"))
-    out, bad, state = (str(tmp_path / n) for n in ("out", "bad", "state"))
-    finish(*ingest_readings(source, out, bad, state, trigger=ONCE, **options))
-    return readers.read_landed(spark, str(tmp_path / "out")).drop("ingested_at")
+    out, state = (str(tmp_path / n) for n in ("out", "state"))
+    finish(ingest_readings(source, out, state, trigger=ONCE, **options))
+    return readers.read_landed(spark, out).select(*READING_SCHEMA.names, "reading_date")
 
 
 def land(df, path):
@@ -81,7 +83,24 @@ def test_late_readings(spark, make_readings, tmp_path):
     ingest(spark, tmp_path, dedupe_within="2 hours")
     put(within.unionByName(beyond), tmp_path / "in")
     landed = ingest(spark, tmp_path, dedupe_within="2 hours")
-    assert rows_of(landed.select("pm25")) == [(1.0,), (2.0,)]
+    assert rows_of(landed.select("pm25")) == [(1.0,), (2.0,), (3.0,)]
+
+
+def test_a_corrected_reading_is_no_repeat(spark, make_readings, tmp_path):
+    put(make_readings({"a": [(1, 50.0)]}), tmp_path / "in")
+    ingest(spark, tmp_path, dedupe_within="2 hours")
+    put(make_readings({"a": [(1, 10.0)]}), tmp_path / "in")
+    assert rows_of(ingest(spark, tmp_path, dedupe_within="2 hours").select("pm25")) == [(10.0,), (50.0,)]
+    newest = keep_last(readers.read_landed(spark, str(tmp_path / "out")), ["ingested_at", "source_offset"])
+    assert rows_of(newest.select("pm25")) == [(10.0,)]
+
+
+def test_rejects_are_no_repeats_of_each_other(spark, source, tmp_path):
+    put(source, tmp_path / "in")
+    (tmp_path / "in" / "bad.txt").write_text("oops\noops\n\n")
+    assert ingest(spark, tmp_path, dedupe_within="2 hours").count() == source.count()
+    bad = readers.read_rejects(spark, str(tmp_path / "out"))
+    assert rows_of(bad.select("value", "reject_reason")) == [("", "not json"), ("oops", "not json"), ("oops", "not json")]
 
 
 def test_rejects_are_kept(spark, source, tmp_path):
@@ -89,7 +108,7 @@ def test_rejects_are_kept(spark, source, tmp_path):
     (tmp_path / "in" / "bad.txt").write_text("oops\n" + json.dumps({"location_id": "a", "timestamp": "soon"}) + "\n")
     landed = ingest(spark, tmp_path)
     assert landed.count() == source.count()
-    bad = spark.read.parquet(str(tmp_path / "bad"))
+    bad = readers.read_rejects(spark, str(tmp_path / "out"))
     assert sorted(r.reject_reason for r in bad.collect()) == ["not json", "unreadable time"]
 
 
