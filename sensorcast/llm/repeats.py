@@ -27,7 +27,7 @@ from sensorcast.llm.words import ascii_words, hash_memo, mix, windows, word_hash
 from sensorcast.staging import stage
 
 WORDS_PER_BIN = 2_000_000
-HOT = 1_000  # windows with more than 1/HOT of all entries count as very common
+HOT = 1_000  # a window's entries are dealt over pieces of at most about 1/HOT of all entries
 CHUNK = 1_000_000  # windows that a task gathers before it sends them to the bins
 
 
@@ -95,15 +95,19 @@ def remove_repeats(documents: DataFrame, length: int = 35) -> DataFrame:
     level = stage(_keyed(documents).mapInArrow(first, "key long, n_words long, anchors array<long>"), "anchors")
     bins = max(12, -(-(level.agg(F.sum("n_words")).first()[0] or 0) // WORDS_PER_BIN))
     each = level.select("key", F.explode("anchors").alias("anchor"))
-    again = stage(each.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1"), "repeated-anchors")
-    # Very common windows would meet in one task; there are at most HOT of them, so they are sent instead.
-    entries = level.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    common = F.broadcast(again.filter(F.col("c") > entries / HOT).select("anchor"))
-    rare = each.join(common, "anchor", "left_anti").join(again.select("anchor"), "anchor")
+    # Entries of a very common window would meet in one task; they are dealt over pieces of bounded size.
+    entries = level.agg(F.sum(F.size("anchors"))).first()[0] or 1
+    counted = each.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1")
+    again = stage(counted.select("anchor", F.ceil(F.col("c") * HOT / entries).alias("pieces")), "repeated-anchors")
+    common = F.broadcast(again.filter("pieces > 1"))  # fewer than HOT rows
+    dealt = each.join(common, "anchor", "left").select(
+        "key", "anchor", F.pmod("key", F.coalesce("pieces", F.lit(1))).alias("piece")
+    )
+    pieces = again.select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
     # What goes on: documents with the half-length windows that occur more than once.
     alive = (
-        each.join(common, "anchor", "left_semi")
-        .unionByName(rare)
+        dealt.join(pieces, ["anchor", "piece"])
+        .select("key", "anchor")
         .distinct()
         .withColumn("bin", F.pmod("key", F.lit(bins)).cast("int"))
     )
