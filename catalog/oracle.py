@@ -99,6 +99,22 @@ LEFT JOIN hourly l3 ON l3.location_id = h.location_id AND l3."timestamp" = h."ti
 )
 ORACLES["time_aware_lags_split_stations"] = ORACLES["time_aware_lags"]
 
+_HOUR_LABELS = [f"target_h{h}" for h in HORIZONS]
+_HOUR_FLAGS = ", ".join(
+    f"(target_h{h} IS NOT NULL AND count(target_h{h}) OVER upto {test} count(target_h{h}) OVER station * 0.8::DOUBLE) AS {name}_h{h}"
+    for name, test in (("train", "<="), ("test", ">"))
+    for h in HORIZONS
+)
+ORACLES["training_rows_hours"] = f"""
+SELECT location_id, "timestamp", pm25_mean3, {", ".join(_HOUR_LABELS)},
+  row_number() OVER (PARTITION BY location_id ORDER BY "timestamp") AS series_rank,
+  count(*) OVER station AS series_rows, {_HOUR_FLAGS}
+FROM ({ORACLES["time_aware_lags"]}) lags
+WHERE pm25_lag1 IS NOT NULL AND pm25_lag3 IS NOT NULL AND pm25_mean3 IS NOT NULL
+WINDOW station AS (PARTITION BY location_id),
+  upto AS (PARTITION BY location_id ORDER BY "timestamp" ROWS UNBOUNDED PRECEDING)"""
+ORACLES["training_rows_hours_split_stations"] = ORACLES["training_rows_hours"]
+
 ORACLES["station_encode"] = _with(READINGS_SQL) + f"""
 SELECT location_id, {CODE} AS location_code, count(*) AS rows FROM readings GROUP BY ALL"""
 

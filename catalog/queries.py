@@ -422,24 +422,36 @@ def vector_assembly(spark, sf_dir):
     )
 
 
-def _training_rows(spark, sf_dir, config):
+def _training_rows(source, config):
     """Everything that decides which rows each horizon's model learns from and is tested on."""
-    table = training.training_table(readings(spark, sf_dir), config, HORIZONS)
+    table = training.training_table(source, config, HORIZONS)
     split = SplitConfig()
     flags = [training.in_training(h, split).alias(f"train_h{h}") for h in HORIZONS]
     flags += [training.in_test(h, split).alias(f"test_h{h}") for h in HORIZONS]
     labels = [label_name(h) for h in HORIZONS]
-    return present(table.select("location_id", "timestamp", "pm25_mean3", *labels, "series_rank", "series_rows", *flags))
+    shown = table.select("location_id", "timestamp", "pm25_mean3", *labels, "series_rank", "series_rows", *flags)
+    return present(shown, HOURLY_DIGITS if config.step == "hours" else 6)
 
 
 @query
 def training_rows(spark, sf_dir):
-    return _training_rows(spark, sf_dir, CONFIG)
+    return _training_rows(readings(spark, sf_dir), CONFIG)
 
 
 @query
 def training_rows_split_stations(spark, sf_dir):
-    return _training_rows(spark, sf_dir, replace(CONFIG, chunking=SMALL_CHUNKS))
+    return _training_rows(readings(spark, sf_dir), replace(CONFIG, chunking=SMALL_CHUNKS))
+
+
+@query
+def training_rows_hours(spark, sf_dir):
+    """Hourly rows with gaps, so that labels are missing anywhere in the series."""
+    return _training_rows(hourly(spark, sf_dir), replace(CONFIG, step="hours"))
+
+
+@query
+def training_rows_hours_split_stations(spark, sf_dir):
+    return _training_rows(hourly(spark, sf_dir), replace(CONFIG, step="hours", chunking=SMALL_CHUNKS))
 
 
 @query

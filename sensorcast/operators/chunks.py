@@ -14,6 +14,7 @@ repeats with ``keep_last`` first.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -182,35 +183,39 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(HALO)).drop(HALO)
 
 
-def with_series_rank(df: DataFrame, chunking: Chunking | None) -> DataFrame:
-    """Add ``series_rank`` (1 for a station's oldest row) and ``series_rows`` (its row count).
+def with_series_rank(df: DataFrame, chunking: Chunking | None, labels: Sequence[str] = ()) -> DataFrame:
+    """Add ``series_rank`` (1 for a station's oldest row) and ``series_rows`` (its row count), and for each of
+    ``labels`` ``missing_<label>`` (nulls of it up to and with this row) and ``present_<label>`` (the station's
+    rows that have it).
 
-    Within a chunk both come from the window; for split stations the rows of earlier chunks are
+    Within a chunk all come from one window; for split stations those of earlier chunks are
     added from a table of chunk sizes, which the chunking bounds. A chunk column already present is
     used, and so is its partitioning.
     """
     chunked = df if CHUNK in df.columns else with_chunks(df, chunking)
-    local = chunked.withColumns(
-        {
-            "_rank": F.row_number().over(chunk_window()).cast("long"),
-            "_rows": F.count(F.lit(1)).over(Window.partitionBy(STATION, CHUNK)),
-        }
-    )
-    along = Window.partitionBy(STATION).orderBy(CHUNK)
+    so_far = chunk_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(STATION, CHUNK)
+    # Counts up to a row, with the name of the result, and counts of the whole series.
+    running = {"series_rank": F.row_number().over(chunk_window()).cast("long")}
+    running |= {f"missing_{n}": F.count_if(F.col(n).isNull()).over(so_far) for n in labels}
+    totals = {"series_rows": F.count(F.lit(1)).over(whole)} | {f"present_{n}": F.count(n).over(whole) for n in labels}
+    local = chunked.withColumns(running | totals)
+    along = Window.partitionBy(STATION).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    station = Window.partitionBy(STATION)
+    inside = {"series_rank": F.col("series_rows")}
+    inside |= {f"missing_{n}": F.col("series_rows") - F.col(f"present_{n}") for n in labels}
     sizes = (
         chunked.filter(F.col(CHUNK) >= 0)
         .groupBy(STATION, CHUNK)
-        .agg(F.count(F.lit(1)).alias("_size"))
+        .agg(F.count(F.lit(1)).alias("series_rows"), *[F.count(n).alias(f"present_{n}") for n in labels])
         .select(
             STATION,
             CHUNK,
-            (F.sum("_size").over(along) - F.col("_size")).alias("_earlier"),
-            F.sum("_size").over(Window.partitionBy(STATION)).alias("_all"),
+            *[F.sum(count).over(along).alias(f"_before_{n}") for n, count in inside.items()],
+            *[F.sum(n).over(station).alias(f"_all_{n}") for n in totals],
         )
     )
-    return (
-        local.join(F.broadcast(sizes), [STATION, CHUNK], "left")
-        .withColumn("series_rank", F.col("_rank") + F.coalesce("_earlier", F.lit(0)))
-        .withColumn("series_rows", F.coalesce("_all", "_rows"))
-        .drop("_rank", "_rows", "_earlier", "_all")
-    )
+    added = {n: F.col(n) + F.coalesce(f"_before_{n}", F.lit(0)) for n in running}
+    added |= {n: F.coalesce(f"_all_{n}", n) for n in totals}
+    helpers = [f"_before_{n}" for n in running] + [f"_all_{n}" for n in totals]
+    return local.join(F.broadcast(sizes), [STATION, CHUNK], "left").withColumns(added).drop(*helpers)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -58,7 +60,8 @@ def training_table(readings: DataFrame, config: FeatureConfig, horizons: Sequenc
     featured = complete(build_features(readings, config, horizons, keep_chunks=True), config)
     keep = [STATION, TIME, *config.features, *[label_name(h) for h in horizons], chunks.CHUNK]
     rows = featured.select(*dict.fromkeys(keep))
-    return stage(chunks.with_series_rank(rows, config.chunking).drop(chunks.CHUNK), "training")
+    labels = [label_name(h) for h in horizons]
+    return stage(chunks.with_series_rank(rows, config.chunking, labels).drop(chunks.CHUNK), "training")
 
 
 def next_step_table(readings: DataFrame, config: FeatureConfig, split: SplitConfig) -> DataFrame:
@@ -69,16 +72,22 @@ def next_step_table(readings: DataFrame, config: FeatureConfig, split: SplitConf
     return stage(chronological_split(rows, split, config.chunking), "next-step")
 
 
+def _labelled(horizon: int) -> tuple[Column, Column]:
+    """Position of a row among its station's rows that have the horizon's label, and their number."""
+    label = label_name(horizon)
+    return F.col("series_rank") - F.col(f"missing_{label}"), F.col(f"present_{label}")
+
+
 def in_training(horizon: int, split: SplitConfig) -> Column:
-    """Rows for fitting one horizon: the first share of those whose label exists. A station with n
-    rows has n - h labels; ``purge`` keeps back rows whose label lies beyond the cut."""
-    cut = (F.col("series_rows") - F.lit(horizon)) * F.lit(split.train)
-    return F.col(label_name(horizon)).isNotNull() & (F.col("series_rank") <= cut - F.lit(split.purge))
+    """Rows for fitting one horizon: the first share of those that have its label, whatever gaps there
+    are; ``purge`` keeps back rows whose label lies beyond the cut."""
+    rank, rows = _labelled(horizon)
+    return F.col(label_name(horizon)).isNotNull() & (rank <= rows * F.lit(split.train) - F.lit(split.purge))
 
 
 def in_test(horizon: int, split: SplitConfig) -> Column:
-    cut = (F.col("series_rows") - F.lit(horizon)) * F.lit(split.train + split.validation)
-    return F.col(label_name(horizon)).isNotNull() & (F.col("series_rank") > cut)
+    rank, rows = _labelled(horizon)
+    return F.col(label_name(horizon)).isNotNull() & (rank > rows * F.lit(split.train + split.validation))
 
 
 def train_horizons(
@@ -263,9 +272,8 @@ def holdout_metrics(
 ) -> DataFrame:
     """MAE, RMSE, R², MAPE and rating by horizon on the test rows, next to the persistence forecast.
     All horizons are scored in one pass over the table."""
-    # The furthest horizon's test rows start earliest; no horizon needs rows before them.
-    earliest = (F.col("series_rows") - F.lit(max(models))) * F.lit(split.train + split.validation)
-    scored = score_horizons(table.filter(F.col("series_rank") > earliest), models)
+    tested = reduce(or_, [in_test(h, split) for h in models])
+    scored = score_horizons(table.filter(tested), models)
     rows = [
         F.struct(
             F.lit(h).alias("horizon_hours"),
