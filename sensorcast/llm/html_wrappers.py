@@ -7,8 +7,8 @@ a wrapper grows with the variety of a host's markup, not with its pages. Wrapper
 where pages are read, then per host and part, then per host.
 
 Slots that no content belongs to (menus, headers, footers, notices, adverts, forms, scripts,
-comments of readers) are told by the groups around them; if a host's wrapper has an article, only
-slots in it count. A page's text is what it puts into the slots that are left.
+comments of readers) are told by the groups around them. Of the slots that are left, a page that has most of
+its text in an article (or a main group) is read there only, and any other page in all of them.
 """
 
 from __future__ import annotations
@@ -232,26 +232,29 @@ def _groups(wrapper: list, path: tuple = ()) -> Iterator[tuple[tuple, bool]]:
         yield from _groups(inner, (*path, label))
 
 
-def content_paths(wrapper: list) -> set[tuple]:
-    """Paths of groups whose slots hold content."""
+def content_paths(wrapper: list) -> list[set[tuple]]:
+    """Paths of groups whose slots hold content: those in an article, those in a main group, all."""
     groups = [path for path, has in _groups(wrapper) if has]
-    for name in ("article", "main"):
-        inner = [p for p in groups if any(label.split(".")[0] == name for label in p)]
-        if inner:
-            return set(inner)
-    return set(groups)
+    named = [{p for p in groups if any(label.split(".")[0] == name for label in p)} for name in ("article", "main")]
+    return [*named, set(groups)]
 
 
-def extract(page: str | None, paths: set[tuple]) -> str:
-    """Text of the slots in ``paths``; blocks are parted by one space, white space is one space."""
+def extract(page: str | None, paths: list[set[tuple]]) -> str:
+    """Text of the page's content slots; blocks are parted by one space, white space is one space.
+
+    Content is what the page itself has in an article, or else in a main group, if that is at least half
+    of the text in all of ``paths``, so that a teaser card does not stand for a page; or else all of it."""
+    events = list(read(page or ""))
+    sizes = [sum(len(v.strip()) for kind, path, v in events if kind == "text" and path in some) for some in paths]
+    chosen = next((some for some, size in zip(paths, sizes) if size and 2 * size >= sizes[-1]), set())
     out: list[str] = []
     block: tuple = ()
-    for kind, path, value in read(page or ""):
+    for kind, path, value in events:
         around = tuple(label for label in path if label.partition(".")[0].removesuffix("!hidden") not in INLINE)
         if kind == "break" or around != block or (kind == "open" and path[-1].partition(".")[0] not in INLINE):
             out.append(" ")
             block = around
-        if kind == "text" and path in paths:
+        if kind == "text" and path in chosen:
             out.append(value)
     return " ".join("".join(out).split())
 
@@ -319,7 +322,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     ).join(found, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set] = {}
+        known: dict[str, list] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column("html"), batch.column("wrapper")):

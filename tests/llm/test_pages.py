@@ -42,3 +42,24 @@ def test_wrappers_are_union_free():
     assert wrappers.merge(one, one) == one
     three = wrappers.merge(wrappers.merge(one, two), one)
     assert wrappers.expression(three) == wrappers.expression(wrappers.merge(one, two))
+
+
+def test_pages_with_and_without_article_on_one_host(workers):
+    rows = [
+        (1, "http://d.example/1", "<div>menu</div><article><p>one text in an article</article>"),
+        (2, "http://d.example/2", "<div><p>two plain</p></div>"),
+        (3, "http://d.example/3", "<div>menu</div><main><p>three in main</main>"),
+        (4, "http://d.example/4", "<div><p>four with a long text of its own</p></div><article>card</article>"),
+        (5, None, "<article>five</article>"),
+        (6, "no url", "<div>six</div>"),
+    ]
+    pages = workers.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert got == {
+        1: "one text in an article",
+        2: "two plain",
+        3: "three in main",
+        4: "four with a long text of its own card",
+        5: "five",
+        6: "six",
+    }
