@@ -10,6 +10,9 @@ from sensorcast.llm.queries import mixed, ratings
 from sensorcast.llm.shipping import ship
 from sensorcast.staging import stage
 
+# Common shingles of near copies; the thin query op3_ has a figure of its own.
+NEAR_PERCENT = 80
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on their ratings, takes for good."""
@@ -22,7 +25,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words stay, as do those without doc_id, of which nothing can be said."""
     ship(spark)
-    found = near_texts.near_duplicates(docs)
+    found = near_texts.near_duplicates(docs, percent=NEAR_PERCENT)
     dropped = found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__dropped")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
 

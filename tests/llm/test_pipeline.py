@@ -43,3 +43,11 @@ def test_run_takes_whole_table(workers):
     got = corpus_pipeline.run(workers, DATA)
     assert got.filter("length > 2048 or offset < 0").count() == 0
     assert got.count() > 0
+
+
+def test_near_copies_of_80_percent_go(workers):
+    words = [f"w{n}" for n in range(104)]  # 100 shingles; 10 other ones give 90 of 110
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-10], *(f"x{n}" for n in range(10))])), (3, "something else of five words")]
+    docs = workers.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in near_texts.near_duplicates(docs).filter("kept").collect()} == {1, 2, 3}
+    assert {r["doc_id"] for r in corpus_pipeline.distinct(workers, docs, DATA).collect()} == {1, 3}
