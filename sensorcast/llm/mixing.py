@@ -3,7 +3,9 @@
 The corpus is reduced to one row per (source, language, topic) cell with its tokens. The cells'
 weights are then raked: scaled to meet the target share of each source, of each language and of each
 topic in turn, until all three hold. A document is kept with the probability its cell's weight
-gives it, decided by a hash of its id, so that the choice is the same whenever it is made.
+gives it, decided by a hash of its id, so that the choice is the same whenever it is made. Shares come
+before quantity: cells give at most what they have, and less than ``keep`` of all tokens stays where a scarce
+category could not give its share of more.
 
 Categories without a stated target are pooled under ``OTHER``, so the number of cells is bounded by
 the targets that the caller states, whatever the data.
@@ -11,11 +13,16 @@ the targets that the caller states, whatever the data.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorcast.staging import stage
+
 OTHER = "(other)"
+BROADCAST = 500_000  # documents with rows in several cells that are sent to all tasks; more are joined by shuffling
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -82,6 +89,79 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, keep: float) -> np.nda
     return np.minimum(1.0, high * ratio)
 
 
+def _fill(weight: np.ndarray, room: np.ndarray, share: float) -> float:
+    """The factor by which ``weight``, no cell over its ``room``, sums to ``share``, which the room allows."""
+    order = np.argsort(room / weight)
+    full = np.concatenate([[0.0], np.cumsum(room[order])])[:-1]
+    rest = np.cumsum(weight[order][::-1])[::-1]
+    at = min(int(np.sum(full + rest * (room / weight)[order] < share)), len(order) - 1)
+    return (share - full[at]) / rest[at]
+
+
+def within_room(
+    tokens: np.ndarray, cells: list[tuple], weight: np.ndarray, keep: float, rounds: int = 200, tolerance: float = 1e-9
+) -> tuple[np.ndarray, float]:
+    """Weights with the marginals of ``weight`` and the part of all tokens to keep, at most ``keep`` and as
+    large as is found, so that no cell gives more tokens than it has.
+
+    Cells that would are held at what they have, and the others are raked on."""
+    share = tokens / tokens.sum()
+    masks = []
+    for d in range(len(cells[0])):
+        own = np.array([cell[d] for cell in cells])
+        masks += [(mask, float(weight[mask].sum())) for mask in (own == name for name in sorted(set(own)))]
+    masks = [(mask & (weight > 0), wanted) for mask, wanted in masks if wanted > 0]
+
+    def raked(part: float) -> np.ndarray | None:
+        room, free = share / part, weight.copy()
+        for _ in range(rounds):
+            worst = 0.0
+            for mask, wanted in masks:
+                if room[mask].sum() < wanted:
+                    return None
+                worst = max(worst, abs(np.minimum(free, room)[mask].sum() - wanted))
+                free[mask] *= _fill(free[mask], room[mask], wanted)
+            if worst < tolerance:
+                return np.minimum(free, room)
+        return None
+
+    low = min(keep, float((share / weight.clip(1e-300)).min()) * (1 - 1e-12))  # no cell is full
+    best, high = weight, keep
+    if low < keep and (made := raked(keep)) is not None:
+        return made, keep
+    while high - low > 1e-3 * high:
+        part = (low + high) / 2
+        made = raked(part)
+        low, high, best = (part, high, made) if made is not None else (low, part, best)
+    return best, low
+
+
+def together(marked: DataFrame, into: str) -> DataFrame:
+    """``marked`` with one cell for all rows of a doc_id and text, the least of theirs.
+
+    Rows that differ in source or language would else have different probabilities for one hash."""
+    key = F.xxhash64("doc_id", "text")
+    cell = F.struct(f"{into}.source", f"{into}.lang")
+    split = stage(
+        marked.groupBy(key.alias("__key"))
+        .agg(F.min(cell).alias("__cell"), F.max(cell).alias("__most"))
+        .filter("__cell <> __most")
+        .drop("__most"),
+        "split-rows",
+    )
+    rows = split.count()
+    if not rows:
+        return marked
+    found = marked.join(F.broadcast(split) if rows <= BROADCAST else split, key == F.col("__key"), "left")
+    own = F.struct(
+        F.coalesce("__cell.source", f"{into}.source").alias("source"),
+        F.coalesce("__cell.lang", f"{into}.lang").alias("lang"),
+        f"{into}.topic",
+        f"{into}.tokens",
+    )
+    return found.withColumn(into, own).drop("__key", "__cell")
+
+
 def mix(
     documents: DataFrame,
     source: dict[str, float],
@@ -92,12 +172,14 @@ def mix(
     topic_of: Column | None = None,
 ) -> DataFrame:
     """All columns of ``documents`` and, as a last column, a struct: source, lang, topic (pooled),
-    tokens, weight (the raked token share of the cell), probability and kept. It is named ``mix``,
-    with underscores added while there is such a column.
+    tokens, weight (the raked token share of the cell in what is kept), probability and kept. It is named ``mix``,
+    with underscores added while there is such a column. ``keep`` is an upper bound of the part of all
+    tokens that is expected to stay; a warning names the part if the shares leave less.
 
     Null or unlisted sources, languages and topics count as OTHER. Documents without tokens weigh
     nothing and have their cell's probability; where a cell has no tokens at all, they are kept. Ties do not
     occur: the decision is a hash of doc_id and text, so repeated rows are kept or left out together
+    (if they differ in source or language, all count to the least of these)
     and a null doc_id is decided by its text. An empty table gives an empty result.
     """
     if not 0 < keep <= 1:
@@ -111,7 +193,7 @@ def mix(
     into = "mix"
     while into in map(str.lower, documents.columns):
         into += "_"
-    marked = documents.withColumn(into, own)
+    marked = together(documents.withColumn(into, own), into)
     sums = (
         marked.groupBy(*[F.col(f"{into}.{d}").alias(d) for d in DIMENSIONS])
         .agg(F.sum(f"{into}.tokens").alias("tokens"))
@@ -123,7 +205,10 @@ def mix(
     if cells:
         tokens = np.array([float(row["tokens"]) for row in sums])
         weight = rake(tokens, cells, (source, lang, topic))
-        fitted = {c: (float(w), float(p)) for c, w, p in zip(cells, weight, probabilities(tokens, weight, keep))}
+        weight, reached = within_room(tokens, cells, weight, keep)
+        if reached < keep:
+            warnings.warn(f"the shares leave {reached:.4f} of the tokens, not {keep}", stacklevel=2)
+        fitted = {c: (float(w), float(p)) for c, w, p in zip(cells, weight, probabilities(tokens, weight, reached))}
     key = F.concat_ws("\0", *[F.col(f"{into}.{d}") for d in DIMENSIONS])
     looked = F.lit(0.0), F.lit(1.0)
     if fitted:

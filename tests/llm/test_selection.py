@@ -88,3 +88,18 @@ def test_mix_of_odd_documents(documents):
     again = mixing.mix(documents, **TARGETS, keep=0.5).filter(F.col(into)["kept"]).count()
     assert again == sum(r["kept"] for r in rows)
     assert mixing.mix(documents.limit(0), **TARGETS).count() == 0
+
+
+def test_kept_tokens_have_the_shares_where_a_source_is_scarce(workers):
+    rows = [(n, "a b c d", "en" if n % 3 else "de", "rare" if n % 20 == 0 else "common") for n in range(600)]
+    docs = workers.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="of the tokens"):
+        made = mixing.mix(docs, {"rare": 0.3, "common": 0.7}, {"en": 0.5, "de": 0.5}, {"prose": 1.0}, keep=0.6)
+    expected = {}
+    for r in made.select("mix.*").collect():
+        for name in (r["source"], r["lang"]):
+            expected[name] = expected.get(name, 0.0) + r["tokens"] * r["probability"]
+    total = expected["rare"] + expected["common"]
+    assert 0 < total < 0.6 * 2400
+    assert expected["rare"] / total == pytest.approx(0.3, abs=1e-6)
+    assert expected["en"] / total == pytest.approx(0.5, abs=1e-6)
