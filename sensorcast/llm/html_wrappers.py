@@ -1,14 +1,15 @@
 """Main text of web pages by union-free wrappers inferred per host.
 
-A page is read as a stream of tags and texts and folded into a wrapper: a tree whose children are
-text slots or groups, each marked optional or repeated. Two wrappers of a host are aligned child by child; what only
-one of them has becomes optional, what stands next to its like becomes repeated. There are no unions, so
-a wrapper grows with the variety of a host's markup, not with its pages. Wrappers are merged
-where pages are read, then per host and part, then per host.
+A page is read as a stream of tags and texts. Its texts fill slots, named by the path of groups around them.
+The wrapper of a host is the flat set of its pages' slots: there are no unions, so it grows with the variety of
+a host's markup, not with its pages. When wrappers are merged (where pages are read, then per host and part,
+then per host), a slot keeps the digest of its text while all pages agree and is variable once they differ. A slot that
+never varies over several distinct pages is template text. ``fold``, ``merge`` and ``expression`` show
+the same as a tree, with optional and repeated groups aligned; the query does not need them.
 
 Slots that no content belongs to (menus, headers, footers, notices, adverts, forms, scripts,
 comments of readers) are told by the groups around them. Of the slots that are left, a page that has most of
-its text in an article (or a main group) is read there only, and any other page in all of them.
+its text in an article (or a main group) is read there only, and any other page in all of them but template text.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +68,8 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)", re.IGNORECASE)
 SLOT = "#text"
+SUPPORT = 3  # distinct pages that must share a text before it is taken for template text
+APART = "\x1f"  # between the labels of a path; white space, so no label has it
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -221,32 +226,60 @@ def outside(label: str) -> bool:
     return name.removesuffix("!hidden") in OUTSIDE or "!hidden" in label or bool(names and OUTSIDE_NAME.search(names.replace(".", " ")))
 
 
-def _groups(wrapper: list, path: tuple = ()) -> Iterator[tuple[tuple, bool]]:
-    """(path, has a slot of its own) of all groups that content can be in."""
-    yield path, any(label == SLOT for label, *_ in wrapper)
-    merged: dict[str, list] = {}
-    for label, _, _, inner in wrapper:
-        if label != SLOT and not outside(label):
-            merged.setdefault(label, []).extend(inner)
-    for label, inner in merged.items():
-        yield from _groups(inner, (*path, label))
+# What the query holds of a host: how many pages it has and, by path, its content slots: [digest of a page's
+# text in it or None if pages differ, pages that have it, digests of SUPPORT distinct pages of those].
 
 
-def content_paths(wrapper: list) -> list[set[tuple]]:
-    """Paths of groups whose slots hold content: those in an article, those in a main group, all."""
-    groups = [path for path, has in _groups(wrapper) if has]
-    named = [{p for p in groups if any(label.split(".")[0] == name for label in p)} for name in ("article", "main")]
-    return [*named, set(groups)]
+def slots(page: str) -> dict:
+    """The slots of one page that content can be in."""
+    texts: dict[tuple, list] = {}
+    for kind, path, value in read(page):
+        if kind == "text" and value.strip() and not any(map(outside, path)):
+            texts.setdefault(path, []).append(" ".join(value.split()))
+    found = {APART.join(path): _digest("\0".join(parts)) for path, parts in texts.items()}
+    own = _digest("\0".join(f"{path}\0{text}" for path, text in sorted(found.items())))
+    return {"pages": 1, "slots": {path: [text, 1, [own]] for path, text in found.items()}}
+
+
+def _digest(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def combine(one: dict, two: dict) -> dict:
+    """Slots of the pages of both; a slot in which their texts differ is variable."""
+    out = dict(one["slots"])
+    for path, (text, n, pages) in two["slots"].items():
+        if path in out:
+            text_, n_, pages_ = out[path]
+            text, n, pages = text if text == text_ else None, n + n_, sorted({*pages, *pages_})[:SUPPORT]
+        out[path] = [text, n, pages]
+    return {"pages": one["pages"] + two["pages"], "slots": out}
+
+
+def content_paths(wrapper: dict) -> list[set[tuple]]:
+    """Paths of slots that hold content: those in an article, those in a main group, all but template text, all.
+
+    Template text is the same on all pages that have the slot, if these are at least half of the host's
+    and SUPPORT of them differ elsewhere."""
+    slots_ = {tuple(path.split(APART)) if path else (): slot for path, slot in wrapper["slots"].items()}
+    article, main = ({p for p in slots_ if any(label.split(".")[0] == name for label in p)} for name in ("article", "main"))
+    template = {
+        path
+        for path, (text, n, pages) in slots_.items()
+        if text is not None and len(pages) >= SUPPORT and 2 * n >= wrapper["pages"]
+    }
+    return [article, main, set(slots_) - (template - article - main), set(slots_)]
 
 
 def extract(page: str | None, paths: list[set[tuple]]) -> str:
     """Text of the page's content slots; blocks are parted by one space, white space is one space.
 
     Content is what the page itself has in an article, or else in a main group, if that is at least half
-    of the text in all of ``paths``, so that a teaser card does not stand for a page; or else all of it."""
+    of its text without template text, so that a teaser card does not stand for a page; or else its text without
+    template text; or else, if there is nothing else, all of it."""
     events = list(read(page or ""))
     sizes = [sum(len(v.strip()) for kind, path, v in events if kind == "text" and path in some) for some in paths]
-    chosen = next((some for some, size in zip(paths, sizes) if size and 2 * size >= sizes[-1]), set())
+    chosen = next((some for some, size in zip(paths, sizes) if size and 2 * size >= sizes[2]), set())
     out: list[str] = []
     block: tuple = ()
     for kind, path, value in events:
@@ -264,19 +297,15 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _merged(wrappers: Iterator[str]) -> list:
-    out = None
-    for text in wrappers:
-        own = json.loads(text)
-        out = own if out is None else merge(out, own)
-    return out or []
+def _merged(wrappers: Iterable[str]) -> dict:
+    return reduce(combine, map(json.loads, wrappers))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) of all pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[str, dict] = {}
 
         def passed() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays(
@@ -288,14 +317,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = fold(page.as_py() or "")
-                held[name] = merge(held[name], own) if name in held else own
+                own = slots(page.as_py() or "")
+                held[name] = combine(held[name], own) if name in held else own
             if len(held) >= HOSTS:
                 yield passed()
         yield passed()
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(_merged(sorted(set(frame["wrapper"]))))]})
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(_merged(frame["wrapper"]))]})
 
     read_ = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     partial = read_.mapInArrow(run, "host string, wrapper string").withColumn(
@@ -326,7 +355,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column("html"), batch.column("wrapper")):
-                key = wrapper.as_py() or "[]"
+                key = wrapper.as_py()
                 if key not in known:
                     if len(known) >= HOSTS:
                         known.clear()

@@ -63,3 +63,13 @@ def test_pages_with_and_without_article_on_one_host(workers):
         5: "five",
         6: "six",
     }
+
+
+def test_template_text_in_plain_groups_is_left_out(workers):
+    page = '<div class="top"><div>Home</div><div>About</div></div><div class="body"><p>text {n}</p></div>'
+    rows = [(n, f"http://e.example/{n}", page.replace("{n}", str(n))) for n in range(5)]
+    rows += [(9, "http://e.example/9", '<div class="top"><div>Home</div><div>About</div></div>')]  # has nothing else
+    rows += [(n, f"http://f.example/{n}", "<div><p>a page copied</p></div>") for n in range(10, 15)]
+    pages = workers.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert got == {n: f"text {n}" for n in range(5)} | {9: "Home About"} | {n: "a page copied" for n in range(10, 15)}
