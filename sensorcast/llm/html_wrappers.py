@@ -18,7 +18,7 @@ import html
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -69,6 +69,7 @@ _NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)", re.IGNORECASE)
 SLOT = "#text"
 SUPPORT = 3  # distinct pages that must share a text before it is taken for template text
+DEEP = 200  # groups in a path; deeper ones, as of tags that are never closed, are not told apart
 APART = "\x1f"  # between the labels of a path; white space, so no label has it
 
 
@@ -107,23 +108,27 @@ def _label(name: str, attributes: str) -> str:
 
 def read(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
     """Events of a page with the labels of the groups around them: ("text", path, value), ("open", path, "") for a
-    group that opens, its own label last, ("break", path, "") for a line break."""
-    stack: list[str] = []
+    group that opens, its own label last, ("break", path, "") for a line break.
+
+    Groups deeper than DEEP stay open until they are closed, but only those that ``_tells`` names are in the path."""
+    paths: list[tuple[str, ...]] = [()]
     names: list[str] = []
 
     def cut(depth: int) -> None:
-        del stack[depth:], names[depth:]
+        del paths[depth + 1 :], names[depth:]
 
     for kind, name, value in tokens(page):
         if kind == "text":
-            yield "text", tuple(stack), value
+            yield "text", paths[-1], value
         elif kind == "close":
             if name == "br":
-                yield "break", tuple(stack), ""
+                yield "break", paths[-1], ""
             elif name in names:
+                if len(names) > DEEP and name not in INLINE:
+                    yield "break", paths[-1], ""
                 cut(len(names) - 1 - names[::-1].index(name))
         elif name in VOID:
-            yield ("open", (*stack, name), "") if name not in ("br", "wbr") else ("break", tuple(stack), "")
+            yield ("open", (*paths[-1], name), "") if name not in ("br", "wbr") else ("break", paths[-1], "")
         else:
             if name in ("html", "body") and name in names:
                 continue
@@ -139,9 +144,18 @@ def read(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
                         break
                     if names[at] in ("ul", "ol", "dl", "table", "select"):
                         break
-            stack.append(_label(name, value))
+            around, label = paths[-1], _label(name, value)
+            paths.append((*around, label) if len(names) < DEEP or _tells(label, around) else around)
             names.append(name)
-            yield "open", tuple(stack), ""
+            yield "open", (*around, label), ""
+
+
+def _tells(label: str, around: tuple[str, ...]) -> bool:
+    """Whether a group changes what its texts are: the first one outside, or the first article or main group."""
+    name = label.split(".")[0]
+    if name in ("article", "main") and all(other.split(".")[0] != name for other in around):
+        return True
+    return outside(label) and not any(map(outside, around))
 
 
 # A wrapper is a list of children [label, optional, repeated, children]; a slot has none.
@@ -221,6 +235,7 @@ def expression(wrapper: list) -> str:
     return "".join(parts)
 
 
+@lru_cache(65_536)
 def outside(label: str) -> bool:
     name, _, names = label.partition(".")
     return name.removesuffix("!hidden") in OUTSIDE or "!hidden" in label or bool(names and OUTSIDE_NAME.search(names.replace(".", " ")))

@@ -73,3 +73,17 @@ def test_template_text_in_plain_groups_is_left_out(workers):
     pages = workers.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
     assert got == {n: f"text {n}" for n in range(5)} | {9: "Home About"} | {n: "a page copied" for n in range(10, 15)}
+
+
+def test_unclosed_tags(workers):
+    deep = "".join(f"<{name}>{name}{n} " for n in range(1_000) for name in ("b", "font", "div", "span", "i"))
+    want = " ".join(f"{name}{n}" for n in range(1_000) for name in ("b", "font", "div", "span", "i"))
+    rows = [
+        (1, "http://g.example/1", deep),
+        (2, "http://g.example/2", deep + "<nav>menu</nav><article>end</article>"),
+        (3, "http://h.example/1", "<div>" * 5_000 + "<div>one</div><div>two</div>three"),
+    ]
+    pages = workers.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert got == {1: want, 2: want + " end", 3: "one two three"}
+    assert wrappers.merge(wrappers.fold(deep), wrappers.fold("<div>a</div>"))
