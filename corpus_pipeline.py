@@ -21,13 +21,20 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id.
+    """One row of each group of near copies, one with the group's first text under its smallest doc_id.
 
-    Documents without words stay, as do those without doc_id, of which nothing can be said."""
+    Rows without words stay. Texts that only rows without doc_id have are compared for equality alone."""
     ship(spark)
-    found = near_texts.near_duplicates(docs, percent=NEAR_PERCENT)
-    dropped = found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    found = stage(near_texts.classified(docs, NEAR_PERCENT).filter("d1 is not null"), "classes-of-rows")
+    chosen = F.coalesce("first", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    own = F.col("doc_id").alias("__id"), F.col("d1").alias("__e1"), F.col("d2").alias("__e2")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d1") == F.col("__e1")) & (F.col("__d2") == F.col("__e2"))
+    left = near_texts.with_class(docs).join(found.filter(~chosen).select(*own).distinct(), same, "left_anti")
+    repeated = stage(found.filter(chosen).groupBy(*own).count().filter("count > 1"), "repeated-rows")
+    if not repeated.isEmpty():
+        single = left.join(repeated, same, "left_anti")
+        left = single.unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["__d1", "__d2"]))
+    return left.drop("__d1", "__d2")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

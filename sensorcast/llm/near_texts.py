@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sensorcast.llm.components import components
 from sensorcast.llm.words import Memo, doc_columns, hash_memo, mix, windows, word_hashes
@@ -173,6 +174,20 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     same doc_id have the components of their own texts. A row without doc_id has its component, or null if none of
     it has one, and is not kept. An empty table gives no rows; other columns are ignored.
     """
+    found = classified(documents, percent)
+    component = F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select(
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+    )
+
+
+def classified(documents: DataFrame, percent: int) -> DataFrame:
+    """(d1, d2, doc_id, n_shingles, rep, component_id, first) of every row: the class of its text, the smallest
+    doc_id of the class and of its group, and whether the class is the group's first. The last three are null
+    without words, and where all rows of the text lack a doc_id."""
     signed = stage(_signatures(documents), "signatures")
     classes = stage(
         signed.filter("d1 is not null and doc_id is not null")
@@ -237,16 +252,30 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     groups = components(links)
     grouped = classes.select(named, "d1", "d2", "rep").join(groups, "node", "left")
     group = F.coalesce("component", "node")
-    first = grouped.groupBy(group.alias("group")).agg(F.min("rep").alias("component_id"))
-    found = grouped.select(group.alias("group"), "d1", "d2").join(first, "group").select("d1", "d2", "component_id")
-    component = F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (
-        signed.select("doc_id", "n_shingles", "d1", "d2")
-        .join(found, ["d1", "d2"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            component.alias("component_id"),
-            F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-        )
+    least = grouped.groupBy(group.alias("group")).agg(F.min(F.struct("rep", "node")).alias("least"))
+    found = grouped.select(group.alias("group"), "node", "rep", "d1", "d2").join(least, "group")
+    return signed.select("doc_id", "n_shingles", "d1", "d2").join(
+        found.select(
+            "d1", "d2", "rep", F.col("least.rep").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first")
+        ),
+        ["d1", "d2"],
+        "left",
     )
+
+
+def with_class(documents: DataFrame) -> DataFrame:
+    """All columns and the text's class as ``__d1``, ``__d2``, null for texts without words."""
+    own = documents.select("*", F.col("text").cast("string").alias("__text"))
+    schema = StructType([*documents.schema.fields, StructField("__d1", LongType()), StructField("__d2", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = hash_memo()
+        for batch in batches:
+            sets = (shingle_set(text.as_py(), memo) for text in batch.column(batch.num_columns - 1))
+            found = [_digest(values) if len(values) else (None, None) for values in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *(pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1))],
+                names=schema.names,
+            )
+
+    return own.mapInArrow(run, schema)

@@ -3,7 +3,7 @@
 from pathlib import Path
 
 import pytest
-from llm_data import workers  # noqa: F401
+from llm_data import documents, prose, workers  # noqa: F401
 
 import corpus_pipeline
 from sensorcast.llm import near_texts, quality
@@ -51,3 +51,14 @@ def test_near_copies_of_80_percent_go(workers):
     docs = workers.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in near_texts.near_duplicates(docs).filter("kept").collect()} == {1, 2, 3}
     assert {r["doc_id"] for r in corpus_pipeline.distinct(workers, docs, DATA).collect()} == {1, 3}
+
+
+def test_near_copies_are_decided_by_row(workers, documents):
+    more = workers.createDataFrame([(20, prose(7, 50)), (0, prose(10, 50)), (15, prose(10, 50))], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(more)
+    got = [tuple(r) for r in corpus_pipeline.distinct(workers, docs, DATA).collect()]
+    assert [i for i, t in got if t == prose(8, 50)] == [16]  # a row twice
+    assert [i for i, t in got if t == prose(7, 50)] == [15]
+    assert [i for i, t in got if t == prose(10, 50)] == [0]
+    assert any(i == 15 and "PASSWORD" in t for i, t in got)  # a clean text under an id that has a copy
+    assert [t for i, t in got if i is None] == [prose(9, 50)]
