@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +16,16 @@ from sensorcast.llm import (
     packing,
     quality,
     repeats,
+    runs,
     secret_scan,
     settings,
     token_counts,
     topk,
+    warc,
+    whitening,
 )
 from sensorcast.llm.shipping import ship
+from sensorcast.staging import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +97,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), settings.PIECE_BPE, settings.TOKEN_LIMIT)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Periodic runs for a tenth of the documents: from some word on, the words repeat."""
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is None or h % 10 or not n:
+        return None
+    g = h // 10
+    begin = g % n
+    period = 1 + (n - begin) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at < begin, at, begin + (at - begin) % period)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_table(spark, sf_dir, "documents"), planted)
+    line = lambda r: F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")])
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(shown, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
@@ -101,6 +145,9 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_warc": op12_warc,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 # SQL whose rows equal a query's.
@@ -120,4 +167,15 @@ ranked AS (
          vec_id, score
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op12_warc": """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+sized AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+named AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS origin
+  FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN origin = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN origin <> page_id THEN origin END AS refers_to
+FROM named""",
 }
