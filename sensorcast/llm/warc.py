@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorcast.staging import stage
+from sensorcast.staging import scratch_path, stage
 
 CHUNK_BYTES = 1 << 20
 LEAST_SHARED = 1_000  # shorter payloads are always written themselves
@@ -132,7 +132,10 @@ def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").cast("binary").alias("html"),
     )
-    return stage(numbered.mapInArrow(run, _ddl(_CHUNKS)).withColumnRenamed("row", "record"), "chunks")
+    made = numbered.mapInArrow(run, _ddl(_CHUNKS)).withColumnRenamed("row", "record")
+    path = scratch_path(pages.sparkSession, "chunks")
+    made.write.option("compression", "zstd").parquet(path)  # as large as all payloads
+    return pages.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def roles(chunks: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
@@ -338,7 +341,8 @@ def page_records(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES)
     """(page_id, record_type, payload_bytes, payload_digest, refers_to) of each record in archives that
     ``write_archives`` made; refers_to is the page that a revisit stands for. A payload with another
     digest than its header states is an error."""
-    records = whole_records(read_archives(spark, path, with_data=False, chunk_bytes=chunk_bytes))
+    # Kept, so that archives are read once; it holds content of records of several rows only.
+    records = whole_records(stage(read_archives(spark, path, with_data=False, chunk_bytes=chunk_bytes), "records"))
     page = lambda name: F.nullif(F.split(F.col(name), ":")[2], F.lit("")).cast("long")
     damaged = F.raise_error(F.concat(F.lit("damaged payload of "), F.col("record_id")))
     digest = F.when(F.col("digest") == F.col("stated"), F.col("digest")).otherwise(damaged)
