@@ -175,9 +175,11 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     into = "secrets"
     while into in map(str.lower, documents.columns):
         into += "_"
+    # Everything beside the row itself goes into one column, whatever names the documents have.
+    own = [F.col(f"`{c}`") for c in documents.columns]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.col("doc_id"), text)  # a clash of keys only makes a row a candidate
-    keyed = documents.withColumns({"__text": text, "__key": key})
+    keyed = documents.select(F.struct(*own).alias("row"), text.alias("__text"), key.alias("__key"))
     indexed = [n for n, rule in enumerate(rules) if mandatory(rule)]
     if indexed:
         found = stage(_candidates(keyed.select("__text", "__key"), rules), "candidates")
@@ -187,12 +189,13 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         flags = F.coalesce(F.col("rules"), F.lit(0).cast("long"))
     spans = []
     for n, rule in enumerate(rules):
-        own = _spans(F.col("__text"), rule, n)
+        matches = _spans(F.col("__text"), rule, n)
         if n in indexed:
             nothing = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-            own = F.when(flags.bitwiseAND(F.lit(1 << n)) != 0, own).otherwise(nothing)
-        spans.append(own)
-    return keyed.select(*[F.col(f"`{c}`") for c in documents.columns], F.array_sort(F.concat(*spans)).alias(into))
+            matches = F.when(flags.bitwiseAND(F.lit(1 << n)) != 0, matches).otherwise(nothing)
+        spans.append(matches)
+    fields = [F.col("row").getField(c).alias(c) for c in documents.columns]
+    return keyed.select(*fields, F.array_sort(F.concat(*spans)).alias(into))
 
 
 def count_of(spans: Column, number: int) -> Column:

@@ -27,11 +27,29 @@ CHUNK = 512  # queries that are searched together
 GROUP = 65_536  # candidates in a group
 TILE = 4_096  # candidates whose scores are held at a time
 STEP = 16  # dimensions in a block
-LARGEST = 1 << 28  # quantised components are clamped to this, so that scores fit 64 bits
 
 
 def quantise(vector: np.ndarray, scale: int) -> np.ndarray:
-    return np.clip(np.floor(scale * vector), -LARGEST, LARGEST).astype(np.int32)
+    """floor(scale * x) in 32 bits, or 64 where a component needs them."""
+    whole = np.floor(scale * vector)
+    top = np.abs(whole).max()
+    if not top < 2.0**62:
+        raise OverflowError("a component is too large for a whole number of 64 bits")
+    return whole.astype(np.int32 if top < 2.0**31 else np.int64)
+
+
+def whole_matrix(cells, dim: int) -> np.ndarray:
+    """Rows from their bytes, whatever their width."""
+    cells = list(cells)
+    if all(len(c) == 4 * dim for c in cells):
+        return matrix(cells, dim, "<i4")
+    return np.array([np.frombuffer(c, f"<i{len(c) // dim}") for c in cells], np.int64)
+
+
+def _reach(score: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """What a score can come to at most, with room for rounding."""
+    score = score.astype(float)
+    return score + np.abs(score) * 1e-14 + bound * (1 + 1e-9) + 1e-6
 
 
 class Best:
@@ -59,9 +77,9 @@ class Best:
 def search(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int) -> Best:
     """``queries`` is (queries, dimensions), ``columns`` the candidates' (dimensions, candidates)."""
     dim = len(columns)
-    # Doubles add whole numbers exactly below 2**53 and are multiplied fast; beyond, 64-bit integers.
+    # Doubles add whole numbers exactly below 2**53 and are multiplied fast; beyond, 64-bit integers, or any.
     top = float(max(np.abs(queries).max(initial=0), 1)) * float(max(np.abs(columns).max(initial=0), 1)) * dim
-    kind = np.float64 if top < 2**52 else np.int64
+    kind = np.float64 if top < 2.0**52 else np.int64 if top < 2.0**62 else object
     order = np.argsort(-np.square(queries.astype(float)).sum(axis=0), kind="stable")
     queries, columns = queries[:, order].astype(kind), columns[order].astype(kind)
     blocks = [slice(at, min(at + STEP, dim)) for at in range(0, dim, STEP)]
@@ -79,7 +97,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids:
             if pairs is None:
                 score += queries[:, block] @ tile[block]
                 bound = np.sqrt(own[:, rest].sum(axis=1))[:, None] * np.sqrt(mass[rest].sum(axis=0))[None, :]
-                alive = score + bound * (1 + 1e-9) + 1e-6 >= floor[:, None]
+                alive = _reach(score, bound) >= floor[:, None]
                 columns_alive = alive.any(axis=0)
                 if columns_alive.mean() < 0.5:
                     tile, mass, names = tile[:, columns_alive], mass[:, columns_alive], names[columns_alive]
@@ -91,16 +109,18 @@ def search(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids:
                 q, c = pairs
                 held = held + (queries[q, block] * tile[block, :].T[c]).sum(axis=1)
                 bound = np.sqrt(own[:, rest].sum(axis=1))[q] * np.sqrt(mass[rest].sum(axis=0))[c]
-                alive = held + bound * (1 + 1e-9) + 1e-6 >= floor[q]
+                alive = _reach(held, bound) >= floor[q]
                 pairs, held = (q[alive], c[alive]), held[alive]
         q, c = pairs
         other = names[c] != query_ids[q]
+        if kind is object and any(not -(1 << 63) <= v < 1 << 63 for v in held[other]):
+            raise OverflowError("a score is too large for a long")
         best.add(q[other], held[other].astype(np.int64), names[c][other])
     return best
 
 
 def _rows(embeddings: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, dim, data) of the usable rows; data holds 32-bit integers."""
+    """(vec_id, dim, data) of the usable rows; data holds integers of 32 or 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,8 +145,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64)
     components take no part, nor do rows without vec_id; only vectors of equal length are compared.
     Fewer than k others give fewer rows, none give none, ties go to the smaller vec_id. Each repeated
     row is a candidate of its own, rows with the query's vec_id are not; repeated query rows give
-    their result once, and a vec_id with different vectors gives the best over them. Components beyond 2**28
-    after scaling are clamped. Other columns are ignored; an empty table gives no rows.
+    their result once, and a vec_id with different vectors gives the best over them. Components and scores of any
+    size are exact; one that a long cannot hold is an error. Other columns are ignored; an empty table gives no rows.
     """
     rows = stage(_rows(embeddings, scale), "vectors")
     queries = rows.filter(is_query)
@@ -161,8 +181,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64)
         asked = asked.drop_duplicates(["query_id", "query"])
         dim = int(asked["q_dim"].iloc[0])
         query_ids = asked["query_id"].to_numpy()
-        columns = np.ascontiguousarray(matrix(candidates["data"], dim, "<i4").T)
-        best = search(matrix(asked["query"], dim, "<i4"), query_ids, columns, candidates["vec_id"].to_numpy(), k)
+        columns = np.ascontiguousarray(whole_matrix(candidates["data"], dim).T)
+        best = search(whole_matrix(asked["query"], dim), query_ids, columns, candidates["vec_id"].to_numpy(), k)
         return pd.DataFrame(dict(zip(names, (query_ids[best.rows], best.ids, best.scores))))
 
     asked = right.groupBy("q_dim", "q_part", "q_chunk")

@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="test tables not present")
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_each_operator_has_one_query(number):
     assert sum(name.startswith(f"op{number}_") for name in QUERIES) == 1
 
@@ -30,7 +30,7 @@ def test_stages(workers, tmp_path):
             model = quality.train(docs, ratings(workers, DATA))
             assert ids == {r["doc_id"] for r in quality.score(docs, model).filter("kept").collect()}
         if n == 1:
-            assert ids == {r["doc_id"] for r in near_texts.near_duplicates(docs).filter("kept").collect()}
+            assert ids == {r["doc_id"] for r in near_texts.near_duplicates(docs, corpus_pipeline.NEAR_PERCENT).filter("kept").collect()}
         if n == 2:
             assert ids == before
             assert made.filter("text rlike 'AKIA[A-Z0-9]{12}'").count() == 0

@@ -199,3 +199,15 @@ def test_repeats(documents):
 )
 def test_empty_table(documents, operator):
     assert rows_of(operator(documents.limit(0))) == []
+
+
+def test_secrets_beside_columns_of_any_name(workers):
+    text = "password = abcd1234efgh and on"
+    rows = [(1, text, 5, 6, 7, 8, 9), (2, None, 5, 6, 7, 8, 9)]
+    schema = "doc_id long, text string, row_key int, rules int, row int, __text int, `a.b` int"
+    frame = workers.createDataFrame(rows, schema)
+    scanned = secret_scan.scan(frame)
+    assert scanned.columns == [*frame.columns, "secrets"]
+    masked = secret_scan.redact(frame)
+    assert masked.columns == frame.columns
+    assert sorted(tuple(r) for r in masked.collect()) == [(1, "[secret] and on", 5, 6, 7, 8, 9), (2, None, 5, 6, 7, 8, 9)]

@@ -59,6 +59,33 @@ def test_top_k(embeddings, sizes, monkeypatch):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_numbers(workers):
+    rows = [(0, [5e6, 0.0]), (1, [5e6, 1.0]), (2, [1e15, 1.0]), (20, [-3e6, 2.0]), (21, [-3e6, 2.5]), (40, [1.0, -1e9])]
+    frame = workers.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i != 2}
+    want = []
+    for q in (0, 20, 40):
+        near = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+    got = topk.top_k(frame.filter("vec_id <> 2"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert (0, 1, 1, 102400000000000000) in want
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(frame, F.col("vec_id") % 20 == 0).collect()
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(frame.limit(0).union(workers.createDataFrame([(0, [1e40])], frame.schema)), F.col("vec_id") % 20 == 0).collect()
+
+
+def test_search_beyond_doubles():
+    rnd = np.random.default_rng(2)
+    queries, columns = rnd.integers(-(2**30), 2**30, (9, 40)), rnd.integers(-(2**27), 2**27, (40, 700))
+    best = topk.search(queries, np.full(9, -1), columns, np.arange(700), 20)
+    exact = queries.astype(object) @ columns.astype(object)
+    for q in range(9):
+        want = sorted((-s, n) for n, s in enumerate(exact[q]))[:20]
+        assert [(-s, n) for s, n in zip(best.scores[best.rows == q], best.ids[best.rows == q])] == want
+
+
 @pytest.mark.parametrize("shard", [near_vectors.SHARD, 60])
 def test_near_duplicates(embeddings, shard):
     frame, rows = embeddings
