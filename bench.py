@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from catalog.queries import QUERIES  # noqa: E402
+from catalog.queries import QUERIES, hourly  # noqa: E402
 from catalog.tables import CONFIG, readings  # noqa: E402
 from sensorcast.config import HORIZONS  # noqa: E402
 from sensorcast.plans import training  # noqa: E402
@@ -97,12 +97,14 @@ def model_times(spark: SparkSession, sf_dir: str) -> dict[str, float]:
 
     out["holdout_metrics_24"] = best_of(2, lambda: run(training.holdout_metrics(table, models)))
 
-    return out | stream_times(spark, source, models)
+    return out | stream_times(spark, sf_dir, models)
 
 
-def stream_times(spark: SparkSession, source, models) -> dict[str, float]:
-    """Latency of the running forecast jobs for micro-batches of one new reading per station."""
+def stream_times(spark: SparkSession, sf_dir: str, models) -> dict[str, float]:
+    """Latency of the running forecast jobs for micro-batches of one new hour per station."""
     landed, rows, forecasts, state = (scratch_path(spark, n) for n in ("landed", "rows", "forecasts", "state"))
+    # Features in hours want a regular series: the raw events have no reading exactly an hour before.
+    source = hourly(spark, sf_dir).drop("readings").withColumns({"latitude": F.lit(0.0), "longitude": F.lit(0.0)})
     dated = source.withColumn("reading_date", F.to_date("timestamp"))
     newest_first = Window.partitionBy("location_id").orderBy(F.col("timestamp").desc())
     numbered = dated.withColumn("n", F.row_number().over(newest_first)).persist()
@@ -125,6 +127,8 @@ def stream_times(spark: SparkSession, source, models) -> dict[str, float]:
         for name, running in zip(spent, (first, second)):
             running.processAllAvailable()
             done = [p["durationMs"]["triggerExecution"] for p in running.recentProgress if p["numInputRows"] > 0]
+            if not done:
+                raise RuntimeError(f"{name}: no row reached the stream")
             spent[name].append(done[-1] / 1000)
     first.stop()
     second.stop()
