@@ -374,3 +374,41 @@ FROM lagged"""
 ORACLES["stream_alerts"] = _with(READINGS_SQL, HOURLY_SQL) + f"""
 SELECT location_id, "timestamp", round(aqi, 9) AS aqi, {_case("aqi", bands.AQI_BANDS)} AS alert_label
 FROM hourly WHERE aqi > 60"""
+
+
+# Nearest hours by SQL's own as-of joins, one in each direction.
+_ASKED = """asked AS (
+  SELECT event_id, event_type AS location_id,
+    CASE WHEN event_id % 10 = 0 THEN date_trunc('hour', ts) + INTERVAL 30 MINUTE ELSE ts END AS "timestamp" FROM events)"""
+_BOTH_SIDES = """sides AS (
+  SELECT a.*, b."timestamp" AS t1, b.pm25 AS v1, c."timestamp" AS t2, c.pm25 AS v2
+  FROM asked a
+  ASOF LEFT JOIN hourly b ON a.location_id = b.location_id AND a."timestamp" >= b."timestamp"
+  ASOF LEFT JOIN hourly c ON a.location_id = c.location_id AND a."timestamp" <= c."timestamp"),
+chosen AS (
+  SELECT *, t2 IS NULL OR epoch_us("timestamp") - epoch_us(t1) <= epoch_us(t2) - epoch_us("timestamp") AS earlier FROM sides)"""
+ORACLES["nearest_readings"] = _with(READINGS_SQL, HOURLY_SQL, _ASKED, _BOTH_SIDES) + """
+SELECT event_id, location_id, "timestamp", CASE WHEN earlier THEN t1 ELSE t2 END AS near_timestamp,
+  round(CASE WHEN earlier THEN v1 ELSE v2 END, 9) AS near_pm25 FROM chosen"""
+ORACLES["nearest_readings_split_stations"] = ORACLES["nearest_readings"]
+ORACLES["readings_before"] = _with(READINGS_SQL, HOURLY_SQL, _ASKED, _BOTH_SIDES) + """
+SELECT event_id, location_id, "timestamp",
+  CASE WHEN epoch_us("timestamp") - epoch_us(t1) <= 1200000000 THEN t1 END AS near_timestamp,
+  CASE WHEN epoch_us("timestamp") - epoch_us(t1) <= 1200000000 THEN round(v1, 9) END AS near_pm25 FROM sides"""
+
+_AFTER_A_GAP = READINGS_SQL.replace(
+    'ts AS "timestamp"',
+    """ts + CASE WHEN event_type = 'view' AND ts >= TIMESTAMP '2024-01-20' THEN INTERVAL 60 DAY ELSE INTERVAL 0 DAY END AS "timestamp\"""",
+)
+ORACLES["stream_features_rows"] = _with(_AFTER_A_GAP) + f""",
+shifted AS (
+  SELECT *, lag(pm25, 1) OVER w AS pm25_lag1, lag(pm25, 3) OVER w AS pm25_lag3,
+    avg(pm25) OVER (PARTITION BY location_id ORDER BY "timestamp" ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS pm25_mean3
+  FROM readings WINDOW w AS (PARTITION BY location_id ORDER BY "timestamp"))
+SELECT location_id, location_name, "timestamp", {_rounded(_VECTOR, 9)},
+  hour("timestamp")::DOUBLE AS hour, round({DAY_FRACTION}, 9) AS day_of_week, {CODE} AS location_code
+FROM shifted WHERE pm25_lag3 IS NOT NULL"""
+
+ORACLES["find_forecast_repeated"] = ORACLES["find_forecast"]
+ORACLES["forecast_vs_actual_repeated"] = ORACLES["forecast_vs_actual"]
+ORACLES["stream_forecast_vs_actual"] = ORACLES["forecast_vs_actual"]

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from catalog.tables import BOUNDS, CONFIG, SMALL_CHUNKS, dimension, events, present, readings
 from sensorcast.config import HORIZONS, MEASURES, SplitConfig, label_name
 from sensorcast.functions import bands, calendar
-from sensorcast.operators import clean, metrics, profile, series
+from sensorcast.operators import asof, clean, metrics, profile, series
 from sensorcast.plans import features, reports, storage, training
 from sensorcast.schema import FORECAST_SCHEMA, PAYLOAD_FIELDS, READING_SCHEMA
 from sensorcast.sources import readers, streams, writers
 from sensorcast.staging import scratch_path
+from sensorcast.streaming import lags, verify
 from sensorcast.streaming.forecast import feature_schema, feature_stream, score_stream
 from sensorcast.streaming.ingest import ingest_readings
 
@@ -325,6 +326,37 @@ def nearest_reading(spark, sf_dir):
     return present(series.nearest(readings(spark, sf_dir), F.lit("2024-01-15 12:00:00").cast("timestamp")))
 
 
+def _instants(spark, sf_dir):
+    """An instant to ask for per event; every tenth in the middle of an hour, as near to one full hour as to the next."""
+    half = (F.date_trunc("hour", "ts") + F.expr("INTERVAL 30 MINUTES")).cast("timestamp")
+    asked = F.when(F.col("event_id") % 10 == 0, half).otherwise(F.col("ts").cast("timestamp"))
+    return events(spark, sf_dir).select("event_id", F.col("event_type").alias("location_id"), asked.alias("timestamp"))
+
+
+def _nearest_readings(spark, sf_dir, chunking, **options):
+    """The hourly readings nearest to each event of their station."""
+    hours = hourly(spark, sf_dir).select("location_id", "timestamp", "pm25")
+    found = asof.asof_join(_instants(spark, sf_dir), hours, chunking=chunking, **options)
+    near = [F.col("near.timestamp").alias("near_timestamp"), F.col("near.pm25").alias("near_pm25")]
+    return present(found.select("event_id", "location_id", "timestamp", *near), HOURLY_DIGITS)
+
+
+@query
+def nearest_readings(spark, sf_dir):
+    return _nearest_readings(spark, sf_dir, CONFIG.chunking)
+
+
+@query
+def nearest_readings_split_stations(spark, sf_dir):
+    return _nearest_readings(spark, sf_dir, SMALL_CHUNKS)
+
+
+@query
+def readings_before(spark, sf_dir):
+    """The last hour before each event, if it is less than 20 minutes ago; in chunks."""
+    return _nearest_readings(spark, sf_dir, SMALL_CHUNKS, direction="before", tolerance_seconds=1200)
+
+
 @query
 def forecast_fanout(spark, sf_dir):
     return present(training.persistence_forecasts(readings(spark, sf_dir), HORIZONS))
@@ -584,7 +616,7 @@ def stream_forecast(spark, sf_dir):
     models = training.train_horizons(table, config, HORIZONS)
     rows, out = _feature_rows(spark, landed, config), scratch_path(spark, "forecasts")
     _finish([score_stream(spark, rows, models, out, scratch_path(spark, "score-state"), config, trigger=ONCE)])
-    return present(spark.read.schema(FORECAST_SCHEMA).parquet(out))
+    return present(readers.read_forecasts(spark, out).select(FORECAST_SCHEMA.names))
 
 
 @query
@@ -595,3 +627,77 @@ def stream_alerts(spark, sf_dir):
     sink = found.writeStream.format("parquet").option("path", out).trigger(**ONCE)
     _finish([sink.option("checkpointLocation", scratch_path(spark, "alert-state")).start()])
     return present(spark.read.schema(found.schema).parquet(out), HOURLY_DIGITS)
+
+
+def _land(df, path: str) -> None:
+    dated = df.withColumns({"ingested_at": F.current_timestamp(), "reading_date": F.to_date("timestamp")})
+    dated.write.mode("append").partitionBy("reading_date").parquet(path)
+
+
+def _day(text: str):
+    return F.lit(f"2024-01-{text} 00:00:00").cast("timestamp")
+
+
+@query
+def stream_features_rows(spark, sf_dir):
+    """Three landings of all readings. Those of one station go on 60 days later from the 20th on; a tenth of the last day
+    before the second landing comes with that one, where another station begins."""
+    gap = F.when((F.col("location_id") == "view") & (F.col("timestamp") >= _day("20")), F.expr("INTERVAL 60 DAYS"))
+    source = readings(spark, sf_dir, extra=("event_id",))
+    source = source.withColumn("timestamp", F.col("timestamp") + F.coalesce(gap, F.expr("INTERVAL 0 DAYS")))
+    ts, n = F.col("timestamp"), F.col("event_id")
+    late = (ts >= _day("11")) & (n % 10 == 0) | (F.col("location_id") == "signup")
+    landing = F.when((ts < _day("12")) & ~late, 1).when(ts < _day("21"), 2).otherwise(3)
+    landed, rows, state = (scratch_path(spark, x) for x in ("landed", "row-features", "row-state"))
+    for k in (1, 2, 3):
+        _land(source.filter(landing == k).drop("event_id"), landed)
+        stream = streams.reading_stream(spark, landed)
+        _finish([lags.row_feature_stream(stream, rows, state, CONFIG, lateness_hours=72, trigger=ONCE)])
+    return present(lags.read_row_features(spark, rows, CONFIG).drop("revision"), 9)
+
+
+def _versions(forecasts: DataFrame) -> DataFrame:
+    """Each forecast as a second run made it, after a first run that foretold more."""
+    first = forecasts.withColumns({"predicted_pm25": F.col("predicted_pm25") + 40, "scored_at": _day("01"), "revision": F.lit(9)})
+    second = forecasts.withColumns({"scored_at": _day("02"), "revision": F.lit(0)})
+    return first.unionByName(second)
+
+
+@query
+def find_forecast_repeated(spark, sf_dir):
+    """As ``find_forecast``, where an earlier run had foretold more."""
+    rows = readings(spark, sf_dir)
+    first = rows.filter(F.col("location_id") == "click").agg(F.min("timestamp").alias("t")).scalar()
+    made = _versions(training.persistence_forecasts(rows, HORIZONS))
+    return present(reports.find_forecast(made, "click", first, 12).select(FORECAST_SCHEMA.names))
+
+
+@query
+def forecast_vs_actual_repeated(spark, sf_dir):
+    """As ``forecast_vs_actual``, where forecasts were made twice and each reading was corrected downwards."""
+    rows = hourly(spark, sf_dir)
+    wrong = rows.withColumns({"pm25": F.col("pm25") + 7, "ingested_at": _day("01"), "source_offset": F.lit(5)})
+    right = rows.withColumns({"ingested_at": _day("01"), "source_offset": F.lit(6)})
+    made = _versions(training.persistence_forecasts(rows, HORIZONS))
+    found = reports.forecast_vs_actual(made, wrong.unionByName(right))
+    return present(found.drop("scored_at", "revision"), HOURLY_DIGITS)
+
+
+@query
+def stream_forecast_vs_actual(spark, sf_dir):
+    """Forecasts and readings land in three parts each; a fifth of the readings of a part's last day comes with the
+    next one, and all forecasts were made twice."""
+    rows = hourly(spark, sf_dir).drop("readings")
+    ts = F.col("timestamp")
+    landing = lambda shown: F.when(shown < _day("11"), 1).when(shown < _day("21"), 2).otherwise(3)
+    waits = F.when(F.hour(ts) % 5 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    made = _versions(training.persistence_forecasts(rows, HORIZONS)).withColumn("forecast_date", F.to_date(ts))
+    landed, stored, out, state = (scratch_path(spark, x) for x in ("landed", "forecasts", "errors", "error-state"))
+    for k in (1, 2, 3):
+        made.filter(landing(ts) == k).withColumn("revision", F.col("revision").cast("long")).write.mode("append").partitionBy(
+            "forecast_date"
+        ).parquet(stored)
+        _land(rows.filter(landing(ts + waits) == k), landed)
+        forecasts = verify.stored_forecast_stream(spark, stored)
+        _finish([verify.verification_stream(forecasts, streams.reading_stream(spark, landed), out, state, "2 days", trigger=ONCE)])
+    return present(verify.read_errors(spark, out), HOURLY_DIGITS)

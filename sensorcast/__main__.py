@@ -79,7 +79,7 @@ def score(spark, args):
 def report(spark, args):
     """The overview and detail tables of all stations."""
     landed = readers.read_landed(spark, args.landed)
-    forecasts = spark.read.parquet(args.forecasts)
+    forecasts = readers.read_forecasts(spark, args.forecasts)
     writers.write_table(reports.station_overview(landed, station_dimension(spark)), f"{args.target}/overview")
     writers.write_table(reports.station_detail(landed, forecasts, args.horizon), f"{args.target}/detail")
     writers.write_table(reports.recent_readings(landed), f"{args.target}/recent")

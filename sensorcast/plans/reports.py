@@ -11,7 +11,7 @@ from sensorcast.functions.calendar import display_time
 from sensorcast.functions.stations import attach_dimension
 from sensorcast.operators import series
 from sensorcast.operators.clean import drop_incomplete, keep_last
-from sensorcast.schema import LANDED_AT
+from sensorcast.schema import LANDED_AT, REVISION, SCORED_AT, SOURCE_OFFSET
 
 RECENT_COLUMNS = (TIME, "pm25", "pm10", "aqi", "co", "no2", "so2", "o3")
 
@@ -34,15 +34,15 @@ def colour_ceiling(overview: DataFrame) -> DataFrame:
 
 
 def last_forecasts(forecasts: DataFrame) -> DataFrame:
-    """One forecast per station, instant and horizon: that of the last run, where runs are told apart
-    by ``run_id`` and ``batch_id``, and always the same one where they are not."""
-    order = [c for c in ("run_id", "batch_id") if c in forecasts.columns]
+    """One forecast per station, instant and horizon, the one that was made last: by time of scoring,
+    then by version of the feature row. Where neither is known it is at least always the same one."""
+    order = [c for c in (SCORED_AT, REVISION, "batch_id") if c in forecasts.columns]
     return keep_last(forecasts, [*order, "predicted_pm25"], (STATION, TIME, "horizon_hours"))
 
 
 def last_readings(readings: DataFrame) -> DataFrame:
     """One reading per station and instant, the one that landed last."""
-    landed = [c for c in (LANDED_AT,) if c in readings.columns]
+    landed = [c for c in (LANDED_AT, SOURCE_OFFSET) if c in readings.columns]
     return keep_last(readings, [*landed, "pm25"])
 
 

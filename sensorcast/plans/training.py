@@ -245,16 +245,16 @@ def score_horizons(featured: DataFrame, models: Mapping[int, PipelineModel]) ->
     return out.drop(VECTOR)
 
 
-def forecasts_long(scored: DataFrame, horizons: Sequence[int], target: str = "pm25") -> DataFrame:
-    """The forecast table: one row per reading and horizon."""
+def forecasts_long(scored: DataFrame, horizons: Sequence[int], target: str = "pm25", also: Sequence[str] = ()) -> DataFrame:
+    """The forecast table: one row per reading and horizon, with the reading's columns ``also`` behind."""
     pairs = [
         F.struct(F.lit(h).alias("horizon_hours"), F.col(f"predicted_h{h}").alias(f"predicted_{target}"))
         for h in sorted(horizons)
     ]
     keep = dict.fromkeys((STATION, "location_name", TIME, target, "aqi"))
-    long = scored.select(*keep, F.inline(F.array(*pairs)))
+    long = scored.select(*keep, *also, F.inline(F.array(*pairs)))
     return long.withColumn("forecast_for", hours_later(F.col(TIME), F.col("horizon_hours"))).select(
-        *keep, f"predicted_{target}", "horizon_hours", "forecast_for"
+        *keep, f"predicted_{target}", "horizon_hours", "forecast_for", *also
     )
 
 

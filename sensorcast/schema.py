@@ -80,9 +80,23 @@ GEOJSON_SCHEMA = T.StructType(
     ]
 )
 
+# A forecast as the scoring stream stores it: the time of scoring, and the number of the feature row's
+# version where a correction makes a new one, tell which of several forecasts is the last. They lie in a
+# folder per date of the reading.
+SCORED_AT = "scored_at"
+REVISION = "revision"
+FORECAST_DATE = "forecast_date"
 FORECAST_SCHEMA = T.StructType(
     _strings("location_id", "location_name")
     + [T.StructField("timestamp", T.TimestampType())]
     + _doubles("pm25", "aqi", "predicted_pm25")
     + [T.StructField("horizon_hours", T.IntegerType()), T.StructField("forecast_for", T.TimestampType())]
 )
+STORED_FORECAST_SCHEMA = T.StructType(
+    [
+        *FORECAST_SCHEMA.fields,
+        T.StructField(REVISION, T.LongType()),
+        T.StructField(SCORED_AT, T.TimestampType()),
+        T.StructField(FORECAST_DATE, T.DateType()),
+    ]
+)

@@ -22,6 +22,7 @@ from sensorcast.schema import (
     REJECT,
     REJECTED_TEXT,
     SOURCE_POSITION,
+    STORED_FORECAST_SCHEMA,
 )
 
 
@@ -47,6 +48,11 @@ def accepted_rows(landed: DataFrame) -> DataFrame:
     return landed.filter(F.col(REJECT).isNull()).select(LANDED_SCHEMA.names)
 
 
+def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
+    """Forecasts stored by ``score_stream``, all versions of them; ``last_forecasts`` picks the last."""
+    return spark.read.schema(STORED_FORECAST_SCHEMA).parquet(path)
+
+
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
     """Messages that ``ingest_readings`` could not take: text, reason, time of landing and position."""
     bad = spark.read.schema(LANDED_OR_REJECTED).parquet(path).filter(F.col(REJECT).isNotNull())

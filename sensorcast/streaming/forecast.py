@@ -20,7 +20,7 @@ from sensorcast.config import STATION, TIME, FeatureConfig
 from sensorcast.operators.clean import keep_last
 from sensorcast.plans.features import build_features, complete
 from sensorcast.plans.training import forecasts_long, score_horizons
-from sensorcast.schema import DATE, LANDED_AT, READING_SCHEMA, SOURCE_OFFSET
+from sensorcast.schema import DATE, FORECAST_DATE, LANDED_AT, READING_SCHEMA, REVISION, SCORED_AT, SOURCE_OFFSET
 from sensorcast.sources.writers import RUN_COLUMNS, batch_path, write_batch
 from sensorcast.staging import ensure_table, path_exists
 
@@ -111,6 +111,15 @@ def feature_stream(
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def numbered_rows(spark: SparkSession, features_path: str, config: FeatureConfig) -> DataFrame:
+    """A stream of feature rows, from either feature stream, each with the number of its version."""
+    schema = feature_schema(config)
+    stored = T.StructType([*schema.fields, T.StructField(REVISION, T.LongType()), *RUN_COLUMNS])
+    ensure_table(spark, features_path, stored, [f.name for f in RUN_COLUMNS])
+    rows = spark.readStream.schema(stored).parquet(features_path)
+    return rows.select(*schema.names, F.coalesce(REVISION, "batch_id").alias(REVISION))
+
+
 def score_stream(
     spark: SparkSession,
     features_path: str,
@@ -120,13 +129,12 @@ def score_stream(
     config: FeatureConfig = FeatureConfig(step="hours"),
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Forecast every feature row for every horizon in ``models``; pass one model for the one-hour
-    job. Each row lands in ``path`` once."""
-    schema = feature_schema(config)
-    numbered = T.StructType([*schema.fields, *RUN_COLUMNS])
-    ensure_table(spark, features_path, numbered, [f.name for f in RUN_COLUMNS])
-    rows = spark.readStream.schema(numbered).parquet(features_path).select(schema.names)
-    forecasts = forecasts_long(score_horizons(rows, models), list(models), config.target)
-    writer = forecasts.writeStream.format("parquet").outputMode("append")
+    """Forecast every complete feature row for every horizon in ``models``; pass one model for the one-hour
+    job. Each row lands in ``path`` once, in the folder of its reading's date, with the time of scoring and the
+    version of the feature row."""
+    rows = numbered_rows(spark, features_path, config)
+    forecasts = forecasts_long(score_horizons(complete(rows, config), models), list(models), config.target, [REVISION])
+    stored = forecasts.withColumns({SCORED_AT: F.current_timestamp(), FORECAST_DATE: F.to_date(TIME)})
+    writer = stored.writeStream.format("parquet").outputMode("append").partitionBy(FORECAST_DATE)
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -10,7 +10,7 @@ from sensorcast.functions.bands import AQI_BANDS
 from sensorcast.operators.clean import keep_last
 from sensorcast.plans import reports, training
 from sensorcast.plans.features import build_features, complete
-from sensorcast.schema import READING_SCHEMA
+from sensorcast.schema import FORECAST_SCHEMA, READING_SCHEMA
 from sensorcast.sources import readers, streams, writers
 from sensorcast.streaming import forecast
 from sensorcast.streaming.ingest import ingest_readings
@@ -58,7 +58,7 @@ def run_forecasts(spark, tmp_path, models, run_id="run", lookback=24, config=HOU
     stream = streams.reading_stream(spark, landed)
     finish(forecast.feature_stream(stream, history, rows, str(tmp_path / "s1"), run_id, config, lookback, ONCE))
     finish(forecast.score_stream(spark, rows, models, out, str(tmp_path / "s2"), config, ONCE))
-    return spark.read.parquet(out)
+    return readers.read_forecasts(spark, out).select(FORECAST_SCHEMA.names)
 
 
 def test_restart_lands_nothing_twice(spark, source, tmp_path):
@@ -182,7 +182,7 @@ def test_ingest_feeds_the_feature_stream(spark, source, models, tmp_path):
     batch = training.forecasts_long(
         training.score_horizons(complete(build_features(source, HOURS), HOURS), models), [1, 6]
     )
-    assert rows_of(spark.read.parquet(str(tmp_path / "f"))) == rows_of(batch)
+    assert rows_of(readers.read_forecasts(spark, str(tmp_path / "f")).select(FORECAST_SCHEMA.names)) == rows_of(batch)
 
 
 def test_empty_batch_writes_nothing(spark, source, tmp_path):
