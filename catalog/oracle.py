@@ -412,3 +412,29 @@ FROM shifted WHERE pm25_lag3 IS NOT NULL"""
 ORACLES["find_forecast_repeated"] = ORACLES["find_forecast"]
 ORACLES["forecast_vs_actual_repeated"] = ORACLES["forecast_vs_actual"]
 ORACLES["stream_forecast_vs_actual"] = ORACLES["forecast_vs_actual"]
+
+ORACLES["batches_replayed"] = _with(READINGS_SQL) + """
+SELECT event_id, location_id, "timestamp", round(pm25, 6) AS pm25 FROM readings"""
+ORACLES["stream_recent_table"] = ORACLES["recent_readings"]
+ORACLES["stream_station_overview"] = ORACLES["station_overview"]
+ORACLES["forecast_lookup_dated"] = ORACLES["forecast_lookup"]
+
+_USERS = READINGS_SQL.replace("SELECT event_type AS location_id", "SELECT CAST(user_id AS VARCHAR) AS location_id")
+_NEXT = """steps AS (
+  SELECT location_id, "timestamp", pm25, lead(pm25) OVER (PARTITION BY location_id ORDER BY "timestamp") AS y FROM readings),
+known AS (SELECT * FROM steps WHERE y IS NOT NULL)"""
+ORACLES["station_linear_models"] = _with(_USERS, _NEXT) + """
+SELECT location_id, count(*) AS rows, round(coalesce(regr_intercept(y, pm25), avg(y)), 6) AS intercept,
+  round(coalesce(regr_slope(y, pm25), 0), 6) AS slope
+FROM known GROUP BY location_id"""
+ORACLES["station_linear_metrics"] = _with(_USERS, _NEXT) + """,
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY "timestamp") AS n, count(*) OVER (PARTITION BY location_id) AS total
+  FROM known),
+lines AS (
+  SELECT location_id, coalesce(regr_slope(y, pm25), 0) AS slope, coalesce(regr_intercept(y, pm25), avg(y)) AS base
+  FROM ranked WHERE n <= total * 0.8 GROUP BY location_id),
+errors AS (
+  SELECT r.location_id, y - (base + slope * pm25) AS e FROM ranked r JOIN lines l ON l.location_id = r.location_id WHERE n > total * 0.8)
+SELECT location_id, count(*) AS rows, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse
+FROM errors GROUP BY location_id"""

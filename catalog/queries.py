@@ -13,12 +13,12 @@ from catalog.tables import BOUNDS, CONFIG, SMALL_CHUNKS, dimension, events, pres
 from sensorcast.config import HORIZONS, MEASURES, SplitConfig, label_name
 from sensorcast.functions import bands, calendar
 from sensorcast.operators import asof, clean, metrics, profile, series
-from sensorcast.plans import features, reports, storage, training
+from sensorcast.plans import features, reports, station_models, storage, training
 from sensorcast.schema import FORECAST_SCHEMA, PAYLOAD_FIELDS, READING_SCHEMA
-from sensorcast.sources import readers, streams, writers
+from sensorcast.sources import published, readers, streams, writers
 from sensorcast.staging import scratch_path
-from sensorcast.streaming import lags, verify
-from sensorcast.streaming.forecast import feature_schema, feature_stream, score_stream
+from sensorcast.streaming import lags, recent, verify
+from sensorcast.streaming.forecast import feature_stream, read_features, score_stream
 from sensorcast.streaming.ingest import ingest_readings
 
 QUERIES = {}
@@ -515,6 +515,23 @@ def per_station_models(spark, sf_dir):
     return training.per_station_models(source, stations, CONFIG)[1]
 
 
+@query
+def station_linear_models(spark, sf_dir):
+    """A line per station from its value to the next one, for all users as stations."""
+    rows = features.with_shifts(readings(spark, sf_dir, station="user_id"), CONFIG, [1])
+    models = station_models.fit_stations(rows, ["pm25"], label_name(1))
+    return present(models.select("location_id", "rows", "intercept", F.col("coefficients")[0].alias("slope")))
+
+
+@query
+def station_linear_metrics(spark, sf_dir):
+    """Hold-out errors of those lines, fitted on the first 80 % of each station."""
+    rows = features.with_shifts(readings(spark, sf_dir, station="user_id"), CONFIG, [1]).dropna(subset=[label_name(1)])
+    parts = features.chronological_split(rows.drop("_chunk"), SplitConfig(), CONFIG.chunking)
+    found = station_models.station_metrics(parts, ["pm25"], label_name(1))[1]
+    return present(found.select("location_id", "rows", "mae", "rmse"))
+
+
 @query
 def rf_multi_horizon(spark, sf_dir):
     """Train, store, load and apply a model per horizon."""
@@ -603,8 +620,7 @@ def _feature_rows(spark, landed: str, config) -> str:
 def stream_features(spark, sf_dir):
     config = replace(CONFIG, step="hours")
     rows = _feature_rows(spark, _landed_hours(spark, sf_dir), config)
-    table = spark.read.schema(feature_schema(config)).parquet(rows)
-    return present(table.drop("run_id", "batch_id"), 9)
+    return present(read_features(spark, rows, config).drop("run_id", "batch_id"), 9)
 
 
 @query
@@ -701,3 +717,61 @@ def stream_forecast_vs_actual(spark, sf_dir):
         forecasts = verify.stored_forecast_stream(spark, stored)
         _finish([verify.verification_stream(forecasts, streams.reading_stream(spark, landed), out, state, "2 days", trigger=ONCE)])
     return present(verify.read_errors(spark, out), HOURLY_DIGITS)
+
+
+@query
+def batches_replayed(spark, sf_dir):
+    """One batch published; of another half the rows are written, then the job dies, and the batch comes again, twice."""
+    path = scratch_path(spark, "published")
+    rows = readings(spark, sf_dir, extra=("event_id",))
+    first, second = rows.filter(F.col("timestamp") < _day("16")), rows.filter(F.col("timestamp") >= _day("16"))
+    published.publish_batch(first, path, "run-1", 0)
+    published.write_attempt(second.filter("event_id % 2 = 0"), path, "run-1", 1)
+    for _ in range(2):
+        published.publish_batch(second, path, "run-1", 1)
+    return present(published.read_published(spark, path, rows.schema).select("event_id", "location_id", "timestamp", "pm25"))
+
+
+def _recent_table(spark, sf_dir) -> str:
+    """The table of newest readings after three landings, of which the last has late and corrected readings, and after a
+    replay of the second batch; returns its folder."""
+    landed, table, state = (scratch_path(spark, x) for x in ("landed", "recent", "recent-state"))
+    rows = readings(spark, sf_dir, extra=("event_id",))
+    ts, n = F.col("timestamp"), F.col("event_id")
+    late = (ts >= _day("30")) & (n % 10 == 0)
+    wrong = F.when((ts >= _day("30")) & (n % 7 == 0), F.lit(1000.0)).otherwise(F.lit(0.0))
+    parts = [
+        rows.filter(ts < _day("20")),
+        rows.filter((ts >= _day("20")) & ~late).withColumn("pm25", F.col("pm25") + wrong),
+        rows.filter(late | ((ts >= _day("30")) & (n % 7 == 0))),
+    ]
+    for k, part in enumerate(parts):
+        _land(part.drop("event_id"), landed)
+        _finish([recent.recent_stream(streams.reading_stream(spark, landed), table, state, "run-1", trigger=ONCE)])
+        if k == 1:
+            recent.merge_batch(readers.read_landed(spark, landed), 1, table, "run-1")
+    return table
+
+
+@query
+def stream_recent_table(spark, sf_dir):
+    return present(reports.recent_readings(recent.read_recent(spark, _recent_table(spark, sf_dir))))
+
+
+@query
+def stream_station_overview(spark, sf_dir):
+    """The overview from the small table instead of all history."""
+    newest = recent.read_recent(spark, _recent_table(spark, sf_dir)).select(READING_SCHEMA.names)
+    return present(reports.station_overview(newest, dimension(spark)))
+
+
+@query
+def forecast_lookup_dated(spark, sf_dir):
+    """As ``forecast_lookup``, from forecasts stored in a folder per date, twice each."""
+    path, table = scratch_path(spark, "forecasts"), scratch_path(spark, "recent")
+    made = _versions(_forecasts_but_view(spark, sf_dir)).withColumn("revision", F.col("revision").cast("long"))
+    made.withColumn("forecast_date", F.to_date("timestamp")).write.partitionBy("forecast_date").parquet(path)
+    landed = readings(spark, sf_dir).withColumns({"ingested_at": F.current_timestamp(), "source_offset": F.lit(0).cast("long")})
+    recent.merge_batch(landed, 0, table, "run-1")
+    newest = series.recent(recent.read_recent(spark, table), 1).select("location_id", "timestamp", "pm25")
+    return present(reports.forecast_lookup(newest, readers.read_forecasts(spark, path), 6))

@@ -11,7 +11,7 @@ from sensorcast.functions.calendar import display_time
 from sensorcast.functions.stations import attach_dimension
 from sensorcast.operators import series
 from sensorcast.operators.clean import drop_incomplete, keep_last
-from sensorcast.schema import LANDED_AT, REVISION, SCORED_AT, SOURCE_OFFSET
+from sensorcast.schema import FORECAST_DATE, LANDED_AT, REVISION, SCORED_AT, SOURCE_OFFSET
 
 RECENT_COLUMNS = (TIME, "pm25", "pm10", "aqi", "co", "no2", "so2", "o3")
 
@@ -49,17 +49,23 @@ def last_readings(readings: DataFrame) -> DataFrame:
 def forecast_lookup(newest: DataFrame, forecasts: DataFrame, horizon: int) -> DataFrame:
     """Each station's newest reading with its forecast for one horizon; ``status`` tells whether the
     forecast is there yet."""
-    wanted = last_forecasts(forecasts.filter(F.col("horizon_hours") == horizon)).select(
-        STATION, TIME, "predicted_pm25", "forecast_for"
-    )
+    asked, keys = newest.select(STATION, TIME), [STATION, TIME]
+    if FORECAST_DATE in forecasts.columns:
+        # A folder per date: only those of newest readings are read.
+        asked, keys = asked.withColumn(FORECAST_DATE, F.to_date(TIME)), [*keys, FORECAST_DATE]
+    due = forecasts.filter(F.col("horizon_hours") == horizon).join(asked, keys, "left_semi")
+    wanted = last_forecasts(due).select(STATION, TIME, "predicted_pm25", "forecast_for")
     return newest.join(wanted, [STATION, TIME], "left").withColumn(
         "status", F.when(F.col("predicted_pm25").isNull(), F.lit("waiting")).otherwise(F.lit("ready"))
     )
 
 
 def find_forecast(forecasts: DataFrame, station: str, instant: Column, horizon: int) -> DataFrame:
-    """The last forecast made at ``instant`` for one station and horizon. All three tests reach the scan."""
+    """The last forecast made at ``instant`` for one station and horizon. All tests reach the scan, and
+    of stored forecasts only the folder of that date is read."""
     asked = (F.col(STATION) == station) & (F.col(TIME) == instant) & (F.col("horizon_hours") == horizon)
+    if FORECAST_DATE in forecasts.columns:
+        asked = asked & (F.col(FORECAST_DATE) == F.to_date(instant))
     return last_forecasts(forecasts.filter(asked))
 
 

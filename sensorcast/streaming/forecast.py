@@ -21,8 +21,8 @@ from sensorcast.operators.clean import keep_last
 from sensorcast.plans.features import build_features, complete
 from sensorcast.plans.training import forecasts_long, score_horizons
 from sensorcast.schema import DATE, FORECAST_DATE, LANDED_AT, READING_SCHEMA, REVISION, SCORED_AT, SOURCE_OFFSET
-from sensorcast.sources.writers import RUN_COLUMNS, batch_path, write_batch
-from sensorcast.staging import ensure_table, path_exists
+from sensorcast.sources.published import PLACE, is_published, publish_batch, read_published
+from sensorcast.staging import ensure_table
 
 History = Callable[[SparkSession], DataFrame]
 
@@ -69,15 +69,15 @@ def feature_schema(config: FeatureConfig) -> T.StructType:
 def feature_batch(
     batch: DataFrame, batch_id: int, history: History, path: str, run_id: str, config: FeatureConfig, lookback_hours: int | None
 ) -> None:
-    """Write the feature rows of one micro-batch. A replayed batch that was already written is left
-    alone: its folder appears as a whole or not at all, and readers may have seen it."""
+    """Publish the feature rows of one micro-batch. A replayed batch that is published is left alone;
+    one that was only half written is written anew."""
     spark = batch.sparkSession
-    if path_exists(spark, batch_path(path, run_id, batch_id)):
+    if is_published(spark, path, run_id, batch_id):
         return
     keys = batch.select(STATION, TIME).dropna().dropDuplicates().persist()
     try:
         if not keys.isEmpty():
-            write_batch(features_of(history(spark), keys, config, lookback_hours), path, run_id, batch_id)
+            publish_batch(features_of(history(spark), keys, config, lookback_hours), path, run_id, batch_id)
     finally:
         keys.unpersist()
 
@@ -111,11 +111,18 @@ def feature_stream(
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def read_features(spark: SparkSession, path: str, config: FeatureConfig = FeatureConfig(step="hours")) -> DataFrame:
+    """The rows that ``feature_stream`` has published."""
+    return read_published(spark, path, feature_schema(config))
+
+
 def numbered_rows(spark: SparkSession, features_path: str, config: FeatureConfig) -> DataFrame:
-    """A stream of feature rows, from either feature stream, each with the number of its version."""
+    """A stream of feature rows, from either feature stream, each with the number of its version. It
+    does not wait for a batch to be published: rows of a broken attempt come once more with the next one, and
+    of forecasts the last counts."""
     schema = feature_schema(config)
-    stored = T.StructType([*schema.fields, T.StructField(REVISION, T.LongType()), *RUN_COLUMNS])
-    ensure_table(spark, features_path, stored, [f.name for f in RUN_COLUMNS])
+    stored = T.StructType([*schema.fields, T.StructField(REVISION, T.LongType()), *PLACE.fields])
+    ensure_table(spark, features_path, stored, PLACE.names)
     rows = spark.readStream.schema(stored).parquet(features_path)
     return rows.select(*schema.names, F.coalesce(REVISION, "batch_id").alias(REVISION))
 
