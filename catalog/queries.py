@@ -509,10 +509,9 @@ def best_model(spark, sf_dir):
 
 @query
 def per_station_models(spark, sf_dir):
-    source = readings(spark, sf_dir)
-    # One small row per model that is going to be fitted.
-    stations = [row["location_id"] for row in series.station_list(source).collect()]
-    return training.per_station_models(source, stations, CONFIG)[1]
+    """Hold-out metrics of a linear model per station over all features."""
+    parts = training.next_step_table(readings(spark, sf_dir), CONFIG, SplitConfig())
+    return station_models.station_metrics(parts, CONFIG.features, label_name(1))[1]
 
 
 @query
