@@ -438,3 +438,53 @@ errors AS (
   SELECT r.location_id, y - (base + slope * pm25) AS e FROM ranked r JOIN lines l ON l.location_id = r.location_id WHERE n > total * 0.8)
 SELECT location_id, count(*) AS rows, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse
 FROM errors GROUP BY location_id"""
+
+
+# The nearest reading within 20 minutes of an exact number of hours, by as-of joins in both directions.
+def _near_hours(steps: dict[str, int]) -> str:
+    joins, columns = [], []
+    for name, hours in steps.items():
+        at = f"t.\"timestamp\" + to_hours({hours})"
+        for side, sign in (("b", ">="), ("a", "<=")):
+            joins.append(f"ASOF LEFT JOIN readings {side}_{name} ON t.location_id = {side}_{name}.location_id AND {at} {sign} {side}_{name}.\"timestamp\"")
+        before = f"(epoch_us({at}) - epoch_us(b_{name}.\"timestamp\"))"
+        after = f"(epoch_us(a_{name}.\"timestamp\") - epoch_us({at}))"
+        columns.append(
+            f"CASE WHEN {before} <= 1200000000 AND ({after} IS NULL OR {before} <= {after}) THEN b_{name}.pm25 "
+            f"WHEN {after} <= 1200000000 THEN a_{name}.pm25 END AS {name}"
+        )
+    return f"near AS (SELECT t.*, {', '.join(columns)} FROM readings t {' '.join(joins)})"
+
+
+_OFF = {"pm25_lag1": -1, "pm25_lag3": -3, "target_h1": 1, "target_h6": 6}
+ORACLES["lags_off_the_hour"] = _with(READINGS_SQL, _near_hours(_OFF)) + f"""
+SELECT location_id, "timestamp", {_rounded(["pm25", *_OFF], 9)} FROM near"""
+ORACLES["lags_off_the_hour_split_stations"] = ORACLES["lags_off_the_hour"]
+ORACLES["stream_forecast_irregular"] = _with(READINGS_SQL, _near_hours({"pm25_lag1": -1, "pm25_lag3": -3})) + """,
+full_rows AS (
+  SELECT *, avg(pm25) OVER (PARTITION BY location_id ORDER BY "timestamp"
+    RANGE BETWEEN INTERVAL 3 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS pm25_mean3 FROM near),
+usable AS (SELECT * FROM full_rows WHERE pm25_lag1 IS NOT NULL AND pm25_lag3 IS NOT NULL AND pm25_mean3 IS NOT NULL)
+SELECT location_id, location_name, "timestamp", round(pm25, 6) AS pm25,
+  round(CASE h WHEN 1 THEN pm25_lag1 ELSE pm25 END, 6) AS predicted_pm25, h::INTEGER AS horizon_hours,
+  "timestamp" + to_hours(h) AS forecast_for
+FROM usable, (SELECT unnest([1, 6]) AS h)"""
+
+_LINE = """steps AS (
+  SELECT *, lead(pm25) OVER (PARTITION BY location_id ORDER BY "timestamp") AS y FROM readings),
+line AS (SELECT regr_slope(y, pm25) AS slope, regr_intercept(y, pm25) AS base FROM steps WHERE y IS NOT NULL)"""
+ORACLES["linear_model_saved"] = _with(READINGS_SQL, _LINE) + """
+SELECT location_id, location_name, "timestamp", round(pm25, 6) AS pm25, round(aqi, 6) AS aqi,
+  round(base + slope * pm25, 6) AS predicted_pm25, 1::INTEGER AS horizon_hours, "timestamp" + INTERVAL 1 HOUR AS forecast_for
+FROM steps, line WHERE y IS NOT NULL"""
+ORACLES["stream_forecast_one_hour"] = _with(READINGS_SQL, HOURLY_SQL, _LAGGED, _LINE) + """
+SELECT location_id, location_name, "timestamp", round(pm25, 6) AS pm25, round(aqi, 6) AS aqi,
+  round(base + slope * pm25, 6) AS predicted_pm25, 1::INTEGER AS horizon_hours, "timestamp" + INTERVAL 1 HOUR AS forecast_for
+FROM lagged, line"""
+ORACLES["stream_forecast_versions"] = _with(READINGS_SQL, HOURLY_SQL, _LAGGED) + """
+SELECT location_id, "timestamp", h::INTEGER AS horizon_hours,
+  round(CASE WHEN "timestamp" < TIMESTAMP '2024-01-16' THEN pm25 ELSE pm25_lag1 END, 9) AS predicted_pm25,
+  CASE WHEN "timestamp" < TIMESTAMP '2024-01-16' THEN 'v1' ELSE 'v2' END AS model_version
+FROM lagged, (SELECT unnest([1, 24]) AS h)"""
+ORACLES["region_scan"] = "SELECT n_name AS region_iso FROM nation"
+ORACLES["table_replaced"] = _with(READINGS_SQL) + f" SELECT {READING_LIST} FROM readings"

@@ -13,7 +13,7 @@ from catalog.tables import BOUNDS, CONFIG, SMALL_CHUNKS, dimension, events, pres
 from sensorcast.config import HORIZONS, MEASURES, SplitConfig, label_name
 from sensorcast.functions import bands, calendar
 from sensorcast.operators import asof, clean, metrics, profile, series
-from sensorcast.plans import features, reports, station_models, storage, training
+from sensorcast.plans import features, registry, reports, station_models, storage, training
 from sensorcast.schema import FORECAST_SCHEMA, PAYLOAD_FIELDS, READING_SCHEMA
 from sensorcast.sources import published, readers, streams, writers
 from sensorcast.staging import scratch_path
@@ -774,3 +774,107 @@ def forecast_lookup_dated(spark, sf_dir):
     recent.merge_batch(landed, 0, table, "run-1")
     newest = series.recent(recent.read_recent(spark, table), 1).select("location_id", "timestamp", "pm25")
     return present(reports.forecast_lookup(newest, readers.read_forecasts(spark, path), 6))
+
+
+# Readings off the hour, stored models and their versions
+
+
+def _off_the_hour(spark, sf_dir, chunking):
+    config = replace(CONFIG, step="hours", tolerance_minutes=20, chunking=chunking)
+    rows = features.build_features(readings(spark, sf_dir), config, [1, 6])
+    return present(rows.select("location_id", "timestamp", "pm25", "pm25_lag1", "pm25_lag3", "target_h1", "target_h6"), 9)
+
+
+@query
+def lags_off_the_hour(spark, sf_dir):
+    return _off_the_hour(spark, sf_dir, CONFIG.chunking)
+
+
+@query
+def lags_off_the_hour_split_stations(spark, sf_dir):
+    return _off_the_hour(spark, sf_dir, SMALL_CHUNKS)
+
+
+def _landed_events(spark, sf_dir) -> str:
+    landed = scratch_path(spark, "landed")
+    _land(readings(spark, sf_dir), landed)
+    return landed
+
+
+@query
+def stream_forecast_irregular(spark, sf_dir):
+    """Forecasts of readings at any minute: their lags are the nearest readings within 20 minutes."""
+    config = replace(CONFIG, step="hours", tolerance_minutes=20)
+    landed, out = _landed_events(spark, sf_dir), scratch_path(spark, "forecasts")
+    rows = _feature_rows(spark, landed, config)
+    models = {1: training.persistence_model(config, "pm25_lag1"), 6: training.persistence_model(config)}
+    _finish([score_stream(spark, rows, models, out, scratch_path(spark, "score-state"), config, trigger=ONCE)])
+    made = readers.read_forecasts(spark, out).select(FORECAST_SCHEMA.names)
+    return present(made.drop("aqi"))
+
+
+def _line(spark, sf_dir):
+    """The straight line from each reading to the next of its station, as a Spark ML model, and the rows it was fitted on."""
+    rows = features.with_shifts(readings(spark, sf_dir), CONFIG, [1]).dropna(subset=[label_name(1)])
+    label = label_name(1)
+    return training.pipeline(["pm25"], training.linear()(label)).fit(rows.select("pm25", label)), rows
+
+
+@query
+def linear_model_saved(spark, sf_dir):
+    """Forecasts of a linear model that was stored, loaded and, the second time, not trained again."""
+    model, rows = _line(spark, sf_dir)
+    root = scratch_path(spark, "models")
+    for _ in range(2):
+        models = training.load_or_train(spark, root, lambda: {1: model})
+    return present(training.forecasts_long(training.score_horizons(rows, models), [1]))
+
+
+@query
+def stream_forecast_one_hour(spark, sf_dir):
+    """The one-hour job: one stored model on the rows of the feature stream."""
+    config = replace(CONFIG, step="hours")
+    landed, root, out = _landed_hours(spark, sf_dir), scratch_path(spark, "models"), scratch_path(spark, "forecasts")
+    training.save_models(spark, {1: _line(spark, sf_dir)[0]}, root)
+    rows = _feature_rows(spark, landed, config)
+    models = training.load_models(spark, root)
+    _finish([score_stream(spark, rows, models, out, scratch_path(spark, "score-state"), config, trigger=ONCE)])
+    return present(readers.read_forecasts(spark, out).select(FORECAST_SCHEMA.names))
+
+
+@query
+def stream_forecast_versions(spark, sf_dir):
+    """Half of the series is forecast by one version of the models, then another one becomes current."""
+    config = replace(CONFIG, step="hours")
+    source = hourly(spark, sf_dir).drop("readings")
+    landed, rows, root, out, first, second = (
+        scratch_path(spark, x) for x in ("landed", "features", "registry", "forecasts", "feature-state", "score-state")
+    )
+    history = lambda session: readers.read_landed(session, landed)
+    for version, column, part in (("v1", "pm25", F.col("timestamp") < _day("16")), ("v2", "pm25_lag1", F.col("timestamp") >= _day("16"))):
+        registry.add_version(spark, {h: training.persistence_model(config, column) for h in (1, 24)}, root, version)
+        _land(source.filter(part), landed)
+        stream = streams.reading_stream(spark, landed)
+        _finish([feature_stream(stream, history, rows, first, "run-1", config, trigger=ONCE)])
+        _finish([registry.reloading_score_stream(spark, rows, root, out, second, "run-1", config, ONCE)])
+    made = registry.read_versioned_forecasts(spark, out)
+    return present(made.select("location_id", "timestamp", "horizon_hours", "predicted_pm25", "model_version"), HOURLY_DIGITS)
+
+
+@query
+def region_scan(spark, sf_dir):
+    """Region codes from a GeoJSON file, here made of the nations."""
+    path = scratch_path(spark, "regions")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("n_name").alias("shapeISO"), "n_nationkey").alias("properties"))
+    nation.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")).write.text(path)
+    return readers.read_regions(spark, path)
+
+
+@query
+def table_replaced(spark, sf_dir):
+    """A table that is written twice holds what was written last."""
+    path, rows = scratch_path(spark, "replaced"), readings(spark, sf_dir)
+    writers.write_table(rows.withColumn("pm25", F.col("pm25") + 1), path)
+    writers.write_table(rows, path)
+    return present(readers.read_readings_parquet(spark, path))

@@ -21,7 +21,7 @@ def _history(spark, args):
 
 
 def _config(args) -> FeatureConfig:
-    return FeatureConfig(step=args.step)
+    return FeatureConfig(step=args.step, tolerance_minutes=args.tolerance if args.step == "hours" else 0)
 
 
 def _trigger(args) -> dict:
@@ -100,6 +100,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--format", choices=("csv", "parquet"), default="csv")
         one.add_argument("--zone", help="time zone of timestamps without offset")
         one.add_argument("--step", choices=("rows", "hours"), default="hours")
+        one.add_argument("--tolerance", type=float, default=0, help="minutes a reading may be off the hour, for --step hours")
 
     def streaming_options(one):
         one.add_argument("--once", action="store_true", help="process what is there and stop")
@@ -126,11 +127,13 @@ def parser() -> argparse.ArgumentParser:
     one = job(features, "landed", "features", "state", "run")
     streaming_options(one)
     one.add_argument("--step", choices=("rows", "hours"), default="hours")
+    one.add_argument("--tolerance", type=float, default=0, help="minutes a reading may be off the hour, for --step hours")
     one.add_argument("--lookback", type=int, default=24, help="hours of history for --step hours; 0 for all")
 
     one = job(score, "features", "models", "forecasts", "state")
     streaming_options(one)
     one.add_argument("--step", choices=("rows", "hours"), default="hours")
+    one.add_argument("--tolerance", type=float, default=0, help="minutes a reading may be off the hour, for --step hours")
     one.add_argument("--horizons", nargs="+", type=int)
 
     one = job(report, "landed", "forecasts", "target")

@@ -44,9 +44,9 @@ class Chunking:
 class FeatureConfig:
     """Which lags, rolling means and labels to derive, and in what unit.
 
-    ``step="rows"`` counts readings, ``step="hours"`` looks up exact time offsets and so is immune
-    to gaps in the series. The latter wants a regular series; ``resample_hourly`` makes one of
-    denser readings.
+    ``step="rows"`` counts readings, ``step="hours"`` looks up time offsets and so is immune
+    to gaps in the series. The latter wants a regular series, or a tolerance for readings off the hour;
+    ``resample_hourly`` makes a regular one of denser readings.
     """
 
     target: str = "pm25"
@@ -54,6 +54,8 @@ class FeatureConfig:
     lags: tuple[int, ...] = (1, 3)
     means: tuple[int, ...] = (3,)
     step: str = "rows"
+    # How far from an exact number of hours a reading may be, in minutes; the nearest one within it counts, the earlier of two.
+    tolerance_minutes: float = 0
     station_codes: tuple[tuple[str, float], ...] = tuple((s[0], s[4]) for s in STATIONS)
     # A code no listed station has; None leaves the feature null, so such rows are not complete.
     unknown_code: float | None = -1.0
@@ -62,6 +64,8 @@ class FeatureConfig:
     def __post_init__(self):
         if self.step not in ("rows", "hours"):
             raise ValueError(f"step must be 'rows' or 'hours', not {self.step!r}")
+        if not 0 <= self.tolerance_minutes < 60 or self.tolerance_minutes and self.step == "rows":
+            raise ValueError("a tolerance is less than 60 minutes and for steps in hours")
 
     @property
     def reach(self) -> int:

@@ -36,12 +36,22 @@ def with_shifts(
             shifts |= {f"{m}_mean{k}": F.avg(m).over(window.rowsBetween(-k, -1)) for k in config.means}
         shifts |= {label_name(h): F.lead(config.target, h).over(window) for h in horizons}
     else:
-        placed = chunks.with_time_halo(readings, config.reach * _HOUR, ahead * _HOUR, config.chunking)
+        off = round(config.tolerance_minutes * 60_000_000)
+        placed = chunks.with_time_halo(readings, config.reach * _HOUR + off, ahead * _HOUR + (off if ahead else 0), config.chunking)
         window = Window.partitionBy(STATION, chunks.CHUNK).orderBy(F.unix_micros(TIME))
 
         def at(m, hours):
-            # The frame is a single instant; keys are unique, so any aggregate picks its value.
-            return F.max(m).over(window.rangeBetween(hours * _HOUR, hours * _HOUR))
+            middle = hours * _HOUR
+            if not off:
+                # The frame is a single instant; keys are unique, so any aggregate picks its value.
+                return F.max(m).over(window.rangeBetween(middle, middle))
+            # Of the last reading up to the instant and the first one from it the nearer.
+            seen = F.struct(F.unix_micros(TIME).alias("at"), F.col(m).alias("value"))
+            before = F.last(seen).over(window.rangeBetween(middle - off, middle))
+            after = F.first(seen).over(window.rangeBetween(middle, middle + off))
+            wanted = F.unix_micros(TIME) + middle
+            nearer = after.isNull() | (wanted - before["at"] <= after["at"] - wanted)
+            return F.when(before.isNotNull() & nearer, before["value"]).otherwise(after["value"])
 
         for m in measures:
             shifts |= {f"{m}_lag{k}": at(m, -k) for k in config.lags}

@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,14 @@ def _together(job: Callable, items: Sequence, parallelism: int) -> list:
         return pool.map(job, items, chunksize=1)
 
 
+def persistence_model(config: FeatureConfig, column: str | None = None) -> PipelineModel:
+    """A model that foretells the value of ``column``, the current one by default: the yardstick as something that can be
+    stored, loaded and scored like any other."""
+    assembler = VectorAssembler(inputCols=config.features, outputCol=VECTOR, handleInvalid="error")
+    same = SQLTransformer(statement=f"SELECT *, `{column or config.target}` AS prediction FROM __THIS__")
+    return PipelineModel(stages=[assembler, same])
+
+
 def pipeline(features: Sequence[str], estimator) -> Pipeline:
     assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR, handleInvalid="error")
     return Pipeline(stages=[assembler, estimator])
@@ -187,11 +195,12 @@ def per_station_models(
 
 
 def save_models(spark: SparkSession, models: Mapping[int, PipelineModel], root: str, parallelism: int = 4) -> DataFrame:
-    """Write each model to ``<root>/h<n>`` and a manifest beside them; returns the manifest."""
+    """Write each model to ``<root>/h<n>`` and a manifest beside them, with paths below ``root``; returns the
+    manifest. It lists these models only: keep several sets apart, or in a ``registry``."""
 
     def save(horizon: int) -> tuple[int, str, list[str]]:
-        path = f"{root}/h{horizon}"
-        models[horizon].write().overwrite().save(path)
+        path = f"h{horizon}"
+        models[horizon].write().overwrite().save(f"{root}/{path}")
         return horizon, path, models[horizon].stages[0].getInputCols()
 
     rows = _together(save, sorted(models), parallelism)
@@ -209,7 +218,7 @@ def load_models(
         manifest = manifest.filter(F.col("horizon_hours").isin(list(horizons)))
     # One row per horizon, as many as save_models was given.
     rows = manifest.orderBy("horizon_hours").collect()
-    models = _together(lambda row: PipelineModel.load(row["path"]), rows, parallelism)
+    models = _together(lambda row: PipelineModel.load(f"{root}/{row['path']}"), rows, parallelism)
     return {row["horizon_hours"]: model for row, model in zip(rows, models)}
 
 
@@ -229,7 +238,10 @@ def _apply(df: DataFrame, model: PipelineModel, column: str, keep_vector: bool =
     """Add one model's prediction as ``column``, assembling the vector only if it is not there yet."""
     assembler, fitted = model.stages[0], model.stages[-1]
     out = df if VECTOR in df.columns else assembler.transform(df)
-    out = fitted.copy({fitted.getParam("predictionCol"): column}).transform(out)
+    if fitted.hasParam("predictionCol"):
+        out = fitted.copy({fitted.getParam("predictionCol"): column}).transform(out)
+    else:
+        out = fitted.transform(out).withColumnRenamed("prediction", column)
     return out if keep_vector else out.drop(VECTOR)
 
 

@@ -100,3 +100,5 @@ STORED_FORECAST_SCHEMA = T.StructType(
         T.StructField(FORECAST_DATE, T.DateType()),
     ]
 )
+MODEL_VERSION = "model_version"
+VERSIONED_FORECAST_SCHEMA = T.StructType([*STORED_FORECAST_SCHEMA.fields, T.StructField(MODEL_VERSION, T.StringType())])

@@ -101,8 +101,9 @@ def feature_stream(
     """
     if config.step == "rows" and lookback_hours is not None:
         raise ValueError("features counted in rows need lookback_hours=None")
-    if config.step == "hours" and lookback_hours is not None and lookback_hours < config.reach:
-        raise ValueError(f"lookback of {lookback_hours} h is shorter than the features' {config.reach} h")
+    needed = config.reach + (1 if config.tolerance_minutes else 0)
+    if config.step == "hours" and lookback_hours is not None and lookback_hours < needed:
+        raise ValueError(f"lookback of {lookback_hours} h is shorter than the features' {needed} h")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         feature_batch(batch, batch_id, history, path, run_id, config, lookback_hours)
