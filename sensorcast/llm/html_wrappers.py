@@ -58,15 +58,27 @@ OUTSIDE = frozenset(
     "menu dialog input noembed noframes object".split()
 )
 OUTSIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|side-?bar|footer|masthead|"
-    r"comments?|disqus|replies|cookies?\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|social|related|widget)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|nav\w*|breadcrumbs?|side-?bar|footer|masthead|comments?|disqus|cookies?\w*|gdpr|"
+    r"popup|modal|newsletter)(?:$|[_-])",
     re.IGNORECASE,
 )
+# Words that an article may be about as well: they count where a group is named by nothing but such words and
+# plain words for parts of a page.
+DOUBTFUL = frozenset("promo promos promotion banner menu replies consent notice subscribe share social related widget".split())
+PLAIN = frozenset(
+    "area articles bar block box button buttons buttonbar container content links list inner item items panel posts section "
+    "signup site top bottom left right wrap wrapper widgets".split()
+)
+# What a class tells of the state of a page, as has-sidebar or nav-open: it names no menu.
+STATE = re.compile(r"^(?:has|no|with|without|is|js)[_-]|[_-](?:open|closed|less|free|hidden|visible|enabled|disabled|active|layout|page)$", re.IGNORECASE)
+# Groups that hold the article, whatever they are called.
+WHOLE = frozenset("html body main article".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.DOTALL
 )
-_NAME = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true)", re.IGNORECASE)
+# A quote opens a value only after an equals sign.
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
+_TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
 SLOT = "#text"
 SUPPORT = 3  # distinct pages that must share a text before it is taken for template text
 DEEP = 200  # groups in a path; deeper ones, as of tags that are never closed, are not told apart
@@ -100,10 +112,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _label(name: str, attributes: str) -> str:
-    names = [x for m in _NAME.finditer(attributes) for x in m.groups() if x] if attributes else []
+    if not attributes or not _TELLING.search(attributes):
+        return name
+    names, hidden = [], False
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key in ("class", "id", "role") and value:
+            names.append(value)
+        hidden |= key == "hidden" or (key == "aria-hidden" and value.strip("/ ").lower() == "true")
     # Numbers in names differ between pages of one template.
     label = name + "".join("." + re.sub(r"\d+", "0", " ".join(n.split())) for n in names)
-    return label + ("!hidden" if attributes and _HIDDEN.search(attributes) else "")
+    return label + ("!hidden" if hidden else "")
 
 
 def read(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
@@ -155,7 +174,7 @@ def _tells(label: str, around: tuple[str, ...]) -> bool:
     name = label.split(".")[0]
     if name in ("article", "main") and all(other.split(".")[0] != name for other in around):
         return True
-    return outside(label) and not any(map(outside, around))
+    return shut((*around, label)) and not shut(around)
 
 
 # A wrapper is a list of children [label, optional, repeated, children]; a slot has none.
@@ -237,8 +256,31 @@ def expression(wrapper: list) -> str:
 
 @lru_cache(65_536)
 def outside(label: str) -> bool:
-    name, _, names = label.partition(".")
-    return name.removesuffix("!hidden") in OUTSIDE or "!hidden" in label or bool(names and OUTSIDE_NAME.search(names.replace(".", " ")))
+    """Whether a group, by its own element and names, holds no article text."""
+    name, _, names = label.removesuffix("!hidden").partition(".")
+    if name in ("html", "body"):
+        return False
+    if label.endswith("!hidden") or name in OUTSIDE:
+        return True
+    if name in WHOLE or not names:
+        return False
+    own = [n for n in names.lower().replace(".", " ").split() if not STATE.search(n)]
+    if any(map(OUTSIDE_NAME.search, own)):
+        return True
+    words = [w for n in own for w in re.split(r"[_\-\d]+", n) if w]
+    return any(w in DOUBTFUL for w in words) and all(w in DOUBTFUL or w in PLAIN for w in words)
+
+
+@lru_cache(65_536)
+def shut(path: tuple[str, ...]) -> bool:
+    """Whether any group around a text is outside. The header of an article is the article's own."""
+    article = False
+    for label in path:
+        name = label.removesuffix("!hidden").partition(".")[0]
+        if outside(label) and not (article and name == "header" and not outside("div" + label[len(name) :])):
+            return True
+        article |= name == "article"
+    return False
 
 
 # What the query holds of a host: how many pages it has and, by path, its content slots: [digest of a page's
@@ -249,7 +291,7 @@ def slots(page: str) -> dict:
     """The slots of one page that content can be in."""
     texts: dict[tuple, list] = {}
     for kind, path, value in read(page):
-        if kind == "text" and value.strip() and not any(map(outside, path)):
+        if kind == "text" and value.strip() and not shut(path):
             texts.setdefault(path, []).append(" ".join(value.split()))
     found = {APART.join(path): _digest("\0".join(parts)) for path, parts in texts.items()}
     own = _digest("\0".join(f"{path}\0{text}" for path, text in sorted(found.items())))

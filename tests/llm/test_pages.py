@@ -87,3 +87,38 @@ def test_unclosed_tags(workers):
     got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
     assert got == {1: want, 2: want + " end", 3: "one two three"}
     assert wrappers.merge(wrappers.fold(deep), wrappers.fold("<div>a</div>"))
+
+
+def test_names_that_only_look_like_menus(workers):
+    kept = [
+        '<body class="home has-sidebar"><p>kept</p></body>',
+        '<body class="nav-open"><div class="page no-ads"><p>kept</p></div></body>',
+        '<body id="footer-less"><p>kept</p></body>',
+        '<html class="js menu"><body class="sidebar"><main class="related"><p>kept</p></main></body></html>',
+        "<article><header><p>kept</p></header></article>",
+        '<p title="a hidden gem" data-id="x">kept</p>',
+        '<article><section id="related-work"><p>kept</p></section></article>',
+        '<article><section id="social-policy">kept</section></article>',
+        '<article><div class="share prices">kept</div></article>',
+        '<article><div id="notice-of-termination">kept</div></article>',
+        "<p title=it's>kept</p>",
+        '<p data-a=1 title = "1 > 0">kept</p>',
+        "<p title='class=\"menu\"'>kept</p>",
+    ]
+    gone = [
+        '<div class="menu">gone</div><div class="ad box">gone</div><p class="share-buttons">gone</p>',
+        '<div class="related-posts">gone</div><div id=cookie-notice-2>gone</div><p hidden>gone</p>',
+        '<article><header class="nav-bar">gone</header></article><header>gone</header>',
+        '<div class="has-x sidebar">gone</div><div aria-hidden=true>gone</div><div class=\'promo top\'>gone</div>',
+    ]
+    rows = [(n, f"http://h{n}.example/", page) for n, page in enumerate(kept)]
+    rows += [(100 + n, f"http://g{n}.example/", page) for n, page in enumerate(gone)]
+    pages = workers.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert got == {n: "kept" for n in range(len(kept))} | {100 + n: "" for n in range(len(gone))}
+
+
+def test_apostrophes_in_bare_values(workers):
+    rows = [(1, "http://a.example", "<p title=it's>One</p><p>don't go</p><p title=it's>two"), (2, "http://b.example", "<a href=x'>in</a> out")]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(workers.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "One don't go two", 2: "in out"}
