@@ -209,6 +209,33 @@ ORACLES["outlier_bounds"] = _with(READINGS_SQL) + "\nUNION ALL\n".join(
     for m in MEASURES
 )
 
+_DISTURBED = READINGS_SQL.replace("SELECT event_type AS location_id", "SELECT CAST(user_id AS VARCHAR) AS location_id") + """,
+disturbed AS (
+  SELECT event_id, location_id, co, 1.0::DOUBLE - pm25 AS so2,
+    CASE event_id % 50 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE WHEN 3 THEN NULL
+      ELSE pm25 END AS pm25
+  FROM readings)"""
+
+
+def _station_bounds(measures, low, high) -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT location_id, '{m}' AS measure, quantile_disc({m}, {low}) AS low, quantile_disc({m}, {high}) AS high
+FROM disturbed WHERE {m} IS NOT NULL AND NOT isnan({m}) GROUP BY 1"""
+        for m in measures
+    )
+
+
+ORACLES["outlier_bounds_per_station"] = _with(_DISTURBED) + f"""
+SELECT location_id, measure, {_rounded(["low", "high"])} FROM ({_station_bounds(["pm25", "co", "so2"], 0.05, 0.95)})"""
+
+ORACLES["outliers_per_station"] = _with(_DISTURBED, f"bounds AS ({_station_bounds(['pm25', 'so2'], 0.25, 0.75)})") + """
+SELECT d.event_id, d.location_id, concat_ws(',',
+    CASE WHEN isnan(d.pm25) OR d.pm25 < p.low OR d.pm25 > p.high THEN 'pm25' END,
+    CASE WHEN isnan(d.so2) OR d.so2 < s.low OR d.so2 > s.high THEN 'so2' END) AS outliers
+FROM disturbed d
+LEFT JOIN bounds p ON p.location_id = d.location_id AND p.measure = 'pm25'
+LEFT JOIN bounds s ON s.location_id = d.location_id AND s.measure = 'so2'"""
+
 ORACLES["dedupe_last"] = _with(READINGS_SQL) + f"""
 SELECT location_id, location_name, latitude, longitude, "timestamp", round(pm25 + 1, 6) AS pm25,
   {_rounded(MEASURES[1:])}, 2::INTEGER AS ingest_seq

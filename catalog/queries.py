@@ -231,6 +231,28 @@ def outlier_bounds(spark, sf_dir):
     return present(clean.quantile_bounds(readings(spark, sf_dir), MEASURES, 0.01, 0.99))
 
 
+def _disturbed(spark, sf_dir):
+    """Readings of all users as stations; some values are infinite, not a number or missing."""
+    number = F.col("event_id") % 50
+    special = F.when(number == 0, F.lit(float("inf"))).when(number == 1, F.lit(float("-inf")))
+    special = special.when(number == 2, F.lit(float("nan"))).when(number != 3, F.col("pm25"))
+    rows = readings(spark, sf_dir, station="user_id", extra=("event_id",))
+    return rows.withColumns({"pm25": special, "so2": F.lit(1.0) - F.col("pm25")})
+
+
+@query
+def outlier_bounds_per_station(spark, sf_dir):
+    return present(clean.quantile_bounds(_disturbed(spark, sf_dir), ["pm25", "co", "so2"], 0.05, 0.95, ["location_id"]))
+
+
+@query
+def outliers_per_station(spark, sf_dir):
+    rows = _disturbed(spark, sf_dir)
+    measures = ["pm25", "so2"]
+    flagged = clean.flag_outliers(rows, clean.quantile_bounds(rows, measures, 0.25, 0.75, ["location_id"]), measures)
+    return present(flagged.select("event_id", "location_id", "outliers"))
+
+
 @query
 def dedupe_last(spark, sf_dir):
     rows = readings(spark, sf_dir)

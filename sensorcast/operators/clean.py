@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sensorcast.config import MEASURES, STATION, TIME
 from sensorcast.functions import casts
-from sensorcast.operators.quantiles import quantiles
+from sensorcast.operators.quantiles import grouped_quantiles, quantiles
 from sensorcast.schema import RAW_READING_SCHEMA, READING_SCHEMA, REJECT
 
 _BROKEN = "_broken"
@@ -119,8 +119,26 @@ def flag_out_of_range(df: DataFrame, bounds: Bounds) -> DataFrame:
     return df.withColumn("out_of_range", F.concat_ws(",", *names))
 
 
-def quantile_bounds(df: DataFrame, measures: Sequence[str], low: float, high: float) -> DataFrame:
-    """Outlier bounds per measure: its values at two quantiles."""
-    found = quantiles(df, measures, [low, high])
+def quantile_bounds(df: DataFrame, measures: Sequence[str], low: float, high: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Outlier bounds per measure: its values at two quantiles, of the whole table or of each group of ``keys``."""
+    found = grouped_quantiles(df, keys, measures, [low, high]) if keys else quantiles(df, measures, [low, high])
     at = lambda p: F.max(F.when(F.col("probability") == p, F.col("value")))
-    return found.groupBy("measure").agg(at(low).alias("low"), at(high).alias("high"))
+    return found.groupBy(*keys, "measure").agg(at(low).alias("low"), at(high).alias("high"))
+
+
+def flag_outliers(df: DataFrame, bounds: DataFrame, measures: Sequence[str], keys: Sequence[str] = (STATION,)) -> DataFrame:
+    """Add ``outliers``: the names of the measures beyond the bounds of the row's own group, comma-separated in the
+    order given. NaN is an outlier; a group or measure without bounds has no other."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    limits = F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high"))))  # one entry per measure
+    per_group = bounds.groupBy(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]).agg(limits.alias("_limits"))
+    match = F.lit(True)
+    for k, n in zip(keys, names):
+        match = match & F.col(f"`{k}`").eqNullSafe(F.col(n))
+    flags = []
+    for m in measures:
+        own = F.col("_limits")[m]
+        beyond = F.coalesce((F.col(m) < own["low"]) | (F.col(m) > own["high"]), F.lit(False))
+        flags.append(F.when(F.isnan(m) | beyond, F.lit(m)))
+    joined = df.join(per_group, match, "left").withColumn("outliers", F.concat_ws(",", *flags))
+    return joined.drop("_limits", *names)
