@@ -192,6 +192,17 @@ WITH m AS (
 SELECT outcome, CAST(sum(CASE WHEN outcome <> 'accepted' AND event_id % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS messages
 FROM m GROUP BY outcome"""
 
+_READ = ["location_id", '"timestamp"', *MEASURES]
+ORACLES["landed_compacted"] = _with(READINGS_SQL) + """,
+m AS (
+  SELECT *, CASE WHEN event_id % 13 = 0 THEN 'not json' WHEN event_id % 11 = 0 THEN 'no station'
+                 WHEN event_id % 7 = 0 THEN 'unreadable time' WHEN event_id % 5 = 0 THEN 'no time'
+                 ELSE 'accepted' END AS outcome
+  FROM readings)
+SELECT outcome, """ + ", ".join(
+    f"CASE WHEN outcome = 'accepted' THEN {f'round({c}, 6)' if c in MEASURES else c} END AS {c}" for c in _READ
+) + " FROM m"
+
 ORACLES["payload_flatten"] = _with(READINGS_SQL, HOURLY_SQL) + f"""
 SELECT location_id, "timestamp", {_rounded(MEASURES, 9)} FROM hourly"""
 

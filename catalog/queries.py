@@ -15,7 +15,7 @@ from sensorcast.functions import bands, calendar
 from sensorcast.operators import asof, clean, metrics, profile, series
 from sensorcast.plans import features, registry, reports, station_models, storage, training
 from sensorcast.schema import FORECAST_SCHEMA, PAYLOAD_FIELDS, READING_SCHEMA
-from sensorcast.sources import published, readers, streams, writers
+from sensorcast.sources import compaction, published, readers, streams, writers
 from sensorcast.staging import scratch_path
 from sensorcast.streaming import lags, recent, verify
 from sensorcast.streaming.forecast import feature_stream, read_features, score_stream
@@ -753,6 +753,26 @@ def batches_replayed(spark, sf_dir):
     return present(published.read_published(spark, path, rows.schema).select("event_id", "location_id", "timestamp", "pm25"))
 
 
+@query
+def landed_compacted(spark, sf_dir):
+    """Messages land in four parts, some of them damaged; after the second and the third part small files are rewritten,
+    once by a job that dies before its commit. Every message is read once."""
+    inbox, landed, state, compacted = (scratch_path(spark, x) for x in ("inbox", "landed", "ingest-state", "compacted"))
+    messages = _damaged_messages(spark, sf_dir, also=("event_id",))
+    for part in range(4):
+        messages.filter(F.col("event_id") % 4 == part).select("value").coalesce(2).write.mode("append").text(inbox)
+        _finish([ingest_readings(streams.message_stream(spark, "json", inbox), landed, state, trigger=ONCE)])
+        if part == 2:
+            half = readers.accepted_rows(compaction.read_compacted(spark, landed, compacted)).limit(100)
+            published.write_attempt(half, f"{compacted}/rows", compaction.RUN_ID, 1, ["reading_date"])
+        if part in (1, 2):
+            compaction.compact(spark, landed, compacted, rows_per_file=1000)
+    rows = compaction.read_compacted(spark, landed, compacted)
+    read = lambda name: F.when(F.col(clean.REJECT).isNull(), F.col(name)).alias(name)
+    outcome = F.coalesce(clean.REJECT, F.lit("accepted")).alias("outcome")
+    return present(rows.select(outcome, read("location_id"), read("timestamp"), *map(read, MEASURES)))
+
+
 def _recent_table(spark, sf_dir) -> str:
     """The table of newest readings after three landings, of which the last has late and corrected readings, and after a
     replay of the second batch; returns its folder."""

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from sensorcast.config import HORIZONS, FeatureConfig, ForestConfig
 from sensorcast.functions.stations import station_dimension
 from sensorcast.plans import reports, training
-from sensorcast.sources import readers, streams, writers
+from sensorcast.sources import compaction, readers, streams, writers
 from sensorcast.streaming.forecast import feature_stream, score_stream
 from sensorcast.streaming.ingest import ingest_readings
 
@@ -62,10 +62,23 @@ def ingest(spark, args):
     _wait([ingest_readings(source, args.landed, args.state, args.dedupe_within, _trigger(args), args.zone)])
 
 
+def compact(spark, args):
+    """Small files of landed readings and rejects to large ones, in a table beside them."""
+    done = compaction.compact(spark, args.landed, args.compacted, rows_per_file=args.rows_per_file, min_files=args.min_files)
+    print(f"{len(done)} folders rewritten")
+
+
+def _landed(spark, args):
+    if args.compacted:
+        return readers.accepted_rows(compaction.read_compacted(spark, args.landed, args.compacted))
+    return readers.read_landed(spark, args.landed)
+
+
 def features(spark, args):
     """Landed readings to feature rows."""
-    source = streams.reading_stream(spark, args.landed)
-    history = lambda session: readers.read_landed(session, args.landed)
+    options = {"maxFilesPerTrigger": str(args.max_files)} if args.max_files else {}
+    source = streams.reading_stream(spark, args.landed, **options)
+    history = lambda session: _landed(session, args)
     lookback = args.lookback or None if args.step == "hours" else None
     _wait([feature_stream(source, history, args.features, args.state, args.run, _config(args), lookback, _trigger(args))])
 
@@ -78,7 +91,7 @@ def score(spark, args):
 
 def report(spark, args):
     """The overview and detail tables of all stations."""
-    landed = readers.read_landed(spark, args.landed)
+    landed = _landed(spark, args)
     forecasts = readers.read_forecasts(spark, args.forecasts)
     writers.write_table(reports.station_overview(landed, station_dimension(spark)), f"{args.target}/overview")
     writers.write_table(reports.station_detail(landed, forecasts, args.horizon), f"{args.target}/detail")
@@ -124,8 +137,14 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--dedupe-within")
     one.add_argument("--zone", help="time zone of timestamps without offset")
 
+    one = job(compact, "landed", "compacted")
+    one.add_argument("--rows-per-file", type=int, default=compaction.ROWS_PER_FILE)
+    one.add_argument("--min-files", type=int, default=2, help="files a folder must have before it is rewritten")
+
     one = job(features, "landed", "features", "state", "run")
     streaming_options(one)
+    one.add_argument("--compacted", help="table of the compact job, to read history from")
+    one.add_argument("--max-files", type=int, help="landed files a micro-batch takes at most")
     one.add_argument("--step", choices=("rows", "hours"), default="hours")
     one.add_argument("--tolerance", type=float, default=0, help="minutes a reading may be off the hour, for --step hours")
     one.add_argument("--lookback", type=int, default=24, help="hours of history for --step hours; 0 for all")
@@ -137,6 +156,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--horizons", nargs="+", type=int)
 
     one = job(report, "landed", "forecasts", "target")
+    one.add_argument("--compacted", help="table of the compact job, to read history from")
     one.add_argument("--horizon", type=int, default=1)
     return top
 

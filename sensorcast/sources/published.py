@@ -9,6 +9,7 @@ named for one batch the first counts.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +39,18 @@ def is_published(spark: SparkSession, path: str, run_id: str, batch_id: int) ->
     return not commits(spark, path).filter((F.col(RUN) == run_id) & (F.col(BATCH) == batch_id)).isEmpty()
 
 
-def write_attempt(df: DataFrame, path: str, run_id: str, batch_id: int) -> str:
+def write_attempt(df: DataFrame, path: str, run_id: str, batch_id: int, partition_by: Sequence[str] = ()) -> str:
     """Write rows that no reader sees yet; returns the attempt's name."""
     attempt = uuid.uuid4().hex
     placed = df.withColumns({RUN: F.lit(run_id), BATCH: F.lit(batch_id).cast("long"), ATTEMPT: F.lit(attempt)})
-    placed.write.mode("append").partitionBy(*PLACE.names).parquet(path)
+    placed.write.mode("append").partitionBy(*PLACE.names, *partition_by).parquet(path)
     return attempt
 
 
+def attempt_path(path: str, run_id: str, batch_id: int, attempt: str) -> str:
+    return f"{path}/{RUN}={run_id}/{BATCH}={batch_id}/{ATTEMPT}={attempt}"
+
+
 def commit(spark: SparkSession, path: str, run_id: str, batch_id: int, attempt: str) -> None:
     row = spark.createDataFrame([(run_id, batch_id, attempt)], PLACE).withColumn("committed_at", F.current_timestamp())
     row.coalesce(1).write.mode("append").parquet(_commits_path(path))
@@ -72,4 +77,4 @@ def read_newest(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     last = commits(spark, path).orderBy(F.col("committed_at").desc(), F.col(BATCH).desc()).first()
     if last is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{RUN}={last[RUN]}/{BATCH}={last[BATCH]}/{ATTEMPT}={last[ATTEMPT]}")
+    return spark.read.schema(schema).parquet(attempt_path(path, last[RUN], last[BATCH], last[ATTEMPT]))

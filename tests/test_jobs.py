@@ -18,10 +18,13 @@ def test_from_history_to_report(spark, make_readings, tmp_path):
     main(["train", "--history", path("history"), "--models", path("models"), "--horizons", "1", "3"])
     main(["ingest", "--source", "json", "--path", path("inbox"), "--landed", path("landed"), "--state", path("s0"),
           "--dedupe-within", "10 days", "--once"])
-    main(["features", "--landed", path("landed"), "--features", path("features"), "--state", path("s1"), "--run", "r", "--once"])
+    main(["compact", "--landed", path("landed"), "--compacted", path("compacted"), "--min-files", "1"])
+    main(["features", "--landed", path("landed"), "--features", path("features"), "--state", path("s1"), "--run", "r", "--once",
+          "--compacted", path("compacted"), "--max-files", "50"])
     main(["score", "--features", path("features"), "--models", path("models"), "--forecasts", path("forecasts"),
           "--state", path("s2"), "--once"])
-    main(["report", "--landed", path("landed"), "--forecasts", path("forecasts"), "--target", path("report"), "--horizon", "3"])
+    main(["report", "--landed", path("landed"), "--forecasts", path("forecasts"), "--target", path("report"), "--horizon", "3",
+          "--compacted", path("compacted")])
 
     assert readers.read_landed(spark, path("landed")).count() == source.count()
     assert spark.read.parquet(path("forecasts")).count() == 2 * 77 * 2
