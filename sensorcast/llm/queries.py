@@ -150,8 +150,94 @@ QUERIES = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
+_SPACED = r"[^\x20\x09-\x0D]+"
+# Smallest node that each node of ``nodes`` reaches over ``links`` (a, b; both directions).
+_REACHED = """reach AS (
+  SELECT id AS a, id AS b FROM nodes
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY 1)"""
+
+
+def _spans_sql(kind: int, pattern: str, flags: str, test: str) -> str:
+    """Spans of one rule: every match between two control characters that the texts lack, so that the lengths of the
+    pieces give the places."""
+    return f"""
+  SELECT k, {kind} AS kind, start, start + length(piece) AS stop FROM (
+    SELECT k, piece, sum(length(piece) + length(rest)) OVER (PARTITION BY k ORDER BY n) - length(piece) - length(rest) AS start, n
+    FROM (
+      SELECT k, n, CASE WHEN n = 1 THEN '' ELSE string_split(part, chr(2))[1] END AS piece,
+        CASE WHEN n = 1 THEN part ELSE string_split(part, chr(2))[2] END AS rest
+      FROM (
+        SELECT k, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM (
+          SELECT k, string_split(regexp_replace(text, '({pattern})', chr(1) || '\\1' || chr(2), '{flags}'), chr(1)) AS parts FROM d))))
+  WHERE n > 1 AND {test}"""
+
+
+_ASSIGN = (
+    r"""(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?""",
+    r"""[A-Za-z0-9+/_.=-]+""",
+)
+
 # SQL whose rows equal a query's.
 ORACLES = {
+    "op3_minhash_near_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '{_SPACED}') AS w
+  FROM documents),
+sets AS (
+  SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS shingles
+  FROM d),
+each AS (SELECT id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS (
+  SELECT x.id AS a, y.id AS b FROM each x JOIN each y ON x.shingle = y.shingle AND x.id <> y.id
+  GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+nodes AS (SELECT id FROM sets),
+{_REACHED}
+SELECT s.id AS doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, l.component AS component_id, l.component = s.id AS kept
+FROM sets s JOIN least l ON l.id = s.id""",
+    "op4_secret_scan": rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({_spans_sql(0, _ASSIGN[0] + _ASSIGN[1], "gi", f"length(regexp_extract(piece, '^{_ASSIGN[0]}({_ASSIGN[1]})$', 1, 'i')) >= 8")}
+  UNION ALL {_spans_sql(1, "AKIA[A-Z0-9]+", "g", "length(piece) >= 16")}
+  UNION ALL {_spans_sql(2, "[0-9a-f]+", "g", "length(piece) >= 32")}),
+joined AS (
+  SELECT k, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind) AS spans
+  FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (k)""",
+    "op6_substring_dedup": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+places AS (SELECT k, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+named AS (
+  SELECT k, word, i, CASE WHEN i + 34 <= len(w) THEN sha256(array_to_string(w[i : i + 34], ' ')) END AS seq FROM places),
+counted AS (SELECT k, word, i, seq IS NOT NULL AND count(*) OVER (PARTITION BY seq) > 1 AS again FROM named),
+covered AS (
+  SELECT k, word, i, coalesce(bool_or(again) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM counted),
+made AS (
+  SELECT k, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM covered GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN made USING (k)""",
+    "op9_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label = y.label AND x.id <> y.id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+counts AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY 1),
+{_REACHED}
+SELECT n.id AS vec_id, coalesce(c.n_links, 0) AS n_links, l.component AS component_id, l.component = n.id AS kept
+FROM nodes n JOIN least l ON l.id = n.id LEFT JOIN counts c ON c.id = n.id""",
     "op8_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
