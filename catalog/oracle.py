@@ -526,3 +526,13 @@ SELECT location_id, "timestamp", h::INTEGER AS horizon_hours,
 FROM lagged, (SELECT unnest([1, 24]) AS h)"""
 ORACLES["region_scan"] = "SELECT n_name AS region_iso FROM nation"
 ORACLES["table_replaced"] = _with(READINGS_SQL) + f" SELECT {READING_LIST} FROM readings"
+
+ORACLES["dense_ranges"] = """
+WITH dense AS (
+  SELECT event_id, CASE WHEN event_id % 10 = 0 THEN event_type ELSE 'dense' END AS location_id,
+    make_timestamp(1704067200000000 + event_id * 3600000) AS "timestamp", value AS pm25
+  FROM events)
+SELECT event_id, location_id, count(pm25) OVER w AS range_rows, round(sum(pm25) OVER w, 6) AS range_sum,
+  round(avg(pm25) OVER w, 9) AS range_mean, round(min(pm25) OVER w, 6) AS range_min, round(max(pm25) OVER w, 6) AS range_max
+FROM dense
+WINDOW w AS (PARTITION BY location_id ORDER BY "timestamp" RANGE BETWEEN INTERVAL 3 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING)"""

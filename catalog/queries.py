@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from catalog.tables import BOUNDS, CONFIG, SMALL_CHUNKS, dimension, events, present, readings
 from sensorcast.config import HORIZONS, MEASURES, SplitConfig, label_name
 from sensorcast.functions import bands, calendar
-from sensorcast.operators import asof, clean, metrics, profile, series
+from sensorcast.operators import asof, clean, metrics, profile, ranges, series
 from sensorcast.plans import features, registry, reports, station_models, storage, training
 from sensorcast.schema import FORECAST_SCHEMA, PAYLOAD_FIELDS, READING_SCHEMA
 from sensorcast.sources import compaction, published, readers, streams, writers
@@ -821,6 +822,23 @@ def forecast_lookup_dated(spark, sf_dir):
 # Readings off the hour, stored models and their versions
 
 
+def _dense(spark, sf_dir):
+    """The readings at 1,000 an hour, nine of ten in one station."""
+    station = F.when(F.col("event_id") % 10 == 0, F.col("location_id")).otherwise(F.lit("dense"))
+    instant = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("event_id") * 3_600_000)
+    return readings(spark, sf_dir, extra=("event_id",)).withColumns({"location_id": station, "timestamp": instant})
+
+
+@query
+def dense_ranges(spark, sf_dir):
+    """Sums over the readings of one to three hours before, in slots of seven minutes."""
+    slot = timedelta(minutes=7)
+    found = ranges.range_aggregates(_dense(spark, sf_dir), "pm25", timedelta(hours=3), timedelta(hours=1), slot)
+    shown = found.withColumn("range_sum", F.round("range_sum", 6))
+    names = [f"range_{n}" for n in ("rows", "sum", "mean", "min", "max")]
+    return present(shown.select("event_id", "location_id", *names), HOURLY_DIGITS)
+
+
 def _off_the_hour(spark, sf_dir, chunking):
     config = replace(CONFIG, step="hours", tolerance_minutes=20, chunking=chunking)
     rows = features.build_features(readings(spark, sf_dir), config, [1, 6])
