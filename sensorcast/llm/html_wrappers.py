@@ -1,11 +1,11 @@
 """Main text of web pages by union-free wrappers inferred per host.
 
-A page is read as a stream of tags and texts. Its texts fill slots, named by the path of groups around them.
-The wrapper of a host is the flat set of its pages' slots: there are no unions, so it grows with the variety of
-a host's markup, not with its pages. When wrappers are merged (where pages are read, then per host and part,
-then per host), a slot keeps the digest of its text while all pages agree and is variable once they differ. A slot that
-never varies over several distinct pages is template text. ``fold``, ``merge`` and ``expression`` show
-the same as a tree, with optional and repeated groups aligned; the query does not need them.
+A page is read as a stream of tags and texts. The wrapper of a host is a regular expression over such streams without
+unions: groups, each of them optional, repeated, both or neither, and slots for texts. Pages are aligned one by one (where
+they are read; then the wrappers per host and part, then those per host): a text that differs makes its slot variable,
+a group that only some pages have becomes optional, and groups that pages have in different numbers become one
+repeated group. A wrapper grows with the variety of a host's markup, not with its pages. At last each page is aligned with
+the wrapper of its host; a text that meets a slot that never varied over several distinct pages is template text.
 
 Slots that no content belongs to (menus, headers, footers, notices, adverts, forms, scripts,
 comments of readers) are told by the groups around them. Of the slots that are left, a page that has most of
@@ -17,6 +17,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 
@@ -81,8 +83,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+)))?"
 _TELLING = re.compile("class|id|role|hidden", re.IGNORECASE)
 SLOT = "#text"
 SUPPORT = 3  # distinct pages that must share a text before it is taken for template text
-DEEP = 200  # groups in a path; deeper ones, as of tags that are never closed, are not told apart
-APART = "\x1f"  # between the labels of a path; white space, so no label has it
+DEEP = 120  # groups in a path; deeper ones, as of tags that are never closed, are not told apart
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -177,80 +178,179 @@ def _tells(label: str, around: tuple[str, ...]) -> bool:
     return shut((*around, label)) and not shut(around)
 
 
-# A wrapper is a list of children [label, optional, repeated, children]; a slot has none.
+# A wrapper is a list of nodes [label, flags, signature, body]. The body of a group is its list of nodes, that of a
+# text slot [pages that have it, digests of SUPPORT distinct ones, marks]. The signature is a digest of all text
+# below while all pages agree, and null from the first mismatch on.
+OPTIONAL, REPEATED = 1, 2
 
 
-def fold(page: str) -> list:
-    """The wrapper of one page."""
-    top: list = []
-    trail: list[tuple[str, list]] = []
-    for kind, path, value in read(page):
-        if kind == "break" or (kind == "text" and not value.strip()):
-            continue
-        depth = len(path) - (kind == "open")
-        del trail[depth:]
-        children = trail[-1][1] if trail else top
-        if kind == "text":
-            if not children or children[-1][0] != SLOT:
-                children.append([SLOT, 0, 0, []])
-        else:
-            node = [path[-1], 0, 0, []]
-            children.append(node)
-            trail.append((path[-1], node[3]))
-    return squeeze(top)
+@lru_cache(65_536)
+def _block(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The groups of a path that part texts; elements inside a line do not."""
+    return tuple(label for label in path if label.partition(".")[0].removesuffix("!hidden") not in INLINE)
 
 
-def squeeze(children: list) -> list:
-    """Neighbours with the same label become one repeated group; so do repeats of a pair of labels."""
-    out: list = []
-    for label, optional, repeated, inner in children:
-        inner = squeeze(inner)
-        if out and out[-1][0] == label:
-            last = out[-1]
-            out[-1] = [label, last[1] & optional, int(label != SLOT), merge(last[3], inner)]
-        elif len(out) >= 3 and out[-2][0] == label and out[-3][0] == out[-1][0]:
-            # a b a, and now b: the group (a b)+ is held as a+ b+ in this order.
-            a = out.pop()
-            b, first = out[-1], out[-2]
-            out[-2] = [first[0], first[1] & a[1], 1, merge(first[3], a[3])]
-            out[-1] = [label, b[1] & optional, 1, merge(b[3], inner)]
+def tree(events: list, counted: bool = True) -> list:
+    """The token stream of a page as a wrapper: groups that part texts, and slots. Groups that are outside are left out.
+
+    A slot's marks are the places of its texts in ``events``. Pages that are only matched are not counted."""
+    top: list = []
+    trail: list[list] = []
+    for at, (kind, path, value) in enumerate(events):
+        block = _block(path)
+        if kind == "open" and len(block) and len(_block(path[-1:])):
+            del trail[len(block) - 1 :]
+            trail.append([block[-1], None])
+        elif kind == "text" and value.strip() and not shut(path):
+            del trail[len(block) :]
+            nodes = top
+            for entry in trail:
+                if entry[1] is None:
+                    entry[1] = []
+                    nodes.append([entry[0], 0, None, entry[1]])
+                nodes = entry[1]
+            if not nodes or nodes[-1][0] != SLOT:
+                nodes.append([SLOT, 0, None, []])
+            nodes[-1][3].append(at)
+    own: list[str] = []
+    sealed = _sealed(top, events, counted, own)
+    if counted:
+        own.append(_digest("\0".join(node[2] for node in sealed)))
+    return sealed
+
+
+def _sealed(nodes: list, events: list, counted: bool, own: list) -> list:
+    out = []
+    for label, flags, _, body in nodes:
+        if label == SLOT:
+            text = " ".join("".join(events[at][2] for at in body).split())
+            out.append([label, flags, _digest(text), [1, own, []] if counted else [0, own, body]])
         else:
-            out.append([label, optional, repeated, inner])
+            inner = _sealed(body, events, counted, own)
+            out.append([label, flags, _digest("\0".join([label, *(f"{i[0]}\0{i[2]}" for i in inner)])), inner])
     return out
 
 
-def merge(one: list, two: list) -> list:
-    """Align two lists of children by their longest common subsequence of labels."""
-    if one == two:
-        return one
-    n, m = len(one), len(two)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            same = one[i][0] == two[j][0]
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if same else 0)
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and one[i][0] == two[j][0] and best[i][j] == best[i + 1][j + 1] + 1:
-            a, b = one[i], two[j]
-            out.append([a[0], a[1] | b[1], a[2] | b[2], merge(a[3], b[3])])
+def _digest(text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def pair(a: list, b: list, within: bool = False) -> list:
+    """One node for two with the same label; ``within`` tells that the same pages may have both."""
+    if a[0] == SLOT:
+        (n, pages, marks), (n_, pages_, marks_) = a[3], b[3]
+        seen = pages if pages == pages_ else sorted({*pages, *pages_})[:SUPPORT]
+        body = [max(n, n_) if within else n + n_, seen, marks + marks_]
+    else:
+        body = align(a[3], b[3], within)
+    return [a[0], a[1] | b[1], a[2] if a[2] == b[2] else None, body]
+
+
+def align(one: list, two: list, within: bool = False) -> list:
+    """Both lists of nodes as one. Nodes with the same text throughout that are alone of their kind in both lists hold
+    the lists together, as far as they keep their order; between them nodes meet by label, from both ends. A node left
+    over meets one of its label that is left over too, or else becomes optional; ``fold`` finds what repeats."""
+    out: list = []
+    ends = [(-1, -1), *_anchors(one, two), (len(one), len(two))]
+    mismatch = False
+    for (i, j), (i_end, j_end) in zip(ends, ends[1:]):
+        if i >= 0:
+            out.append(pair(one[i], two[j], within))
+        i, j, tail = i + 1, j + 1, []
+        while i < i_end and j < j_end and one[i][0] == two[j][0]:
+            out.append(pair(one[i], two[j], within))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([one[i][0], 1, one[i][2], one[i][3]])
-            i += 1
+        while i < i_end and j < j_end and one[i_end - 1][0] == two[j_end - 1][0]:
+            i_end, j_end = i_end - 1, j_end - 1
+            tail.append(pair(one[i_end], two[j_end], within))
+        if i < i_end or j < j_end:
+            mismatch = True
+            others: dict[str, deque] = {}
+            for node in two[j:j_end]:
+                others.setdefault(node[0], deque()).append(node)
+            for node in one[i:i_end]:
+                same = others.get(node[0])
+                out.append(_marked(pair(node, same.popleft(), within) if same else node, OPTIONAL))
+            out.extend(_marked(node, OPTIONAL) for same in others.values() for node in same)
+        out.extend(reversed(tail))
+    return fold(out) if mismatch else out
+
+
+def _anchors(one: list, two: list) -> list[tuple[int, int]]:
+    """Places of nodes that have one signature, alone of it in each list: the longest row of them that is in order."""
+    places: dict[tuple, int] = {}
+    for j, node in enumerate(two):
+        if node[2] is not None:
+            key = (node[0], node[2])
+            places[key] = -1 if key in places else j
+    count = Counter((node[0], node[2]) for node in one if node[2] is not None)
+    common = [
+        (i, places[node[0], node[2]])
+        for i, node in enumerate(one)
+        if node[2] is not None and count[node[0], node[2]] == 1 and places.get((node[0], node[2]), -1) >= 0
+    ]
+    ends: list[int] = []
+    last: list[int] = []
+    before = []
+    for at, (_, j) in enumerate(common):
+        k = bisect_left(ends, j)
+        before.append(last[k - 1] if k else -1)
+        if k == len(ends):
+            ends.append(j)
+            last.append(at)
         else:
-            out.append([two[j][0], 1, two[j][2], two[j][3]])
-            j += 1
-    return squeeze(out)
+            ends[k], last[k] = j, at
+    chain, at = [], last[-1] if last else -1
+    while at >= 0:
+        chain.append(common[at])
+        at = before[at]
+    return chain[::-1]
+
+
+def _marked(node: list, flag: int) -> list:
+    return [node[0], node[1] | flag, *node[2:]]
+
+
+def fold(nodes: list) -> list:
+    """Repeated groups: between two nodes that all pages have alike, the nodes of a label become one repeated node if
+    their texts differ and pages do not have equally many of them. (h2 p)+ is held as h2+ p+ in the order of the
+    first page, so a list is no longer than its constant nodes and the labels between them."""
+    out: list = []
+    at = 0
+    while at < len(nodes):
+        if nodes[at][2] is not None and not nodes[at][1] & OPTIONAL:
+            out.append(nodes[at])
+            at += 1
+            continue
+        stretch: dict[str, list] = {}
+        begin = at
+        while at < len(nodes) and (nodes[at][2] is None or nodes[at][1] & OPTIONAL):
+            stretch.setdefault(nodes[at][0], []).append(nodes[at])
+            at += 1
+        repeated = {
+            label
+            for label, same in stretch.items()
+            if len(same) > 1 and any(node[1] for node in same) and any(node[2] is None for node in same)
+        }
+        for node in nodes[begin:at]:
+            if node[0] not in repeated:
+                out.append(node)
+                continue
+            same = stretch.pop(node[0], [])
+            while len(same) > 1:
+                last = same[len(same) & ~1 :]
+                same = [pair(a, b, True) for a, b in zip(same[::2], same[1::2])] + last
+            out.extend(_marked(node, REPEATED) for node in same)
+    return out
 
 
 def expression(wrapper: list) -> str:
-    """The wrapper as a union-free regular expression over tags and texts."""
+    """The wrapper as a union-free regular expression over tags and texts; # is a text that varies."""
     parts = []
-    for label, optional, repeated, inner in wrapper:
-        body = "#" if label == SLOT else f"<{label}>{expression(inner)}</>"
-        mark = "*" if optional and repeated else "+" if repeated else "?" if optional else ""
-        parts.append(f"({body}){mark}" if mark else body)
+    for label, flags, signature, body in wrapper:
+        inner = ("#" if signature is None else "text") if label == SLOT else f"<{label}>{expression(body)}</>"
+        mark = ("", "?", "+", "*")[flags]
+        parts.append(f"({inner}){mark}" if mark else inner)
     return "".join(parts)
 
 
@@ -283,68 +383,73 @@ def shut(path: tuple[str, ...]) -> bool:
     return False
 
 
-# What the query holds of a host: how many pages it has and, by path, its content slots: [digest of a page's
-# text in it or None if pages differ, pages that have it, digests of SUPPORT distinct pages of those].
-
-
-def slots(page: str) -> dict:
-    """The slots of one page that content can be in."""
-    texts: dict[tuple, list] = {}
-    for kind, path, value in read(page):
-        if kind == "text" and value.strip() and not shut(path):
-            texts.setdefault(path, []).append(" ".join(value.split()))
-    found = {APART.join(path): _digest("\0".join(parts)) for path, parts in texts.items()}
-    own = _digest("\0".join(f"{path}\0{text}" for path, text in sorted(found.items())))
-    return {"pages": 1, "slots": {path: [text, 1, [own]] for path, text in found.items()}}
+# What the query holds of a host: how many pages it has, and its wrapper.
 
 
-def _digest(text: str) -> str:
-    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+def wrapper_of(page: str) -> dict:
+    return {"pages": 1, "nodes": tree(list(read(page)))}
 
 
 def combine(one: dict, two: dict) -> dict:
-    """Slots of the pages of both; a slot in which their texts differ is variable."""
-    out = dict(one["slots"])
-    for path, (text, n, pages) in two["slots"].items():
-        if path in out:
-            text_, n_, pages_ = out[path]
-            text, n, pages = text if text == text_ else None, n + n_, sorted({*pages, *pages_})[:SUPPORT]
-        out[path] = [text, n, pages]
-    return {"pages": one["pages"] + two["pages"], "slots": out}
+    return {"pages": one["pages"] + two["pages"], "nodes": align(one["nodes"], two["nodes"])}
 
 
-def content_paths(wrapper: dict) -> list[set[tuple]]:
-    """Paths of slots that hold content: those in an article, those in a main group, all but template text, all.
+def finished(nodes: list, pages: int) -> list:
+    """A wrapper to match pages with: slots are [1 if they hold template text, [], []].
 
     Template text is the same on all pages that have the slot, if these are at least half of the host's
     and SUPPORT of them differ elsewhere."""
-    slots_ = {tuple(path.split(APART)) if path else (): slot for path, slot in wrapper["slots"].items()}
-    article, main = ({p for p in slots_ if any(label.split(".")[0] == name for label in p)} for name in ("article", "main"))
-    template = {
-        path
-        for path, (text, n, pages) in slots_.items()
-        if text is not None and len(pages) >= SUPPORT and 2 * n >= wrapper["pages"]
-    }
-    return [article, main, set(slots_) - (template - article - main), set(slots_)]
+    out = []
+    for label, flags, signature, body in nodes:
+        if label == SLOT:
+            body = [int(signature is not None and len(body[1]) >= SUPPORT and 2 * body[0] >= pages), [], []]
+        else:
+            body = finished(body, pages)
+        out.append([label, flags, signature, body])
+    return out
+
 
+def _template(nodes: list) -> Iterator[int]:
+    """Places of a matched page's texts that met template text and are equal to it."""
+    for label, _, signature, body in nodes:
+        if label != SLOT:
+            yield from _template(body)
+        elif signature is not None and body[0]:
+            yield from body[2]
 
-def extract(page: str | None, paths: list[set[tuple]]) -> str:
+
+def extract(page: str | None, wrapper: list) -> str:
     """Text of the page's content slots; blocks are parted by one space, white space is one space.
 
-    Content is what the page itself has in an article, or else in a main group, if that is at least half
+    The page is aligned with the finished wrapper of its host; what meets template text outside an article or main group
+    is none. Content is what the page itself has in an article, or else in a main group, if that is at least half
     of its text without template text, so that a teaser card does not stand for a page; or else its text without
     template text; or else, if there is nothing else, all of it."""
     events = list(read(page or ""))
-    sizes = [sum(len(v.strip()) for kind, path, v in events if kind == "text" and path in some) for some in paths]
-    chosen = next((some for some, size in zip(paths, sizes) if size and 2 * size >= sizes[2]), set())
+    template = set(_template(align(wrapper, tree(events, False))))
+    some: list[set[int]] = [set(), set(), set(), set()]
+    blank = set()
+    for at, (kind, path, value) in enumerate(events):
+        if kind != "text" or shut(path):
+            continue
+        if not value.strip():
+            blank.add(at)
+            continue
+        names = {label.split(".")[0] for label in path}
+        inside = [name in names for name in ("article", "main")]
+        for part, has in zip(some, [*inside, any(inside) or at not in template, True]):
+            if has:
+                part.add(at)
+    sizes = [sum(len(events[at][2].strip()) for at in part) for part in some]
+    chosen = blank.union(next((part for part, size in zip(some, sizes) if size and 2 * size >= sizes[2]), ()))
     out: list[str] = []
     block: tuple = ()
-    for kind, path, value in events:
-        around = tuple(label for label in path if label.partition(".")[0].removesuffix("!hidden") not in INLINE)
+    for at, (kind, path, value) in enumerate(events):
+        around = _block(path)
         if kind == "break" or around != block or (kind == "open" and path[-1].partition(".")[0] not in INLINE):
             out.append(" ")
             block = around
-        if kind == "text" and path in chosen:
+        if at in chosen:
             out.append(value)
     return " ".join("".join(out).split())
 
@@ -355,11 +460,12 @@ def host(url: Column) -> Column:
 
 
 def _merged(wrappers: Iterable[str]) -> dict:
-    return reduce(combine, map(json.loads, wrappers))
+    # In one order, whatever the shuffle made of it: which texts meet depends on the pages before them.
+    return reduce(combine, map(json.loads, sorted(wrappers)))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) of all pages."""
+    """(host, finished wrapper as JSON) of all pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict] = {}
@@ -374,7 +480,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = slots(page.as_py() or "")
+                own = wrapper_of(page.as_py() or "")
                 held[name] = combine(held[name], own) if name in held else own
             if len(held) >= HOSTS:
                 yield passed()
@@ -383,12 +489,17 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(_merged(frame["wrapper"]))]})
 
+    def last(frame: pd.DataFrame) -> pd.DataFrame:
+        made = _merged(frame["wrapper"])
+        nodes = json.dumps(finished(made["nodes"], made["pages"]), separators=(",", ":"))
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [nodes]})
+
     read_ = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     partial = read_.mapInArrow(run, "host string, wrapper string").withColumn(
         "part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS))
     )
     once = partial.groupBy("host", "part").applyInPandas(join, "host string, wrapper string")
-    return once.groupBy("host").applyInPandas(join, "host string, wrapper string")
+    return once.groupBy("host").applyInPandas(last, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -416,7 +527,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if key not in known:
                     if len(known) >= HOSTS:
                         known.clear()
-                    known[key] = content_paths(json.loads(key))
+                    known[key] = json.loads(key)
                 texts.append(extract(page.as_py(), known[key]))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,5 +1,8 @@
 """HTML wrappers."""
 
+import random
+from functools import reduce
+
 from llm_data import workers  # noqa: F401
 
 from sensorcast.llm import html_wrappers as wrappers
@@ -33,15 +36,89 @@ def test_main_text(workers):
     assert wrappers.main_text(pages.limit(0)).count() == 0
 
 
+def wrapper(*pages):
+    return reduce(wrappers.combine, map(wrappers.wrapper_of, pages))["nodes"]
+
+
 def test_wrappers_are_union_free():
-    one = wrappers.fold("<div><p>a</p><p>b</p><img><p>c</p></div>")
-    two = wrappers.fold("<div><h2>t</h2><p>a</p></div>")
-    assert wrappers.expression(wrappers.merge(one, two)) == "<div>(<h2>#</>)?(<p>#</>)+(<img></>)?(<p>#</>)?</>" or (
-        "|" not in wrappers.expression(wrappers.merge(one, two))
+    one, two = "<div><p>a</p><p>b</p><img><p>c</p></div>", "<div><h2>t</h2><p>a</p></div>"
+    assert wrappers.expression(wrapper(one)) == "<div><p>text</><p>text</><p>text</></>"
+    assert wrappers.expression(wrapper(one, one)) == wrappers.expression(wrapper(one))
+    assert wrappers.expression(wrapper(one, two)) == "<div>(<h2>text</>)?<p>text</>(<p>text</>)?(<p>text</>)?</>"
+    # A second text in the place of c shows that p repeats; more pages of the kind change nothing.
+    three = "<div><p>a</p><p>d</p><p>e</p><p>f</p></div>"
+    many = wrappers.expression(wrapper(one, two, three))
+    assert many == "<div>(<h2>text</>)?<p>text</>(<p>#</>)*</>"
+    assert wrappers.expression(wrapper(one, two, three, three.replace("e", "g<p>h"), one, two)) == many
+
+
+def test_places_among_siblings_part_template_text():
+    menu, foot = "<div>Home About Contact</div>", "<div>(c) Site</div>"
+    pages = [f"{'<div>News of %d</div>' % n if n % 2 else ''}{menu}<div>Story {n}{'<p>more' * n}</div>{foot}" for n in range(6)]
+    made = reduce(wrappers.combine, map(wrappers.wrapper_of, pages))
+    assert wrappers.expression(made["nodes"]) == "(<div>#</>)?<div>text</><div>#(<p>text</>)?(<p>text</>)?(<p>text</>)?(<p>text</>)?(<p>text</>)?</><div>text</>"
+    done = wrappers.finished(made["nodes"], made["pages"])
+    for n, page in enumerate(pages):
+        text = wrappers.extract(page, done)
+        assert text.startswith(f"News of {n} Story {n}" if n % 2 else f"Story {n}") and "Home" not in text and "(c)" not in text
+
+
+def generated(seed):
+    """Pages of one template with the text that is their own: menus and footers in plain groups, notices that some pages
+    have, bodies of any blocks, with or without an article group."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    texts = lambda n: " ".join(word() for _ in range(n))
+    top = "".join(f"<{t}>{texts(3)}</{t}>" for t in rng.choices(["div", "p", "ul><li", "h2"], k=rng.randint(1, 4)) if "<" not in t)
+    foot = f"<div class=c{rng.randint(1, 3)}><div>{texts(4)}</div><p>{texts(2)}</p></div>"
+    side = f"<section>{texts(3)}</section>"
+    around = rng.choice(["article", "div", "main", "td"])
+    made = []
+    for n in range(rng.randint(8, 14)):
+        title, blocks = f"title {n} {texts(2)}", []
+        for _ in range(rng.randint(1, 12)):
+            blocks.append((rng.choice(["p", "p", "p", "h3", "blockquote", "li"]), f"{n} {texts(rng.randint(3, 9))}"))
+        body = f"<h1>{title}</h1>" + "".join(f"<{t}>{x[:4]}<b>{x[4:]}</b></{t}>" for t, x in blocks)
+        # Of every three pages two have the section; it is the same on all of them.
+        html = f"<body><div id=t>{top}</div><{around}>{body}</{around}>{side if n % 3 else ''}{foot}</body>"
+        made.append((html, " ".join([title, *(x for _, x in blocks)])))
+    rng.shuffle(made)
+    return made
+
+
+def test_generated_templates(workers):
+    rows, want = [], {}
+    for seed in range(60):
+        for page, text in generated(seed):
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://t{seed}.example/{len(rows)}", page))
+    pages = workers.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
+    assert got == want
+
+
+def test_order_of_pages_loses_no_text():
+    for seed in range(60):
+        made = generated(seed)
+        for order in range(3):
+            random.Random(order).shuffle(made)
+            done = reduce(wrappers.combine, (wrappers.wrapper_of(page) for page, _ in made))
+            done = wrappers.finished(done["nodes"], done["pages"])
+            assert [wrappers.extract(page, done) for page, _ in made] == [text for _, text in made]
+
+
+def test_wrappers_do_not_grow_with_pages():
+    rng = random.Random(1)
+    page = lambda: "<div>top</div>" + "".join(
+        f"<{t}>{rng.random()}</{t}>" for t in rng.choices(["p", "h2", "pre", "table><tr><td", "dl><dt"], k=rng.randint(0, 40)) if "<" not in t
     )
-    assert wrappers.merge(one, one) == one
-    three = wrappers.merge(wrappers.merge(one, two), one)
-    assert wrappers.expression(three) == wrappers.expression(wrappers.merge(one, two))
+    sizes = [len(str(wrapper(*(page() for _ in range(n))))) for n in (20, 200)]
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_many_siblings_take_no_square_of_time():
+    pages = ["<table>" + "".join(f"<tr><td>{n} {i}</td></tr>" for i in range(20_000 + n)) + "</table>" for n in range(3)]
+    assert wrappers.expression(wrapper(*pages)) == "<table>(<tr><td>#</></>)*</>"
 
 
 def test_pages_with_and_without_article_on_one_host(workers):
@@ -86,7 +163,7 @@ def test_unclosed_tags(workers):
     pages = workers.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages).collect()}
     assert got == {1: want, 2: want + " end", 3: "one two three"}
-    assert wrappers.merge(wrappers.fold(deep), wrappers.fold("<div>a</div>"))
+    assert wrapper(deep, "<div>a</div>", deep + deep)
 
 
 def test_names_that_only_look_like_menus(workers):
