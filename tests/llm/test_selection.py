@@ -6,6 +6,7 @@ from llm_data import documents, workers  # noqa: F401
 from pyspark.sql import functions as F
 
 from sensorcast.llm import mixing, quality
+from sensorcast.llm.queries import ratings
 
 
 def test_ordinal_fit_orders_grades():
@@ -39,6 +40,20 @@ def test_held_out_documents_get_their_grade(rated):
     assert np.mean([round(r["expected_grade"]) == r["grade"] for r in scored]) > 0.9
 
 
+def test_held_out_accuracy_on_labelled_documents(workers):
+    data = "/root/testdata/sf0.1"
+    texts, grades = workers.read.parquet(f"{data}/documents.parquet"), ratings(workers, data).filter("grade is not null")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    scored = quality.score(texts, quality.train(texts, grades.filter(~held))).join(grades.filter(held), "doc_id").toPandas()
+    good = scored["grade"].to_numpy() == 2
+    assert len(scored) > 500 and 0.6 < good.mean() < 0.9
+    assert (scored["kept"] == good).mean() > 0.93 and scored["kept"][good].mean() > 0.95 and scored["kept"][~good].mean() < 0.15
+    for above, rank in ((good, scored["tail_2"]), (scored["grade"].to_numpy() > 0, scored["tail_1"])):
+        n = above.sum()
+        area = (rank.rank().to_numpy()[above].sum() - n * (n + 1) / 2) / (n * (len(above) - n))
+        assert area > (0.96 if above is good else 0.9)
+
+
 def test_odd_documents(rated, documents):
     model = quality.train(*rated)
     scored = quality.score(documents, model)
