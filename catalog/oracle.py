@@ -336,6 +336,10 @@ SELECT {READING_LIST}, round(pm25 - coalesce(before25, pm25), 6) AS pm25_delta,
   round(pm10 - coalesce(before10, pm10), 6) AS pm10_delta
 FROM latest WHERE n = 1"""
 
+ORACLES["storage_contents"] = _with(READINGS_SQL) + """
+SELECT format, count(*) AS rows, round(avg(pm25), 6) AS mean
+FROM readings, (VALUES ('csv'), ('parquet'), ('orc'), ('json')) formats(format) GROUP BY format"""
+
 ORACLES["nearest_reading"] = _with(READINGS_SQL) + f""",
 near AS (
   SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY

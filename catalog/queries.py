@@ -288,6 +288,12 @@ def storage_comparison(spark, sf_dir):
     return storage.compare_formats(readings(spark, sf_dir), "pm25")
 
 
+@query
+def storage_contents(spark, sf_dir):
+    made = storage.compare_formats(readings(spark, sf_dir), "pm25", ("csv", "parquet", "orc", "json"), repeats=1)
+    return present(made.select("format", "rows", "mean"))
+
+
 # Forecast quality
 
 

@@ -14,9 +14,18 @@ from pyspark.sql import functions as F
 from sensorcast.config import STATION, TIME
 
 
+def _first_of(df: DataFrame, rank: Column) -> DataFrame:
+    """The row of each station with the least ``rank``. A hash aggregation over the rank's columns finds it, so that no
+    row but those that reach it is sorted; a station whose ranks are all null keeps one of its rows."""
+    least = df.groupBy(F.col(STATION).alias("_station")).agg(F.min(rank).alias("_least"))
+    first = F.col(STATION).eqNullSafe(F.col("_station")) & rank.eqNullSafe(F.col("_least"))
+    few = df.join(least, first, "left_semi")
+    return few.groupBy(STATION).agg(F.any_value(F.struct(*df.columns)).alias("_row")).select("_row.*")
+
+
 def latest(df: DataFrame) -> DataFrame:
     """The newest row of each station."""
-    return df.groupBy(STATION).agg(F.max_by(F.struct(*df.columns), TIME).alias("_row")).select("_row.*")
+    return _first_of(df, -F.unix_micros(TIME))
 
 
 def recent(df: DataFrame, rows: int) -> DataFrame:
@@ -38,9 +47,8 @@ def latest_with_change(df: DataFrame, measures: Sequence[str]) -> DataFrame:
 
 def nearest(df: DataFrame, instant: Column) -> DataFrame:
     """The row of each station closest in time to ``instant``; the earlier one on a tie."""
-    distance = F.abs(F.unix_micros(TIME) - F.unix_micros(instant))
-    closest = F.min_by(F.struct(*df.columns), F.struct(distance, F.col(TIME)))
-    return df.groupBy(STATION).agg(closest.alias("_row")).select("_row.*")
+    away = F.unix_micros(TIME) - F.unix_micros(instant)
+    return _first_of(df, 2 * F.abs(away) + (away > 0).cast("long"))
 
 
 def last_days(df: DataFrame, days: int) -> DataFrame:

@@ -41,6 +41,19 @@ def test_nearest_prefers_the_earlier_on_a_tie(make_readings):
     assert rows_of(got) == [("a", 1.0), ("b", 3.0)]
 
 
+def test_latest_and_nearest_sort_few_rows(make_readings):
+    df = make_readings({"a": [(0, 1.0), (2, 2.0), (2, 2.0)], "b": [(5, 1.0)], "none": [(1, 7.0), (3, 9.0)]})
+    df = df.withColumn("location_id", F.nullif("location_id", F.lit("none")))
+    odd = df.unionByName(df.limit(1).withColumns({"location_id": F.lit("c"), "timestamp": F.lit(None).cast("timestamp")}))
+    assert sorted(r.pm25 for r in series.latest(odd).filter("location_id is null or location_id <> 'c'").collect()) == [1.0, 2.0, 9.0]
+    assert [r.timestamp for r in series.latest(odd).filter("location_id = 'c'").collect()] == [None]
+    assert series.latest(df.limit(0)).count() == 0
+    for found in (series.latest(df), series.nearest(df, F.lit("2024-01-01 01:00:00").cast("timestamp"))):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        below = plan[plan.index("LeftSemi"):]
+        assert "SortAggregate" not in below and "HashAggregate" in below and "CartesianProduct" not in plan
+
+
 def test_last_days_follow_each_stations_own_end(make_readings):
     df = make_readings({"a": [(0, 1.0), (23, 2.0), (24, 3.0)], "b": [(0, 1.0)]})
     assert rows_of(series.last_days(df, 1).select("location_id", "pm25")) == [("a", 2.0), ("a", 3.0), ("b", 1.0)]
