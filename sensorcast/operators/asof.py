@@ -23,8 +23,8 @@ def asof_join(
     that is nearest in time, of two equally near ones the earlier; or the last one ``before`` or at it, or the first one
     ``after`` or at it. It is null where there is none within the tolerance.
 
-    Both tables go through one window per station, ordered by time, in which each instant sees the last
-    reading so far and the first one to come. Long stations are cut into time chunks. What an instant at
+    Both tables go through two windows per station, forward and backward in time, in which each instant sees the last
+    reading so far and the first one to come. Both frames only grow, so that work grows with the rows. Long stations are cut into time chunks. What an instant at
     a chunk's edge sees then lies in another chunk, however far away: the first and last reading of
     each chunk are carried along a table of chunks, whose size the chunking bounds, and joined back.
 
@@ -43,13 +43,14 @@ def asof_join(
     both = known.unionByName(asked.filter(placeable), allowMissingColumns=True)
 
     chunked = chunks.with_chunks(both, chunking)
-    ordered = Window.partitionBy(STATION, chunks.CHUNK).orderBy(TIME)
-    # Frames by range, so that a reading at the instant itself is seen from both sides.
-    so_far = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    to_come = ordered.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    seen = chunked.withColumns(
-        {"_before": F.last("_found", ignorenulls=True).over(so_far), "_after": F.first("_found", ignorenulls=True).over(to_come)}
-    ).filter(F.col("_asked").isNotNull())
+    place = Window.partitionBy(STATION, chunks.CHUNK)
+    # Frames by range, so that a reading at the instant itself is seen from both sides. A frame that shrinks
+    # with each row (the rows to come) would be read anew for every one: those are the rows so far, backward in time.
+    forward = place.orderBy(TIME).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    backward = place.orderBy(F.col(TIME).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    newest = F.last("_found", ignorenulls=True)
+    seen = chunked.withColumns({"_before": newest.over(forward), "_after": newest.over(backward)})
+    seen = seen.filter(F.col("_asked").isNotNull())
 
     split = chunked.filter((F.col(chunks.CHUNK) >= 0) & F.col("_found").isNotNull())
     edges = split.groupBy(STATION, chunks.CHUNK).agg(
@@ -57,12 +58,13 @@ def asof_join(
     )
     # Chunks that hold instants but no reading need their neighbours' too.
     places = chunked.filter(F.col(chunks.CHUNK) >= 0).select(STATION, chunks.CHUNK).distinct()
-    along = Window.partitionBy(STATION).orderBy(chunks.CHUNK)
+    along = Window.partitionBy(STATION).orderBy(chunks.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(STATION).orderBy(F.col(chunks.CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = places.join(edges, [STATION, chunks.CHUNK], "left").select(
         STATION,
         chunks.CHUNK,
-        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
-        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+        F.last("_last", ignorenulls=True).over(along).alias("_earlier"),
+        F.last("_first", ignorenulls=True).over(back).alias("_later"),
     )
     whole = seen.join(F.broadcast(carried), [STATION, chunks.CHUNK], "left")
     before, after = F.coalesce("_before", "_earlier"), F.coalesce("_after", "_later")

@@ -57,3 +57,11 @@ def test_bad_arguments(tables):
         asof_join(a, r, "sideways")
     with pytest.raises(ValueError):
         asof_join(a, r, into="id")
+
+
+@pytest.mark.parametrize("chunking", [None, Chunking(rows_per_chunk=20)])
+def test_work_grows_with_rows(tables, chunking):
+    """A frame up to the end of a series is read anew for each of its rows."""
+    r, a, _, _ = tables
+    plan = asof_join(a, r, chunking=chunking)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
