@@ -38,26 +38,38 @@ def with_shifts(
     else:
         off = round(config.tolerance_minutes * 60_000_000)
         placed = chunks.with_time_halo(readings, config.reach * _HOUR + off, ahead * _HOUR + (off if ahead else 0), config.chunking)
-        window = Window.partitionBy(STATION, chunks.CHUNK).orderBy(F.unix_micros(TIME))
+        # A column, so that all windows share one sort.
+        placed, instant = placed.withColumn("_at", F.unix_micros(TIME)), F.col("_at")
+        window = Window.partitionBy(STATION, chunks.CHUNK).orderBy(instant)
+        if off:
+            # Each reading with the one that follows it, so that one look finds both neighbours of an instant.
+            following = {f"_next_{m}": F.lead(m).over(window) for m in measures}
+            placed = placed.withColumns({"_next": F.lead(instant).over(window)} | following)
+        so_far = window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
         def at(m, hours):
             middle = hours * _HOUR
             if not off:
                 # The frame is a single instant; keys are unique, so any aggregate picks its value.
                 return F.max(m).over(window.rangeBetween(middle, middle))
-            # Of the last reading up to the instant and the first one from it the nearer.
-            seen = F.struct(F.unix_micros(TIME).alias("at"), F.col(m).alias("value"))
-            before = F.last(seen).over(window.rangeBetween(middle - off, middle))
-            after = F.first(seen).over(window.rangeBetween(middle, middle + off))
-            wanted = F.unix_micros(TIME) + middle
-            nearer = after.isNull() | (wanted - before["at"] <= after["at"] - wanted)
-            return F.when(before.isNotNull() & nearer, before["value"]).otherwise(after["value"])
+            # Of the last reading up to the instant and the first one from it the nearer. The frame only grows: one of the
+            # tolerance alone would be read anew for every row. Of readings at one instant that with the latest next is last.
+            seen = {"at": instant, "ends": F.col("_next").isNull(), "next": F.col("_next"), "value": F.col(m)}
+            row = F.struct(*[c.alias(n) for n, c in seen.items()], F.col(f"_next_{m}").alias("next_value"))
+            before = F.max(row).over(window.rangeBetween(Window.unboundedPreceding, middle))
+            # Where there is none before, all are behind, and the oldest comes first.
+            oldest = F.first(row).over(so_far)
+            early = instant + middle - before["at"]
+            late = F.when(before.isNull(), oldest["at"]).otherwise(before["next"]) - instant - middle
+            nearer = late.isNull() | (early <= late)
+            behind = F.when(before.isNull(), oldest["value"]).otherwise(before["next_value"])
+            return F.when((early <= off) & nearer, before["value"]).when(late <= off, behind)
 
         for m in measures:
             shifts |= {f"{m}_lag{k}": at(m, -k) for k in config.lags}
             shifts |= {f"{m}_mean{k}": F.avg(m).over(window.rangeBetween(-k * _HOUR, -1)) for k in config.means}
         shifts |= {label_name(h): at(config.target, h) for h in horizons}
-    return chunks.drop_halo(placed.withColumns(shifts))
+    return chunks.drop_halo(placed.withColumns(shifts)).drop("_at", "_next", *[f"_next_{m}" for m in measures])
 
 
 def build_features(

@@ -1,10 +1,12 @@
+import random
+import re
 from dataclasses import replace
 
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from sensorcast.config import FeatureConfig, SplitConfig
+from sensorcast.config import Chunking, FeatureConfig, SplitConfig
 from sensorcast.functions import calendar
 from sensorcast.functions.stations import attach_dimension, station_code, station_dimension
 from sensorcast.plans.features import build_features, chronological_split, complete, labels_long
@@ -124,3 +126,45 @@ def test_calendar_before_the_epoch(spark):
 def test_display_time(spark):
     df = spark.sql("SELECT timestamp '2024-03-31 20:05:00' AS ts")
     assert df.select(calendar.display_time(F.col("ts"))).first()[0] == "01/04/2024 03:05"
+
+
+OFF_HOUR = replace(HOURS, tolerance_minutes=20)
+
+
+@pytest.mark.parametrize("chunking", [None, Chunking(), Chunking(rows_per_chunk=20)])
+def test_readings_off_the_hour(make_readings, chunking):
+    """The nearest reading within the tolerance, the earlier of two, with gaps and readings every few minutes."""
+    rnd = random.Random(7)
+    minutes = {"a": [0], "b": [0]}
+    for station, steps in (("a", [1, 2, 5]), ("b", [10, 60, 200])):
+        for _ in range(150):
+            minutes[station].append(minutes[station][-1] + rnd.choice(steps))
+    series = {s: [(m / 60, float(i)) for i, m in enumerate(of)] for s, of in minutes.items()}
+
+    def near(station, minute):
+        found = [(abs(m - minute), m, float(i)) for i, m in enumerate(minutes[station]) if abs(m - minute) <= 20]
+        return min(found)[2] if found else None
+
+    config = replace(OFF_HOUR, chunking=chunking)
+    got = build_features(make_readings(series), config, [1, 2]).collect()
+    assert "_next" not in got[0].asDict() and "_at" not in got[0].asDict()
+    found = {(r.location_id, r.pm25): (r.pm25_lag1, r.pm25_lag3, r.target_h1, r.target_h2) for r in got}
+    wanted = {(s, float(i)): tuple(near(s, m + 60 * h) for h in (-1, -3, 1, 2)) for s, of in minutes.items() for i, m in enumerate(of)}
+    assert found == wanted
+
+
+def test_off_the_hour_with_repeated_instants(make_readings):
+    """Readings that come several times do not hide what follows them, however rows are sorted."""
+    series = {"a": [(h, v) for h, v in ((0, 1.0), (0.75, 2.0), (1.25, 3.0)) for _ in range(3)]}
+    got = build_features(make_readings(series), replace(OFF_HOUR, chunking=None), [1])
+    assert [r.target_h1 for r in got.orderBy("timestamp").collect()] == [2.0] * 3 + [None] * 6
+    late = {"a": [(h, v) for h, v in ((0, 1.0), (0.5, 2.0), (1.25, 3.0)) for _ in range(3)]}
+    got = build_features(make_readings(late), replace(OFF_HOUR, chunking=None), [1])
+    assert [r.target_h1 for r in got.orderBy("timestamp").collect()] == [3.0] * 6 + [None] * 3
+
+
+def test_off_the_hour_work_grows_with_rows(make_readings):
+    """A frame of the tolerance is read anew for each row, and holds the more rows the denser they are."""
+    rows = build_features(make_readings({"a": [(h / 4, 1.0) for h in range(40)]}), OFF_HOUR, [1, 6])
+    plan = rows.select("pm25_lag1", "pm25_lag3", "target_h1", "target_h6")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and not re.search(r"RangeFrame, -?\d", plan)
