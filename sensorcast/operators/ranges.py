@@ -55,28 +55,31 @@ def range_aggregates(
     rows = rows.filter(F.col("_at").isNotNull())
     # Readings of one instant have the same range: it is looked up once.
     asked = rows.select(*names, "_at").distinct()
-    begin, end = F.col("_at") - F.lit(_micros(since)), F.col("_at") - F.lit(_micros(until))
-    ends = F.array(
-        F.struct(F.lit("begin").alias("_kind"), begin.alias("_instant")), F.struct(F.lit("end").alias("_kind"), end.alias("_instant"))
-    )
-    none = F.lit(None).cast("double").alias("_value")
-    points = asked.select(*names, F.inline(ends), F.col("_at").alias("_for"), none)
-    held = rows.select(*names, F.lit("reading").alias("_kind"), F.col("_at").alias("_instant"), F.lit(None).cast("long").alias("_for"), "_value")
-    meeting = held.unionByName(points).withColumn("_slot", slot_of(F.col("_instant")))
-
-    # The beginning of the last slot and the end of the first, readings at the very instant included.
+    held = rows.select(*names, F.col("_at").alias("_instant"), F.lit(None).cast("long").alias("_for"), "_value")
     here = Window.partitionBy(*place)
-    upto = here.orderBy("_instant").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = here.orderBy(F.col("_instant").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     value = F.col("_value")
-    running = meeting
-    for name, part in zip(_PARTS, _partial(value)):
-        running = running.withColumn(name, F.when(F.col("_kind") == "begin", part.over(onward)).otherwise(part.over(upto)))
-    edges = running.filter(F.col("_kind") != "reading")
+
+    def meeting(before: timedelta) -> DataFrame:
+        """The readings and the instants so long before those asked for, with their slots."""
+        instant = (F.col("_at") - F.lit(_micros(before))).alias("_instant")
+        points = asked.select(*names, instant, F.col("_at").alias("_for"), F.lit(None).cast("double").alias("_value"))
+        return held.unionByName(points).withColumn("_slot", slot_of(F.col("_instant")))
+
+    def running(met: DataFrame, order: Column) -> DataFrame:
+        """What the readings of an instant's slot up to it come to, in this order; readings at the very instant included.
+        All in one window: a task holds one sort of its slots."""
+        upto = here.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = {name: part.over(upto) for name, part in zip(_PARTS, _partial(value))}
+        return met.withColumns(sums).filter(F.col("_for").isNotNull())
+
+    # The end of the first slot and the beginning of the last.
+    first = running(meeting(since), F.col("_instant").desc()).select(*names, "_for", *_PARTS)
+    ends = meeting(until)
+    last = running(ends, F.col("_instant").asc())
 
     # A range has one of two numbers of whole slots.
     fewest = length // width - 1
-    slots = meeting.groupBy(*place).agg(*[p.alias(f"_{n}") for n, p in zip(_PARTS, _partial(value))])
+    slots = ends.groupBy(*place).agg(*[p.alias(f"_{n}") for n, p in zip(_PARTS, _partial(value))])
     merge = {"rows": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
     series = Window.partitionBy(*names).orderBy("_slot")
     for whole in (fewest, fewest + 1):
@@ -89,11 +92,10 @@ def range_aggregates(
     match = F.lit(True)
     for c in place:
         match = match & F.col(c).eqNullSafe(F.col(f"_s{c}"))
-    last = edges.filter(F.col("_kind") == "end").join(slots, match)
+    last = last.join(slots, match)
     number = F.col("_slot") - slot_of(F.col("_for") - F.lit(_micros(since))) - 1
     between = F.when(number == fewest, F.col(f"_whole{fewest}")).otherwise(F.col(f"_whole{fewest + 1}"))
     inner = last.select(*names, "_for", F.inline(F.array(F.struct(*_PARTS), between)))
-    first = edges.filter(F.col("_kind") == "begin").select(*names, "_for", *_PARTS)
     found = inner.unionByName(first).groupBy(*names, "_for").agg(*[merge[n](n).alias(f"range_{n}") for n in _PARTS])
 
     own = F.unix_micros(F.col(TIME).cast("timestamp")) == F.col("_for")

@@ -69,3 +69,11 @@ def test_no_window_is_wider_than_a_slot_of_readings(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all("_slot" in line for line in windows)
+
+
+def test_readings_of_a_slot_are_sorted_once_for_each_end(spark):
+    """Every further sort in a chain holds all rows of the task's slots once more."""
+    found = range_aggregates(table(spark, rows()), "v", timedelta(hours=1), timedelta(0), timedelta(minutes=5))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "_instant" in line]
+    assert len(windows) == 2
