@@ -569,7 +569,7 @@ def rf_multi_horizon(spark, sf_dir):
     training.save_models(spark, training.train_horizons(table, CONFIG, HORIZONS), root)
     models = training.load_models(spark, root)
     rows = features.complete(features.build_features(source, CONFIG), CONFIG)
-    return present(training.forecasts_long(training.score_horizons(rows, models), HORIZONS))
+    return present(training.forecasts_long(training.score_horizons(rows, models, spread=True), HORIZONS))
 
 
 @query

@@ -245,13 +245,22 @@ def _apply(df: DataFrame, model: PipelineModel, column: str, keep_vector: bool =
     return out if keep_vector else out.drop(VECTOR)
 
 
-def score_horizons(featured: DataFrame, models: Mapping[int, PipelineModel]) -> DataFrame:
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly by station and time to as many tasks as a shuffle has. The number is given, so that
+    adaptive execution does not join them again: it goes by bytes, and forests take far longer over a byte than reads."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), STATION, TIME)
+
+
+def score_horizons(featured: DataFrame, models: Mapping[int, PipelineModel], spread: bool = False) -> DataFrame:
     """Complete feature rows with a column ``predicted_h<n>`` per model. One vector, one pass: the
-    models run side by side in a single projection."""
+    models run side by side in a single projection.
+
+    Rows that come from windows lie in a task per long station or chunk. ``spread`` deals them out first, for large
+    tables and models that take time, such as forests."""
     inputs = {tuple(m.stages[0].getInputCols()) for m in models.values()}
     if len(inputs) > 1:
         raise ValueError("models to be scored together must share their feature columns")
-    out = featured
+    out = _spread(featured) if spread else featured
     for horizon, model in sorted(models.items()):
         out = _apply(out, model, f"predicted_h{horizon}", keep_vector=True)
     return out.drop(VECTOR)
@@ -283,9 +292,10 @@ def holdout_metrics(
     target: str = "pm25",
 ) -> DataFrame:
     """MAE, RMSE, R², MAPE and rating by horizon on the test rows, next to the persistence forecast.
-    All horizons are scored in one pass over the table."""
+    All horizons are scored in one pass over the table. The test rows are the ends of the stations, which lie in few
+    of the table's files, and so are dealt out first."""
     tested = reduce(or_, [in_test(h, split) for h in models])
-    scored = score_horizons(table.filter(tested), models)
+    scored = score_horizons(table.filter(tested), models, spread=True)
     rows = [
         F.struct(
             F.lit(h).alias("horizon_hours"),

@@ -126,3 +126,14 @@ def test_boosted_and_per_station_models(source):
     models, quality = training.per_station_models(source, ["hanoi", "hcm"], CONFIG, training.boosted(2, 2))
     assert set(models) == {"hanoi", "hcm"}
     assert rows_of(quality.select("location_id", "rows")) == [("hanoi", 24), ("hcm", 24)]
+
+
+def test_spread_scoring(spark, source, table):
+    """A station whose rows lie in one task is scored by many, with the same results."""
+    models = training.train_horizons(table, CONFIG, [1, 6], SMALL)
+    rows = complete(build_features(source, CONFIG), CONFIG)
+    wide = training.score_horizons(rows, models, spread=True)
+    assert rows_of(wide) == rows_of(training.score_horizons(rows, models))
+    one = training.score_horizons(rows.filter("location_id = 'hcm'"), models, spread=True)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert one.select(F.spark_partition_id().alias("p")).distinct().count() == tasks > 1
