@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from sensorcast.config import STATION, TIME, FeatureConfig, ForestConfig, SplitConfig, label_name
 from sensorcast.functions.calendar import hours_later
 from sensorcast.operators import chunks, metrics
+from sensorcast.plans import forests
 from sensorcast.plans.features import build_features, chronological_split, complete
 from sensorcast.staging import path_exists, stage
 
 Estimator = Callable[[str], object]
 VECTOR = "features"
+# Training rows from which forests are grown by ``forests``; with fewer, starting its passes takes longer than Spark ML's fit.
+MANY_ROWS = 1_000_000
 
 
 def forest(config: ForestConfig = ForestConfig()) -> Estimator:
@@ -105,11 +108,16 @@ def train_horizons(
     estimator: Estimator = forest(),
     split: SplitConfig = SplitConfig(),
     parallelism: int = 4,
+    many_rows: int = MANY_ROWS,
 ) -> dict[int, PipelineModel]:
     """One model per horizon; a horizon without training rows gets none. Fits run as concurrent Spark
-    jobs, so the cluster is not idle in the small last stages of each."""
+    jobs, so the cluster is not idle in the small last stages of each. Forests over ``many_rows`` and more are
+    grown by ``forests``, from rows that are put into bins once for all horizons."""
     counts = table.agg(*[F.count_if(in_training(h, split)).alias(f"h{h}") for h in horizons]).first()
     horizons = [h for h in horizons if counts[f"h{h}"]]
+    most = max((counts[f"h{h}"] for h in horizons), default=0)
+    if horizons and most >= many_rows and forests.can_fit(estimator(VECTOR)):
+        return _train_forests(table, config, horizons, estimator, split, parallelism, most)
 
     def fit(horizon: int) -> tuple[int, PipelineModel]:
         label = label_name(horizon)
@@ -119,6 +127,23 @@ def train_horizons(
     return dict(_together(fit, horizons, parallelism))
 
 
+def _train_forests(
+    table: DataFrame, config: FeatureConfig, horizons: Sequence[int], estimator: Estimator, split: SplitConfig, parallelism: int, count: int
+) -> dict[int, PipelineModel]:
+    kinds = {h: estimator(label_name(h)) for h in horizons}
+    labels = {h: F.when(in_training(h, split), F.col(label_name(h))).alias(label_name(h)) for h in horizons}
+    rows = table.filter(reduce(or_, [in_training(h, split) for h in horizons])).select(*config.features, *labels.values())
+    any_kind = kinds[horizons[0]]
+    names = [label_name(h) for h in horizons]
+    blocks, bounds = forests.prepare(rows, config.features, names, any_kind.getMaxBins(), any_kind.getSeed(), count)
+
+    def fit(horizon: int) -> tuple[int, PipelineModel]:
+        grown = forests.fit(blocks, bounds, label_name(horizon), kinds[horizon], count)
+        return horizon, PipelineModel(stages=[pipeline(config.features, kinds[horizon]).getStages()[0], grown])
+
+    return dict(_together(fit, horizons, parallelism))
+
+
 def one_hour_model(
     readings: DataFrame,
     config: FeatureConfig = FeatureConfig(),

@@ -137,3 +137,55 @@ def test_spread_scoring(spark, source, table):
     one = training.score_horizons(rows.filter("location_id = 'hcm'"), models, spread=True)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert one.select(F.spark_partition_id().alias("p")).distinct().count() == tasks > 1
+
+
+@pytest.fixture
+def long_series(make_readings):
+    wave = lambda shift: [(h, 50 + 30 * math.sin((h + shift) / 4) + (h + shift) * 7919 % 1009 / 50) for h in range(900)]
+    return make_readings({"hanoi": wave(0), "hcm": wave(2), "danang": wave(5)})
+
+
+def test_one_tree_of_many_rows_is_spark_mls(long_series):
+    """Without draws there is one tree only: all rows, all features, at each node the best split."""
+    table = training.training_table(long_series, CONFIG, [1, 6])
+    for settings in (ForestConfig(trees=1, depth=6), ForestConfig(trees=1, depth=4, min_instances=30, bins=8)):
+        for h in (1, 6):
+            # Horizons trained together share the bounds of their bins.
+            whole = lambda label: training.forest(settings)(label).setBootstrap(False)
+            spark_ml = training.train_horizons(table, CONFIG, [h], whole)
+            own = training.train_horizons(table, CONFIG, [h], whole, many_rows=0)
+            (ours,), (theirs,) = own[h].stages[-1].trees, spark_ml[h].stages[-1].trees
+            assert ours.depth == theirs.depth
+            # Two features may part the training rows alike and others not.
+            rows = table.filter(training.in_training(h, SplitConfig()))
+            wide = training.score_horizons(rows, {1: own[h], 2: spark_ml[h]})
+            assert wide.filter("abs(predicted_h1 - predicted_h2) > 1e-9").isEmpty()
+
+
+def test_forests_of_many_rows(spark, long_series):
+    """As good as Spark ML's, of all rows, the same each time, and its own class for storage."""
+    table, config = training.training_table(long_series, CONFIG, [1, 6]), ForestConfig(trees=12, depth=7)
+    spark_ml = training.train_horizons(table, CONFIG, [1, 6], training.forest(config))
+    own = training.train_horizons(table, CONFIG, [1, 6], training.forest(config), many_rows=0)
+    again = training.train_horizons(table, CONFIG, [1, 6], training.forest(config), many_rows=0)
+    errors = [{r.horizon_hours: r.rmse for r in training.holdout_metrics(table, m).collect()} for m in (spark_ml, own)]
+    for h, theirs in errors[0].items():
+        assert errors[1][h] < 1.2 * theirs
+    root = scratch_path(spark, "models")
+    training.save_models(spark, own, root)
+    rows = complete(build_features(long_series, CONFIG), CONFIG)
+    found = [training.score_horizons(rows, m) for m in (own, training.load_models(spark, root))]
+    assert rows_of(found[0]) == rows_of(found[1])
+    six = [training.score_horizons(rows, {6: m[6]}).select("location_id", "timestamp", F.round("predicted_h6", 6)) for m in (own, again)]
+    assert rows_of(six[0]) == rows_of(six[1])
+    for h, model in own.items():
+        forest, rows_used = model.stages[-1], table.filter(training.in_training(h, SplitConfig())).count()
+        assert len(forest.trees) == 12 and max(t.depth for t in forest.trees) == 7
+        drawn = [t._call_java("rootNode").impurityStats().stats()[0] for t in forest.trees]
+        assert len(set(drawn)) > 1 and all(0.9 * rows_used < n < 1.1 * rows_used for n in drawn)
+
+
+def test_forests_refuse_values_that_are_no_numbers(long_series):
+    table = training.training_table(long_series, CONFIG, [1]).withColumn("target_h1", F.lit(float("nan")))
+    with pytest.raises(Exception, match="NaN"):
+        training.train_horizons(table, CONFIG, [1], SMALL, many_rows=0)
