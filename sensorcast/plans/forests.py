@@ -1,18 +1,21 @@
-"""Random forests over many rows: Spark ML's models, grown with arrays.
+"""Random forests over many rows: Spark ML's models, grown and applied with arrays.
 
 Spark ML adds every row to the sums of all trees in turn, so that with deep trees nearly every sum lies outside the
-processor's caches. Here a block of rows is taken through one tree after
+processor's caches, and scores row by row through the nodes of all trees. Here a block of rows is taken through one tree after
 the other. The trees are those of Spark ML: bootstrapped rows, bins at quantiles, a third of the features at each node, variance;
 only the random draws differ. Models are stored in Spark ML's format and are its own classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -268,3 +271,64 @@ def _model(spark: SparkSession, trees: list[dict], estimator: RandomForestRegres
     nodes = spark.createDataFrame(pa.concat_tables(parts)).to(schema)
     nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
     return RandomForestRegressionModel.load(path)
+
+
+# Scoring
+
+
+def can_score(model: PipelineModel) -> bool:
+    return isinstance(model.stages[-1], RandomForestRegressionModel)
+
+
+def _arrays(spark: SparkSession, model: RandomForestRegressionModel) -> list[tuple]:
+    """Each tree as (features, thresholds, children by side, values, depth); a leaf is its own child."""
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    data = spark.read.parquet(f"{path}/data").select(
+        "treeID",
+        *[F.col(f"nodeData.{c}").alias(c) for c in ("id", "prediction", "leftChild", "rightChild")],
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+    )
+    out = []
+    for _, tree in sorted(data.toPandas().groupby("treeID"), key=itemgetter(0)):
+        tree = tree.sort_values("id")
+        leaf = tree["leftChild"].to_numpy() < 0
+        sides = tree[["leftChild", "rightChild"]].to_numpy(np.int64)
+        child = np.where(leaf[:, None], tree["id"].to_numpy(np.int64)[:, None], sides)
+        level, depth = np.zeros(1, np.int64), 0
+        while len(level := level[~leaf[level]]):
+            level, depth = child[level].ravel(), depth + 1
+        feature = np.where(leaf, 0, tree["feature"].to_numpy(np.int64))
+        out.append((feature, np.where(leaf, np.inf, tree["threshold"].to_numpy(float)), child.ravel(), tree["prediction"].to_numpy(float), depth))
+    return out
+
+
+def _predicted(x: np.ndarray, trees: list[tuple]) -> np.ndarray:
+    """What Spark ML's model gives, trees added up in the same order."""
+    n, flat, row = x.shape[1], x.ravel(), np.arange(x.shape[1])
+    total = np.zeros(n)
+    for feature, threshold, child, value, depth in trees:
+        node, place = np.zeros(n, np.int64), feature * n
+        for _ in range(depth):
+            right = flat.take(place.take(node) + row) > threshold.take(node)
+            node = child.take(2 * node + right)
+        total += value.take(node)
+    return total / len(trees)
+
+
+def predict(rows: DataFrame, features: Sequence[str], models: Mapping[str, RandomForestRegressionModel]) -> DataFrame:
+    """``rows`` with a column of each model's predictions, by its name."""
+    spark = rows.sparkSession
+    names = [f"p{i}" for i in range(len(models))]
+    shared = spark.sparkContext.broadcast([_arrays(spark, m) for m in models.values()])
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def forecast(*columns: pd.Series) -> pd.DataFrame:
+        x = np.stack([c.to_numpy(float) for c in columns])
+        if np.isnan(x).any():
+            raise ValueError("features to be scored must not be null or NaN")
+        return pd.DataFrame({n: _predicted(x, trees) for n, trees in zip(names, shared.value)})
+
+    scored = rows.withColumn("_forecast", forecast(*[F.col(f).cast("double") for f in features]))
+    return scored.withColumns({c: F.col("_forecast")[n] for c, n in zip(models, names)}).drop("_forecast")

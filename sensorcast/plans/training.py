@@ -281,11 +281,14 @@ def score_horizons(featured: DataFrame, models: Mapping[int, PipelineModel], spr
     models run side by side in a single projection.
 
     Rows that come from windows lie in a task per long station or chunk. ``spread`` deals them out first, for large
-    tables and models that take time, such as forests."""
+    tables and models that take time; forests are then applied to blocks of rows."""
     inputs = {tuple(m.stages[0].getInputCols()) for m in models.values()}
     if len(inputs) > 1:
         raise ValueError("models to be scored together must share their feature columns")
     out = _spread(featured) if spread else featured
+    if spread and models and all(map(forests.can_score, models.values())):
+        fitted = {f"predicted_h{h}": m.stages[-1] for h, m in sorted(models.items())}
+        return forests.predict(out, next(iter(inputs)), fitted)
     for horizon, model in sorted(models.items()):
         out = _apply(out, model, f"predicted_h{horizon}", keep_vector=True)
     return out.drop(VECTOR)

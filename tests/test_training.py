@@ -189,3 +189,12 @@ def test_forests_refuse_values_that_are_no_numbers(long_series):
     table = training.training_table(long_series, CONFIG, [1]).withColumn("target_h1", F.lit(float("nan")))
     with pytest.raises(Exception, match="NaN"):
         training.train_horizons(table, CONFIG, [1], SMALL, many_rows=0)
+
+
+def test_forests_applied_to_blocks(source, table):
+    """Scores of dealt rows are Spark ML's to the last bit."""
+    models = training.train_horizons(table, CONFIG, [1, 6], training.forest(ForestConfig(trees=7, depth=6)))
+    rows = complete(build_features(source, CONFIG), CONFIG)
+    assert rows_of(training.score_horizons(rows, models)) == rows_of(training.score_horizons(rows, models, spread=True))
+    both = training.score_horizons(rows, models, spread=True)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in both
