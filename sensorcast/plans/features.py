@@ -44,6 +44,15 @@ def with_shifts(
         if off:
             # Each reading with the one that follows it, so that one look finds both neighbours of an instant.
             following = {f"_next_{m}": F.lead(m).over(window) for m in measures}
+            for k in config.means:
+                # Time in slots as long as the range of the mean, and of each reading what its slot still holds from it on.
+                width = F.lit(k * _HOUR)
+                placed = placed.withColumn(f"_slot{k}", ((instant - F.pmod(instant, width)) / width).cast("long"))
+                to_end = Window.partitionBy(STATION, chunks.CHUNK, f"_slot{k}").orderBy(instant.desc())
+                to_end = to_end.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+                parts = [F.struct(F.sum(m).over(to_end).alias("sum"), F.count(m).over(to_end).alias("rows")).alias(m) for m in measures]
+                placed = placed.withColumn(f"_rest{k}", F.struct(F.col(f"_slot{k}").alias("slot"), *parts))
+                following[f"_next_rest{k}"] = F.lead(f"_rest{k}").over(window)
             placed = placed.withColumns({"_next": F.lead(instant).over(window)} | following)
         so_far = window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -65,11 +74,26 @@ def with_shifts(
             behind = F.when(before.isNull(), oldest["value"]).otherwise(before["next_value"])
             return F.when((early <= off) & nearer, before["value"]).when(late <= off, behind)
 
+        def mean(m, k):
+            if not off:
+                return F.avg(m).over(window.rangeBetween(-k * _HOUR, -1))
+            # The end of one slot and the beginning of the next: a frame of the range would be added up anew for every row, and
+            # readings at any minute may be many.
+            seen = F.struct(instant.alias("at"), F.col("_next").isNull().alias("ends"), F.col("_next").alias("next"), F.col(f"_next_rest{k}").alias("rest"))
+            before = F.max(seen).over(window.rangeBetween(Window.unboundedPreceding, -k * _HOUR - 1))
+            rest = F.when(before.isNull(), F.first(f"_rest{k}").over(so_far)).otherwise(before["rest"])
+            rest = F.when(rest["slot"] == F.col(f"_slot{k}") - 1, rest[m])
+            own = Window.partitionBy(STATION, chunks.CHUNK, f"_slot{k}").orderBy(instant).rangeBetween(Window.unboundedPreceding, -1)
+            total = F.coalesce(rest["sum"], F.lit(0.0)) + F.coalesce(F.sum(m).over(own), F.lit(0.0))
+            rows = F.coalesce(rest["rows"], F.lit(0)) + F.count(m).over(own)
+            return F.when(rows > 0, total / rows)
+
         for m in measures:
             shifts |= {f"{m}_lag{k}": at(m, -k) for k in config.lags}
-            shifts |= {f"{m}_mean{k}": F.avg(m).over(window.rangeBetween(-k * _HOUR, -1)) for k in config.means}
+            shifts |= {f"{m}_mean{k}": mean(m, k) for k in config.means}
         shifts |= {label_name(h): at(config.target, h) for h in horizons}
-    return chunks.drop_halo(placed.withColumns(shifts)).drop("_at", "_next", *[f"_next_{m}" for m in measures])
+    made = [f"_next_{m}" for m in measures] + [f"{n}{k}" for n in ("_slot", "_rest", "_next_rest") for k in config.means]
+    return chunks.drop_halo(placed.withColumns(shifts)).drop("_at", "_next", *made)
 
 
 def build_features(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sensorcast.config import Chunking, FeatureConfig, SplitConfig
 from sensorcast.functions import calendar
 from sensorcast.functions.stations import attach_dimension, station_code, station_dimension
-from sensorcast.plans.features import build_features, chronological_split, complete, labels_long
+from sensorcast.plans.features import build_features, chronological_split, complete, labels_long, with_shifts
 
 CONFIG = FeatureConfig()
 HOURS = FeatureConfig(step="hours")
@@ -168,3 +168,36 @@ def test_off_the_hour_work_grows_with_rows(make_readings):
     rows = build_features(make_readings({"a": [(h / 4, 1.0) for h in range(40)]}), OFF_HOUR, [1, 6])
     plan = rows.select("pm25_lag1", "pm25_lag3", "target_h1", "target_h6")._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, unboundedpreceding" in plan and not re.search(r"RangeFrame, -?\d", plan)
+
+
+def test_means_off_the_hour(spark, make_readings):
+    """Against sums by hand: gaps, ends of ranges at a reading, missing values, NaN, before 1970, several chunks."""
+    hours = sorted({round(n * 0.37 % 90, 2) - 20 for n in range(700)} | {float(h) for h in range(0, 60, 5)} | {-600_000.25, -600_000.0, 400.0})
+    points = [(h, None if i % 13 == 0 else float(i * 7 % 50)) for i, h in enumerate(hours)]
+    values = {s: [(h, (float("nan") if v is not None and s == "b" and i == 200 else v)) for i, (h, v) in enumerate(points)] for s in ("a", "b")}
+    flat = [(s, round(h * 3600 * 1e6), v) for s, ps in values.items() for h, v in ps]
+    df = spark.createDataFrame(flat, "location_id string, at long, pm25 double")
+    start = 1_704_067_200_000_000
+    df = df.withColumn("timestamp", F.timestamp_micros(F.col("at") + start))
+    for rows in (1_000_000, 60):
+        config = FeatureConfig(step="hours", tolerance_minutes=20, lags=(1,), means=(1, 3), chunking=Chunking(rows_per_chunk=rows))
+        got = with_shifts(df, config)
+        for k in (1, 3):
+            found = {(r.location_id, r["at"]): r[f"pm25_mean{k}"] for r in got.select("location_id", "at", f"pm25_mean{k}").collect()}
+            assert len(found) == len(flat)
+            for s, at, _ in flat:
+                near = [v for t, u, v in flat if t == s and at - k * 3_600_000_000 <= u < at and v is not None]
+                mean = found[s, at]
+                if not near:
+                    assert mean is None
+                else:
+                    expected = sum(near) / len(near)
+                    assert mean == pytest.approx(expected, rel=1e-12, nan_ok=True)
+        assert not [c for c in got.columns if c.startswith(("_slot", "_rest", "_next"))]
+
+
+def test_means_off_the_hour_are_read_once(make_readings):
+    """No window reads a range of hours anew for every row."""
+    config = FeatureConfig(step="hours", tolerance_minutes=20)
+    plan = with_shifts(make_readings({"a": [(1, 1.0)]}), config)._jdf.queryExecution().analyzed().toString()
+    assert "avg(" not in plan and "RangeFrame, -10800000000" not in plan
