@@ -9,6 +9,7 @@ only the random draws differ. Models are stored in Spark ML's format and are its
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from operator import itemgetter
 
 import numpy as np
@@ -321,7 +322,9 @@ def predict(rows: DataFrame, features: Sequence[str], models: Mapping[str, Rando
     """``rows`` with a column of each model's predictions, by its name."""
     spark = rows.sparkSession
     names = [f"p{i}" for i in range(len(models))]
-    shared = spark.sparkContext.broadcast([_arrays(spark, m) for m in models.values()])
+    with ThreadPool(min(8, len(models))) as pool:
+        arrays = pool.map(lambda m: _arrays(spark, m), list(models.values()), chunksize=1)
+    shared = spark.sparkContext.broadcast(arrays)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def forecast(*columns: pd.Series) -> pd.DataFrame:
